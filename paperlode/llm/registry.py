@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from paperlode.llm import exact_dedup, mixing, sharding
+from paperlode.llm import bpe, exact_dedup, language_id, mixing, sharding, toxicity, winnowing
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_winnowing_fingerprints": winnowing.op5_winnowing_fingerprints,
     "op8_shard_documents": sharding.op8_shard_documents,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
