@@ -77,7 +77,7 @@ class NgramModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], prior: float, rounds: int = 400, decay: float = 2e-3) -> NgramModel:
+def fit(rows: list[tuple[int, np.ndarray]], prior: float, rounds: int = 1000, decay: float = 1e-4) -> NgramModel:
     """rows: label and distinct n-gram hashes of a text. prior: share of label 1 among all labelled rows."""
     y = np.array([r[0] for r in rows], np.float64)
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
