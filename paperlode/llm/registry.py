@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperlode.llm import bpe, exact_dedup, language_id, mixing, sharding, toxicity, winnowing
+from paperlode.llm import bpe, exact_dedup, language_id, mixing, sharding, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_language_id": language_id.op3_language_id,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_winnowing_fingerprints": winnowing.op5_winnowing_fingerprints,
+    "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op8_shard_documents": sharding.op8_shard_documents,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op6_warc_round_trip": warc.OP6_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
