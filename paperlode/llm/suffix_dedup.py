@@ -22,52 +22,27 @@ blocks of their own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import mix64, ragged, scratch, table, utf8
+from paperlode.llm.blocks import NO_ID, blocked, unpacked
+from paperlode.llm.common import mix64, ragged, table
 from paperlode.llm.suffix_array import equal_prefix, sorted_suffixes
 
 LENGTH, K = 50, 16
-#: Bytes of text in a block (more only if one text has more); hash buckets are this many times the shuffle partitions.
-BLOCK_BYTES, BUCKETS = 1 << 22, 4
+#: Hash buckets are this many times the shuffle partitions.
+BUCKETS = 4
 #: Bytes that go through numpy at a time when anchors are chosen.
 PIECE = 1 << 18
-NO_ID = np.iinfo(np.int64).max
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("ends", pa.binary()), ("text", pa.large_binary())])
-
-    def pack() -> pa.RecordBatch:
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        known = np.array([i is not None for i in ids], np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (numbers, known, ends)), pa.array([b"".join(texts)], pa.large_binary())], schema=schema)
-
-    for batch in batches:
-        raw, offsets = utf8(batch.column(1))
-        for i, s, e in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            if texts and held + e - s > BLOCK_BYTES:
-                yield pack()
-                number, ids, texts, held = number + 1, [], [], 0
-            ids.append(i)
-            texts.append(raw[s:e].tobytes())
-            held += e - s
-    if texts:
-        yield pack()
-
-
 def _rolled(text: np.ndarray, k: int) -> np.ndarray:
     """A hash of text[i : i + k], for k a power of two."""
     with np.errstate(over="ignore"):
@@ -116,15 +91,11 @@ def stretches(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], np.uint8), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["text"], np.uint8)
-
-
 def _send_anchors(buckets: int, length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, _, ends, text = _block(row)
+                ids, _, ends, text = unpacked(row)
                 at, _, h = stretches(text, ends, length, k)
                 if not len(h):
                     continue
@@ -169,7 +140,7 @@ def _send_stretches(buckets: int, length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, _, ends, text = _block(row)
+                ids, _, ends, text = unpacked(row)
                 at, count, h = stretches(text, ends, length, k)
                 wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in row["shared"]]))
                 found = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
@@ -265,7 +236,7 @@ def _cut(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, known, ends, text = _block(row)
+                ids, known, ends, text = unpacked(row)
                 step = np.zeros(len(text) + 1, np.int32)
                 for raw in row["runs"] or []:
                     begin, n = np.frombuffer(raw, np.int64).reshape(2, -1)
@@ -290,11 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * parts
-    name = f"blocks_{uuid.uuid4().hex}"
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = docs.mapInArrow(_blocks, "block bigint, ids binary, known binary, ends binary, text binary")
-    blocks.write.bucketBy(parts, "block").option("path", scratch(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = blocked(docs, id_col, text_col)
     sent = blocks.mapInArrow(_send_anchors(buckets, length, k), "bucket int, block bigint, hashes binary, least binary, several binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "block bigint, shared binary")
     shared = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))  # of one block, so bounded by it
