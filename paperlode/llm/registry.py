@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperlode.llm import bpe, exact_dedup, language_id, mixing, sharding, suffix_dedup, toxicity, warc, winnowing
+from paperlode.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, sharding, suffix_dedup, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_winnowing_fingerprints": winnowing.op5_winnowing_fingerprints,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_shard_documents": sharding.op8_shard_documents,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
