@@ -1 +1 @@
-"""Spark-first document investigation engine."""
+"""SQL gate and the registered queries."""
