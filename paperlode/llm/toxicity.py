@@ -26,8 +26,8 @@ from paperlode.llm.common import held_out_column, slices, table, written
 from paperlode.llm.ngrams import codes_of, gram_hashes
 
 ORDERS = (4, 5, 6)
-#: Labelled rows of each label that are learned from at most (those with the smallest md5 of their id).
-MOST_PER_LABEL = 6000
+#: Labelled rows of label 1 and of label 0 that are learned from at most, but for chance (those with the smallest md5 of their id).
+MOST_TOXIC, MOST_OTHER = 2500, 4000
 #: Buckets of the first count; G statistic from which an n-gram counts as telling (about 4 sigma; 5 texts of a rare label).
 BUCKET_BITS, LEAST_G = 21, 18.0
 THRESHOLD = 0.3
@@ -77,7 +77,7 @@ class NgramModel:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], prior: float, rounds: int = 1000, decay: float = 1e-4) -> NgramModel:
+def fit(rows: list[tuple[int, np.ndarray]], prior: float, rounds: int = 300, rate: float = 0.005, decay: float = 1e-5) -> NgramModel:
     """rows: label and distinct n-gram hashes of a text. prior: share of label 1 among all labelled rows."""
     y = np.array([r[0] for r in rows], np.float64)
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
@@ -94,18 +94,27 @@ def fit(rows: list[tuple[int, np.ndarray]], prior: float, rounds: int = 1000, de
     ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
     number = np.cumsum(keep) - 1
     used = keep[col]
-    row, col, hashes, ratio = row[used], number[col[used]], hashes[keep], ratio[keep]
-    w, b, step_w, step_b = np.zeros(len(hashes)), 0.0, np.zeros(len(hashes)), 0.0
-    value = ratio[col]
-    # a step within the largest curvature: the squared length of the longest row bounds it
-    rate = 1.0 / (0.25 * max(1.0, float(np.bincount(row, weights=value**2, minlength=len(rows)).max()) ** 0.5 * 2))
-    for _ in range(rounds):
-        margin = np.bincount(row, weights=w[col] * value, minlength=len(rows)) + b
-        pull = y - 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        step_w = 0.9 * step_w + np.bincount(col, weights=pull[row] * value, minlength=len(hashes)) / len(rows) - decay * w
-        step_b = 0.9 * step_b + pull.mean()
-        w += 0.1 * rate * step_w
-        b += rate * step_b
+    row, col, hashes, ratio = row[used], number[col[used]].astype(np.int32), hashes[keep], ratio[keep]
+    if not len(hashes):
+        return NgramModel(none, np.zeros(0), float(np.log(prior / (1 - prior))))
+    by_col = np.argsort(col, kind="stable")
+    row_t, col_heads = row[by_col].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(hashes)))[:-1]])
+    some = np.unique(row)  # texts that hold any of the n-grams
+    row_heads = np.searchsorted(row, some)
+    w, b = np.zeros(len(hashes)), float(np.log(n_pos / n_neg))
+    m, v, mb, vb = np.zeros(len(hashes)), np.zeros(len(hashes)), 0.0, 0.0
+    margin = np.empty(len(rows))
+    for k in range(1, rounds + 1):  # Adam on the whole sample
+        margin.fill(b)
+        margin[some] += np.add.reduceat((w * ratio)[col], row_heads)
+        miss = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) / len(rows)
+        g = ratio * np.add.reduceat(miss[row_t], col_heads) + decay * w
+        gb = miss.sum()
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        fix = (1 - 0.999**k) ** 0.5 / (1 - 0.9**k)
+        w -= rate * fix * m / (np.sqrt(v) + 1e-10)
+        b -= 5 * rate * fix * mb / (np.sqrt(vb) + 1e-10)
     shift = np.log(prior / (1 - prior)) - np.log(n_pos / n_neg)  # back from the sample's shares
     return NgramModel(hashes.astype(np.uint32), w * ratio, float(b + shift))
 
@@ -153,8 +162,8 @@ def _telling_grams(chosen, bits: int):
     return run
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BUCKET_BITS) -> NgramModel:
-    """Learns from at most ``most`` labelled rows of each label that aren't held out; only that sample of labels is broadcast."""
+def train_toxicity(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MOST_TOXIC, MOST_OTHER), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BUCKET_BITS) -> NgramModel:
+    """Learns from about ``most`` labelled rows (of label 1, of label 0) that aren't held out; only that sample of labels is broadcast."""
     spark = docs.sparkSession
     marks = labels.filter(~held_out_column(id_col)).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
@@ -162,7 +171,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_LABE
         return fit([], 0.0)
     h = F.md5(F.col("id").cast("string"))
     u = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
-    share = F.when(F.col("label") == 1, min(1.0, most / counts.get(1, 1))).otherwise(min(1.0, most / counts.get(0, 1)))
+    share = F.when(F.col("label") == 1, min(1.0, most[0] / counts.get(1, 1))).otherwise(min(1.0, most[1] / counts.get(0, 1)))
     sample = marks.filter(u < share).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     rows = written(texts.join(F.broadcast(sample), "id").select("label", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "labelled")
@@ -178,7 +187,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_LABE
     for r in few.mapInArrow(_counted(bits), "part int, counts binary").groupBy("part").applyInArrow(_summed(bits), "part int, counts binary").collect():  # _PARTS rows of fixed size
         total[:, r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
     chosen = spark.sparkContext.broadcast(telling(total[1].astype(float), total[0].astype(float), n_pos, n_neg) >= LEAST_G)
-    grams = rows.mapInArrow(_telling_grams(chosen, bits), "label int, grams binary").collect()  # 2 * most rows at most
+    grams = rows.mapInArrow(_telling_grams(chosen, bits), "label int, grams binary").collect()  # about sum(most) rows
     taught = sorted((r["label"], bytes(r["grams"])) for r in grams)
     return fit([(k, np.frombuffer(g, np.uint32)) for k, g in taught], prior)
 
