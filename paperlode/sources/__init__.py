@@ -1 +1 @@
-"""Spark-first document investigation engine."""
+"""Files into documents: manifest, record mapping, text parsing, sidecars, external datasets."""
