@@ -35,10 +35,11 @@ def _rows(df: DataFrame, by: str, measure: str, segment: str | None, canon: Data
     return rows
 
 
-def peer_outliers(df: DataFrame, by: str, measure: str, segment: str | None = None, method: str = "robust_z", threshold: float | None = None, log: bool = True, min_peers: int = 5, min_ratio: float = 1.0, cap: int | None = 3, k: int | None = 50, sort: str = "ratio", canon: DataFrame | None = None, kind: str = "auto") -> DataFrame:
+def peer_outliers(df: DataFrame, by: str, measure: str, segment: str | None = None, method: str = "robust_z", threshold: float | None = None, log: bool = True, min_peers: int = 5, min_ratio: float = 1.0, cap: int | None = 3, k: int | None = 50, sort: str = "ratio", canon: DataFrame | None = None, kind: str = "auto", digits: tuple[int, int, int] = (2, 2, 3)) -> DataFrame:
     """Rows whose measure stands out in their group (and segment).
 
     Gives doc_id, grp, segment, value, group_median, group_n, ratio, score, direction, method, low_confidence.
+    digits: to which median, ratio and score are rounded.
     Two window passes over one partitioning, by group and segment; cap keeps each group's first rows.
     """
     if method not in THRESHOLDS:
@@ -71,7 +72,7 @@ def peer_outliers(df: DataFrame, by: str, measure: str, segment: str | None = No
     order = [first, F.abs("score").desc(), F.col("doc_id").asc()]
     if cap is not None:
         rows = rows.withColumn("place", F.row_number().over(peers.orderBy(*order))).filter(F.col("place") <= cap)
-    rows = rows.select("doc_id", "grp", "segment", "value", F.round("group_median", 2).alias("group_median"), "group_n", F.round("raw_ratio", 2).alias("ratio"), F.round("score", 3).alias("score"), "direction", F.col("how").alias("method"), (F.col("group_n") < 10).alias("low_confidence"), "raw_ratio")
+    rows = rows.select("doc_id", "grp", "segment", "value", F.round("group_median", digits[0]).alias("group_median"), "group_n", F.round("raw_ratio", digits[1]).alias("ratio"), F.round("score", digits[2]).alias("score"), "direction", F.col("how").alias("method"), (F.col("group_n") < 10).alias("low_confidence"), "raw_ratio")
     if k is not None:
         rows = rows.orderBy(*order).limit(k)
     return rows.drop("raw_ratio")

@@ -19,10 +19,13 @@ def read_documents(documents: DataFrame, doc_ids: list[str], budget: int = 16_00
     docs = documents.withColumn("doc_id", F.col("doc_id").cast("string")).join(F.broadcast(asked), "doc_id")
     sizes = docs.select("place", F.greatest(F.lit(1), token_estimate("text", factor)).alias("est"))
     known = asked.join(sizes, "place", "left")
-    fold = """aggregate(items, struct(0 as used, false as any, cast(array() as array<struct<place:int,doc_id:string,est:int,status:string>>) as out),
-        (a, x) -> CASE WHEN x.est IS NULL THEN struct(a.used, a.any, array_append(a.out, struct(x.place, x.doc_id, x.est, 'unknown')))
-                       WHEN a.any AND a.used + x.est > %d THEN struct(a.used, a.any, array_append(a.out, struct(x.place, x.doc_id, x.est, 'token_budget')))
-                       ELSE struct(a.used + x.est, true, array_append(a.out, struct(x.place, x.doc_id, x.est, 'read'))) END)""" % budget
+    kind = "array<struct<place:int,doc_id:string,est:int,status:string>>"
+    taken = "x.est IS NOT NULL AND NOT (a.any AND a.used + x.est > %d)" % budget
+    status = f"CASE WHEN x.est IS NULL THEN 'unknown' WHEN {taken} THEN 'read' ELSE 'token_budget' END"
+    row = f"named_struct('place', x.place, 'doc_id', x.doc_id, 'est', x.est, 'status', {status})"
+    zero = f"named_struct('used', 0, 'any', false, 'out', cast(array() as {kind}))"
+    step = f"named_struct('used', a.used + IF({taken}, x.est, 0), 'any', a.any OR ({taken}), 'out', concat(a.out, cast(array({row}) as {kind})))"
+    fold = f"aggregate(items, {zero}, (a, x) -> {step})"
     items = known.groupBy().agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "est"))).alias("items"))  # as many as were asked for
     plan = items.select(F.explode(F.expr(fold)["out"]).alias("r")).select("r.*")
     text = docs.select("place", "text", citation_token("doc_id", F.lit(0), F.length("text"), "text").alias("citation_token"))

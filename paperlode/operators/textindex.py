@@ -35,6 +35,10 @@ def postings(chunks: DataFrame, stem: bool = False, id_col: str = "chunk_id", te
     return words.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _equals(word: str):
+    return lambda w: w == word
+
+
 def bm25(chunks: DataFrame, query: str, k: int | None = 10, stem: bool = False, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """chunk_id, score of the chunks that hold every term, best first (ties by id).
 
@@ -49,7 +53,7 @@ def bm25(chunks: DataFrame, query: str, k: int | None = 10, stem: bool = False,
     rows = chunks.select(F.col(id_col).alias("chunk_id"), words.alias("words")).withColumn("dl", F.size("words"))
     for i, term in enumerate(terms):
         if len(term) == 1:
-            tf = F.size(F.filter("words", lambda w, x=term[0]: w == x))
+            tf = F.size(F.filter("words", _equals(term[0])))
         else:
             spelled = " ".join(term)
             tf = F.expr(f"size(filter(sequence(0, greatest(dl - {len(term)}, 0)), i -> array_join(slice(words, i + 1, {len(term)}), ' ') = '{spelled}'))")

@@ -1,21 +1,514 @@
-"""The registered queries over the test tables, and the SQL each is compared with."""
+"""The registered queries over the test tables, and the SQL each is compared with.
+
+Orders and events stand for records with fields, documents for documents, embeddings for vectors,
+line items of an order for what occurs together, conversations for working memory. Every query runs over
+its whole tables; the only limits are top-k reports.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "agg_sum_by"
+from paperlode.functions import columns as C
+from paperlode.operators import aggregate as A
+from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, textindex, topics, vectors
+from paperlode.plans.sql_gate import run_sql
+from paperlode.sources.files import kind_of
+
+FLAGSHIP = "hybrid_rrf"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def agg_sum_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    return orders.groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("value"), F.count(F.lit(1)).alias("n"))
+def query(sql: str | None = None, *tables: str):
+    """Registers f(*tables) under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*(load(spark, sf_dir, t) for t in tables))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- aggregation -----------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority AS group_value, count(*)::DOUBLE AS value, count(*) AS n FROM orders GROUP BY 1", "orders")
+def agg_count_by(orders):
+    return A.aggregate(orders, "o_orderpriority")
+
+
+@query("SELECT o_orderstatus AS group_value, round(sum(o_totalprice), 2) AS value, count(*) AS n FROM orders GROUP BY 1", "orders")
+def agg_sum_by(orders):
+    return A.aggregate(orders, "o_orderstatus", "sum", "o_totalprice").withColumn("value", F.round("value", 2))
+
+
+@query("""SELECT o_orderpriority AS group_value, 'min' AS agg, min(o_totalprice) AS value, count(*) AS n FROM orders GROUP BY 1
+UNION ALL SELECT o_orderpriority, 'max', max(o_totalprice), count(*) FROM orders GROUP BY 1
+UNION ALL SELECT o_orderpriority, 'avg', round(avg(o_totalprice), 4), count(*) FROM orders GROUP BY 1""", "orders")
+def agg_minmax_avg_by(orders):
+    one = lambda a: A.aggregate(orders, "o_orderpriority", a, "o_totalprice").withColumn("agg", F.lit(a)).withColumn("value", F.round("value", 4))
+    return one("min").unionByName(one("max")).unionByName(one("avg"))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS group_value, round(sum(value), 4) AS value, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1", "events")
+def agg_json_field(events):
+    rows = events.select(C.json_field("props", "k").alias("k"), F.col("value").alias("v"))
+    return A.aggregate(rows, "k", "sum", "v", k=None).withColumn("value", F.round("value", 4))
+
+
+@query("WITH o AS (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem) SELECT l_returnflag AS group_value, count(*)::DOUBLE AS value, count(*) AS n FROM o GROUP BY 1", "lineitem")
+def agg_array_unnest(lineitem):
+    records = lineitem.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
+    return A.aggregate(records, "flags")
+
+
+@query("""WITH v AS (SELECT p_name || CASE p_partkey % 3 WHEN 0 THEN ' LLC' WHEN 1 THEN ', L.L.C.' ELSE '' END AS name, p_name, p_retailprice FROM part)
+SELECT upper(p_name) AS group_value, round(sum(p_retailprice), 2) AS value, count(*) AS n FROM v GROUP BY 1 ORDER BY value DESC, group_value LIMIT 20""", "part")
+def agg_resolve_fold(part):
+    end = F.when(F.col("p_partkey") % 3 == 0, " LLC").when(F.col("p_partkey") % 3 == 1, ", L.L.C.").otherwise("")
+    rows = part.select(F.concat("p_name", end).alias("name"), F.col("p_retailprice").alias("price"))
+    canon = part.select(C.name_key("p_name").alias("norm_key"), F.upper("p_name").alias("canonical_name")).distinct()
+    return A.aggregate(rows, "name", "sum", "price", canon=canon).withColumn("value", F.round("value", 2))
+
+
+@query("SELECT CASE WHEN coalesce(lang, '') = '' THEN 'none' ELSE lang END AS status, count(*) AS n FROM documents GROUP BY 1", "documents")
+def status_counts(documents):
+    return profile.status_counts(documents.select(F.when(F.coalesce("lang", F.lit("")) == "", "none").otherwise(F.col("lang")).alias("status")))
+
+
+# ---- SQL gate --------------------------------------------------------------------------------------
+
+_GATED = {
+    "sql_join_group": ("SELECT n.n_name AS nation, count(*) AS n, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", None),
+    "sql_left_join": ("SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey", None),
+    "sql_full_join": ("SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) b ON a.k = b.k", None),
+    "sql_semi_join": ("SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
+    "sql_anti_join": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
+    "sql_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
+    "sql_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
+    "sql_except": ("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25", None),
+    "sql_cube": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),
+    "sql_rollup": ("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", None),
+    "sql_grouping_sets": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", None),
+    "sql_window": ("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS running FROM orders", None),
+    "sql_having": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12", None),
+    "sql_cte_subquery": ("WITH big AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) SELECT o.o_orderpriority, count(*) AS n FROM orders o JOIN big b ON o.o_orderkey = b.l_orderkey WHERE b.q > (SELECT avg(q) FROM big) GROUP BY o.o_orderpriority", None),
+    "sql_distinct_count": ("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag", None),
+    "sql_topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", None),
+}
+
+
+def _gated(statement: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import re
+
+        for name in TABLES:
+            if re.search(rf"\b{name}\b", statement):
+                load(spark, sf_dir, name).createOrReplaceTempView(name)
+        return run_sql(spark, statement, limit=None)
+
+    return run
+
+
+for _name, (_statement, _other) in _GATED.items():
+    QUERIES[_name] = _gated(_statement)
+    ORACLE_SQL[_name] = _other or _statement
+
+# ---- anomalies -------------------------------------------------------------------------------------
+
+_PEERS = """
+WITH r AS (SELECT event_id AS doc_id, user_id::VARCHAR AS grp, event_type AS segment, value, {y} AS y FROM events WHERE value > 0),
+g AS (SELECT grp, segment, count(*) AS group_n, median(value) AS group_median, median(y) AS mid, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM r GROUP BY 1, 2 HAVING count(*) >= 5),
+d AS (SELECT r.*, group_n, group_median, mid, q1, q3, abs(y - mid) AS off FROM r JOIN g USING (grp, segment)),
+m AS (SELECT grp, segment, median(off) AS mad, avg(off) AS mean_ad FROM d GROUP BY 1, 2),
+s AS (SELECT d.*, mad, mean_ad, (y - mid) / CASE WHEN mad > 0 THEN 1.4826 * mad WHEN mean_ad > 0 THEN 1.2533 * mean_ad END AS z,
+             greatest(y - (q3 + 1.5 * (q3 - q1)), (q1 - 1.5 * (q3 - q1)) - y) / nullif(q3 - q1, 0) AS f FROM d JOIN m USING (grp, segment))
+"""
+_SHAPE = "doc_id, grp, segment, round(value, 6) AS value, round(group_median, 6) AS group_median, group_n, round(value / group_median, 6) AS ratio, round({score}, 6) AS score, {direction} AS direction, {method} AS method, group_n < 10 AS low_confidence"
+_Z = _SHAPE.format(score="z", direction="CASE WHEN z > 0 THEN 'high' ELSE 'low' END", method="CASE WHEN mad > 0 THEN 'robust_z' ELSE 'robust_z/meanad_fallback' END")
+_IQR = _SHAPE.format(score="f", direction="CASE WHEN y > q3 THEN 'high' ELSE 'low' END", method="'iqr'")
+
+
+def _records(events):
+    return events.select(F.col("event_id").alias("doc_id"), F.col("user_id").alias("user"), "event_type", "value")
+
+
+def _tidy(df):
+    return df.withColumn("value", F.round("value", 6))
+
+
+@query(_PEERS.format(y="ln(value)") + f"SELECT {_Z} FROM s WHERE abs(z) >= 3.5", "events")
+def anomaly_peer_robust_z(events):
+    return _tidy(anomalies.peer_outliers(_records(events), "user", "value", "event_type", cap=None, k=None, digits=(6, 6, 6)))
+
+
+@query(_PEERS.format(y="ln(value)") + f"SELECT {_IQR} FROM s WHERE f > 0", "events")
+def anomaly_peer_iqr(events):
+    return _tidy(anomalies.peer_outliers(_records(events), "user", "value", "event_type", "iqr", cap=None, k=None, digits=(6, 6, 6)))
+
+
+@query(_PEERS.format(y="value") + f"SELECT {_Z} FROM s WHERE abs(z) >= 3.5", "events")
+def anomaly_peer_linear(events):
+    return _tidy(anomalies.peer_outliers(_records(events), "user", "value", "event_type", log=False, cap=None, k=None, digits=(6, 6, 6)))
+
+
+@query(_PEERS.format(y="ln(value)") + f""", x AS (SELECT *, row_number() OVER (PARTITION BY grp, segment ORDER BY greatest(value / group_median, group_median / value) DESC, abs(z) DESC, doc_id) AS place FROM s WHERE abs(z) >= 3.5)
+SELECT {_Z} FROM x WHERE place <= 1""", "events")
+def anomaly_group_cap(events):
+    return _tidy(anomalies.peer_outliers(_records(events), "user", "value", "event_type", cap=1, k=None, digits=(6, 6, 6)))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS doc_id, o_custkey::VARCHAR AS grp, o_totalprice AS value FROM orders),
+g AS (SELECT grp, count(*) AS group_n, sum(value) AS group_sum FROM r GROUP BY 1),
+t AS (SELECT quantile_cont(group_sum, 0.80) AS least, count(*) AS n FROM g),
+f AS (SELECT g.*, round(100.0 * (SELECT count(*) FROM g h WHERE h.group_sum < g.group_sum) / n, 1) AS rank_pct FROM g, t WHERE group_n <= 12 AND group_sum >= least)
+SELECT doc_id, grp, value, group_n, round(group_sum, 2) AS group_sum, rank_pct FROM r JOIN f USING (grp)""", "orders")
+def anomaly_rare(orders):
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("price"))
+    return anomalies.rare_groups(rows, "customer", "price", max_count=12, pct=80, k=None)
+
+
+# ---- documents, quality, text ----------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, text, length(text) AS n, length(trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS stripped,
+  length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS alnum, n - length(replace(text, ' ', '')) AS blanks, (n - length(replace(text, '  ', ''))) / 2.0 AS pairs, n - length(replace(text, chr(9), '')) AS tabs FROM documents)
+SELECT doc_id, CASE WHEN stripped < 20 THEN 'empty' WHEN alnum < 0.5 * n THEN 'bad_ocr' WHEN tabs > 5 OR pairs > blanks * 0.3 THEN 'table' ELSE 'text' END AS page_class FROM d""", "documents")
+def page_class(documents):
+    return documents.select("doc_id", C.page_class("text").alias("page_class"))
+
+
+@query("""WITH p AS (SELECT page_id AS doc_id, length(html) AS n FROM pages), c AS (SELECT doc_id, n, (CASE WHEN n // 3 >= 20 THEN 1 ELSE 0 END + CASE WHEN n - n // 3 >= 20 THEN 1 ELSE 0 END + 0) / 3.0 AS coverage FROM p)
+SELECT doc_id, round(coverage, 3) AS coverage, CASE WHEN coverage >= 0.7 THEN 'native' WHEN coverage >= 0.1 THEN 'sparse' ELSE 'image_only' END AS verdict,
+  CASE WHEN coverage >= 0.7 THEN 'none' WHEN coverage >= 0.1 THEN 'review' ELSE 'ocr' END AS recommend, 3 AS pages FROM c""", "pages")
+def coverage_report(pages):
+    n = F.length("html")
+    third = F.floor(n / 3).cast("int")
+    part = lambda i, s, e: F.struct(F.lit(i).alias("number"), s.cast("int").alias("char_start"), e.cast("int").alias("char_end"))
+    rows = pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source_path"), F.lit("native").alias("text_provenance"), F.col("html").alias("text"), F.array(part(1, F.lit(0), third), part(2, third, n), part(3, n, n)).alias("pages"))
+    rows = rows.withColumn("coverage", C.coverage("pages", "text"))
+    return profile.coverage_report(rows).select("doc_id", "coverage", "verdict", "recommend", "pages")
+
+
+_WORDS = "list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_BM25 = f"""WITH t AS (SELECT doc_id, lang, source, {_WORDS} AS w FROM documents {{where}}),
+c AS (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'thin')) AS a, len(list_filter(w, lambda x: x = 'eron')) AS b FROM t),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM c),
+i AS (SELECT *, CASE WHEN ln((n - na + 0.5) / (na + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - na + 0.5) / (na + 0.5)) END AS ia, CASE WHEN ln((n - nb + 0.5) / (nb + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - nb + 0.5) / (nb + 0.5)) END AS ib FROM s),
+r AS (SELECT doc_id::VARCHAR AS id, ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM c, i WHERE a > 0 AND b > 0)
+"""
+
+
+def _texts(documents):
+    return documents.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "lang", "source")
+
+
+@query(_BM25.replace("{where}", "") + "SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20", "documents")
+def bm25_search(documents):
+    return textindex.bm25(_texts(documents), "thin eron", 20).select(F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query(_BM25.replace("{where}", "WHERE lang = 'en' AND source LIKE 'src1%'") + "SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20", "documents")
+def bm25_filtered(documents):
+    rows = _texts(documents).filter((F.col("lang") == "en") & F.col("source").ilike("src1%"))
+    return textindex.bm25(rows, "thin eron", 20).select(F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query(None, "documents")
+def bm25_stemmed(documents):
+    return textindex.bm25(_texts(documents), "things thins", 20, stem=True)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id::VARCHAR AS chunk_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM t)
+SELECT term, count(*) AS tf, count(DISTINCT chunk_id) AS df, min(pos)::BIGINT AS first_pos FROM p WHERE term IN ('thin', 'eron', 'then') GROUP BY 1""", "documents")
+def postings(documents):
+    p = textindex.postings(_texts(documents)).filter(F.col("term").isin("thin", "eron", "then"))
+    return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.min(F.col("positions")[0]).cast("bigint").alias("first_pos"))
+
+
+_GREP = "SELECT doc_id::VARCHAR AS doc_id, 0 AS char_start, regexp_extract(text, '{p}', 0, 'i') AS match, (SELECT count(*) FROM documents WHERE regexp_matches(text, '{p}', 'i')) AS total FROM documents WHERE regexp_matches(text, '{p}', 'i')"
+
+
+@query(_GREP.format(p="thin[a-z]+ed"), "documents")
+def grep_regex(documents):
+    return textindex.grep(documents, "thin[a-z]+ed", k=None).drop("snippet")
+
+
+@query(_GREP.format(p="of\\s+the") + " ORDER BY doc_id::VARCHAR LIMIT 15", "documents")
+def grep_total(documents):
+    return textindex.grep(documents, "of the", k=15).drop("snippet")
+
+
+@query("""WITH q AS (SELECT unnest(['thin', 'eron', 'then', 'nosuchword']) AS word), t AS (SELECT """ + _WORDS + """ AS w FROM documents)
+SELECT word, df, round(ln(1 + ((SELECT count(*) FROM t) - df + 0.5) / (df + 0.5)), 9) AS idf FROM (SELECT word, (SELECT count(*) FROM t WHERE list_contains(w, word)) AS df FROM q)""", "documents")
+def term_idf(documents):
+    return textindex.document_frequency(_texts(documents), ["thin", "eron", "then", "nosuchword"]).withColumn("idf", F.round("idf", 9))
+
+
+# ---- vectors and hybrid search ----------------------------------------------------------------------
+
+_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+_NEAR = f"SELECT e.vec_id AS id, e.label, {_DOT} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+def _first(embeddings):
+    return embeddings.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+
+
+@query(f"SELECT id, round(s, 5) AS score FROM ({_NEAR}) ORDER BY s DESC, id LIMIT 10", "embeddings")
+def vector_topk(embeddings):
+    return vectors.nearest(embeddings, _first(embeddings), 10, id_col="vec_id").withColumn("score", F.round("score", 5))
+
+
+@query(f"SELECT id, round(s, 5) AS score FROM ({_NEAR} WHERE e.label < 3) ORDER BY s DESC, id LIMIT 10", "embeddings")
+def vector_filtered_topk(embeddings):
+    return vectors.nearest(embeddings.filter("label < 3"), _first(embeddings), 10, id_col="vec_id").withColumn("score", F.round("score", 5))
+
+
+@query(f"SELECT id, round(s, 5) AS score FROM ({_NEAR}) WHERE s >= 0.3", "embeddings")
+def vector_min_score(embeddings):
+    return vectors.nearest(embeddings, _first(embeddings), None, 0.3, id_col="vec_id").withColumn("score", F.round("score", 5))
+
+
+@query("""WITH c AS (SELECT label AS cluster, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) AS t(i) GROUP BY label, i) GROUP BY label),
+s AS (SELECT vec_id AS id, cluster, list_sum(list_transform(list_zip(embedding, c), lambda z: z[1]::DOUBLE * z[2])) AS score FROM embeddings, c)
+SELECT id, arg_max(cluster, round(score, 9)) AS cluster, round(max(score), 6) AS score FROM s GROUP BY id""", "embeddings")
+def nearest_centroid(embeddings):
+    means = embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    c = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("v")).select(F.col("label").alias("cluster"), F.transform("v", lambda e: e["m"]).alias("c"))
+    return vectors.nearest_centroid(embeddings, c, "vec_id").withColumn("score", F.round("score", 6))
+
+
+@query(_BM25.replace("{where}", "") + """, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM r QUALIFY p < 30),
+b AS (SELECT doc_id::VARCHAR AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id::VARCHAR) - 1 AS p FROM documents QUALIFY p < 30),
+u AS (SELECT id, 1.0::DOUBLE / (60 + p) AS part, p AS seen FROM a UNION ALL SELECT id, 1.0::DOUBLE / (60 + p), 1000000 + p FROM b)
+SELECT id, round(sum(part), 9) AS score FROM u GROUP BY id ORDER BY round(sum(part), 12) DESC, min(seen), id LIMIT 20""", "documents")
+def hybrid_rrf(documents):
+    """Keyword ranks fused with a second ranking (by length, which stands for the vector ranking of a corpus)."""
+    keyword = textindex.bm25(_texts(documents), "thin eron", 30).select(F.col("chunk_id").alias("id"), "score")
+    second = documents.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(30)
+    return textindex.rank_fusion(keyword, second, k=20).withColumn("score", F.round("score", 9))
+
+
+@query(None, "documents")
+def embed_documents(documents):
+    rows = documents.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("title"))
+    v = vectors.embed_chunks(rows, contextual=True)
+    return v.select("chunk_id", F.size("embedding").alias("dim"), F.round(C.dot("embedding", "embedding"), 4).alias("norm"))
+
+
+@query(None, "embeddings")
+def kmeans_clusters(embeddings):
+    return topics.cluster_vectors(embeddings, 10, id_col="vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(None, "documents")
+def cluster_labels(documents):
+    return topics.cluster_terms(documents.select(F.col("lang").alias("cluster"), "text")).withColumn("weight", F.round("weight", 6))
+
+
+# ---- chunks, citations, memory ----------------------------------------------------------------------
+
+
+@query(None, "documents")
+def chunk_documents(documents):
+    return chunks.chunk_documents(documents.withColumn("title", F.col("source"))).select("chunk_id", "doc_id", "char_start", "char_end", "token_count", F.sha2("text", 256).alias("text_sha256"))
+
+
+_TOKEN = "doc_id::VARCHAR || '@0-' || e || '#' || substr(sha256('0' || chr(31) || e || chr(31) || substr(text, 1, e)), 1, 8)"
+
+
+@query(f"WITH d AS (SELECT doc_id, text, least(80, length(text)) AS e FROM documents) SELECT doc_id, {_TOKEN} AS token FROM d", "documents")
+def citation_tokens(documents):
+    end = F.least(F.lit(80), F.length("text"))
+    return documents.select("doc_id", C.citation_token("doc_id", F.lit(0), end, F.substring(F.col("text"), F.lit(1), end)).alias("token"))
+
+
+def _claims(documents):
+    """For each document a quote that stands there, one that doesn't, or a token of another text."""
+    end = F.least(F.lit(80), F.length("text"))
+    piece = F.substring(F.col("text"), F.lit(1), end)
+    case = F.col("doc_id") % 3
+    token = C.citation_token("doc_id", F.lit(0), end, F.when(case == 2, F.concat(piece, F.lit("x"))).otherwise(piece))
+    return documents.select(F.concat(F.lit("claim "), F.col("doc_id")).alias("claim"), F.when(case == 1, F.lit("this was never said")).otherwise(F.substring("text", 1, 20)).alias("quote"), token.alias("token"))
+
+
+@query("SELECT 'claim ' || doc_id AS claim, doc_id % 3 <> 2 AS token_valid, doc_id % 3 = 0 AS verified FROM documents", "documents")
+def verify_quotes(documents):
+    return citations.verify(_claims(documents), documents.select("doc_id", "text")).select("claim", "token_valid", "verified")
+
+
+@query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'verified' WHEN 1 THEN 'unsupported' ELSE 'invalid_token' END AS status, count(*) AS n FROM documents GROUP BY 1""", "documents")
+def audit_findings(documents):
+    return citations.audit(_claims(documents), documents.select("doc_id", "text")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _observations(conversations):
+    kind = F.element_at(F.array(*[F.lit(k) for k in memory.KINDS]), (F.col("turn") % len(memory.KINDS) + 1).cast("int"))
+    status = F.when(F.col("conv_id") % 2 == 0, "open").otherwise("closed")
+    return conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("turn").alias("updated_at"), kind.alias("kind"), status.alias("status"), "text", F.array(F.col("role")).alias("entity_ids"), "conv_id")
+
+
+_KIND = "['lead', 'hypothesis', 'question', 'note', 'dead_end', 'connection'][(turn % 6 + 1)::INT]"
+
+
+@query(f"SELECT conv_id * 1000 + turn AS id, {_KIND} AS kind FROM conversations WHERE conv_id % 2 = 0 AND {_KIND} IN ('lead', 'hypothesis', 'question') ORDER BY turn DESC, id DESC LIMIT 10", "conversations")
+def observations_open(conversations):
+    return memory.open_threads(_observations(conversations)).select("id", "kind")
+
+
+@query("SELECT conv_id, max(turn) AS updated_at, arg_max(conv_id * 1000 + turn, turn) AS id FROM conversations GROUP BY conv_id", "conversations")
+def latest_version(conversations):
+    return memory.latest(_observations(conversations), ["conv_id"], ["updated_at", "id"]).select("conv_id", "updated_at", "id")
+
+
+@query("""WITH i AS (SELECT conv_id * 1000 + turn AS id, 'observation' AS source, text FROM conversations UNION ALL SELECT item_id, 'finding', text FROM benchmark),
+s AS (SELECT id, source, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')), ['the', 'thin', 'eron', 'of'])) AS score FROM i)
+SELECT id, source, score::DOUBLE AS score FROM s WHERE score > 0 ORDER BY score DESC, source, id LIMIT 8""", "conversations", "benchmark")
+def recall_keyword(conversations, benchmark):
+    items = _observations(conversations).select("id", F.lit("observation").alias("source"), "text")
+    items = items.unionByName(benchmark.select(F.col("item_id").alias("id"), F.lit("finding").alias("source"), "text"))
+    return memory.recall(items, "the thin eron of").select("id", "source", "score")
+
+
+# ---- entities and linkage ----------------------------------------------------------------------------
+
+
+def _gazetteer(documents):
+    names = [("en", "thin", "thin"), ("fr", "pour", "pour"), ("org", "of the", "of the"), ("org", "the thin", "the thin")]
+    return documents.sparkSession.createDataFrame([(n, k, s) for k, n, s in names], "name string, type string, spelled string")
+
+
+@query(None, "documents")
+def gazetteer_mentions(documents):
+    found = entities.resolve_mentions(entities.find_mentions(documents, _gazetteer(documents)))
+    return found.groupBy("raw_text", "type", "entity_id").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(None, "documents")
+def entity_list(documents):
+    found = entities.resolve_mentions(entities.find_mentions(documents, _gazetteer(documents)))
+    return entities.list_entities(entities.entities(found))
+
+
+def _variants(part):
+    end = F.when(F.col("p_partkey") % 3 == 0, " LLC").when(F.col("p_partkey") % 3 == 1, ", L.L.C.").otherwise("")
+    return part.select(F.col("p_brand").alias("doc_id"), F.concat("p_name", end).alias("raw_text"), F.lit("org").alias("type"))
+
+
+@query("""WITH v AS (SELECT p_brand AS doc_id, p_name || CASE p_partkey % 3 WHEN 0 THEN ' LLC' WHEN 1 THEN ', L.L.C.' ELSE '' END AS raw, lower(p_name) AS norm_key FROM part),
+f AS (SELECT norm_key, raw, count(*) AS c FROM v GROUP BY 1, 2), b AS (SELECT norm_key, raw, row_number() OVER (PARTITION BY norm_key ORDER BY c DESC, length(raw), raw) AS r FROM f)
+SELECT 'e_' || substr(sha1('org|' || norm_key), 1, 12) AS entity_id, b.raw AS canonical_name, 'org' AS entity_type, norm_key, count(*) AS mention_count, count(DISTINCT doc_id) AS doc_count, count(DISTINCT v.raw) AS n_aliases
+FROM v JOIN b USING (norm_key) WHERE r = 1 GROUP BY norm_key, b.raw""", "part")
+def entity_resolution(part):
+    return entities.entities(entities.resolve_mentions(_variants(part)))
+
+
+@query("SELECT a.l_partkey AS src, b.l_partkey AS dst, count(DISTINCT a.l_orderkey) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2", "lineitem")
+def co_doc_edges(lineitem):
+    return entities.co_document_edges(lineitem, "l_orderkey", "l_partkey").drop("edge_type")
+
+
+@query("""WITH e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(DISTINCT a.l_orderkey) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2)
+SELECT CASE WHEN src = 7 THEN dst ELSE src END AS neighbour, weight FROM e WHERE src = 7 OR dst = 7 ORDER BY weight DESC, neighbour LIMIT 10""", "lineitem")
+def neighbours_topk(lineitem):
+    return entities.neighbours(entities.co_document_edges(lineitem, "l_orderkey", "l_partkey"), 7)
+
+
+_PAIRS = """WITH p AS (SELECT a.s_suppkey AS x, b.s_suppkey AS y, jaro_winkler_similarity(a.s_name, b.s_name) AS jw, a.s_name = b.s_name AS same, a.s_nationkey = b.s_nationkey AS near,
+  jaro_winkler_similarity(a.s_nationkey::VARCHAR, b.s_nationkey::VARCHAR) AS njw FROM supplier a JOIN supplier b ON a.s_suppkey::VARCHAR < b.s_suppkey::VARCHAR AND (substr(a.s_name, 1, 4) = substr(b.s_name, 1, 4) OR a.s_nationkey = b.s_nationkey)),
+w AS (SELECT *, (0.1 / 0.9) * CASE WHEN same THEN 0.55 / 0.0001 WHEN jw >= 0.9 THEN 0.30 / 0.005 WHEN jw >= 0.8 THEN 0.12 / 0.05 ELSE 0.03 / 0.945 END * CASE WHEN near THEN 0.5 / 0.2 WHEN njw >= 0.8 THEN 1.0 ELSE 0.2 / 0.5 END AS odds FROM p)
+"""
+
+
+def _suppliers(supplier):
+    return linkage.records(supplier, "s_name", ["s_nationkey"], "s_suppkey", "corpus")
+
+
+@query(_PAIRS + "SELECT x::VARCHAR AS src, y::VARCHAR AS dst, round(odds / (1 + odds), 6) AS match_probability FROM w", "supplier")
+def linkage_pairs(supplier):
+    return linkage.link_pairs(_suppliers(supplier), "s_name", ["s_nationkey"]).withColumn("match_probability", F.round("match_probability", 6))
+
+
+@query(None, "supplier")
+def linkage_clusters(supplier):
+    rows = _suppliers(supplier)
+    return linkage.clusters(rows, linkage.link_pairs(rows, "s_name", ["s_nationkey"]), 0.99).select("record_id", "cluster_id")
+
+
+# ---- profile, reading, manifest, mapping ----------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT unnest(json_keys(props)) AS name, props FROM events)
+SELECT name, 100 AS present_pct, min(json_extract_string(props, '$.' || name)) AS example FROM k GROUP BY name""", "events")
+def peek_fields(events):
+    return profile.peek_fields(events, "props", sample=None).select("name", "present_pct", "example")
+
+
+@query(None, "events")
+def describe_fields(events):
+    rows = events.select(F.col("props").alias("raw"), F.to_json(F.struct("event_type")).alias("structured"))
+    return profile.describe_fields(rows, ["k"])
+
+
+@query(None, "documents")
+def token_budget_read(documents):
+    return reading.read_documents(documents, [str(i) for i in range(0, 40)] + ["nosuchdoc"], 6000).select("doc_id", "place", "approx_tokens", "status")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id FROM documents ORDER BY doc_id::VARCHAR LIMIT 20", "documents")
+def sample_first(documents):
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id")).orderBy("doc_id").limit(20)
+
+
+@query("SELECT 'f' || substr(sha256(text), 1, 10) AS file_id, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1", "documents")
+def manifest_dedup(documents):
+    return documents.select(C.file_id(F.col("text").cast("binary")).alias("file_id"), "doc_id").groupBy("file_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)", "documents")
+def ingest_delta(documents):
+    rows = documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    return rows.join(rows.filter("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
+
+
+@query("""SELECT page_id, CASE WHEN url ILIKE '%.json' THEN 'json' WHEN url ILIKE '%.jsonl' THEN 'jsonl' WHEN url ILIKE '%.xml' THEN 'xml' WHEN url ILIKE '%.pdf' THEN 'pdf' WHEN url ILIKE '%.docx' THEN 'docx'
+WHEN url ILIKE '%.txt' OR url ILIKE '%.text' THEN 'txt' WHEN url ILIKE '%.md' OR url ILIKE '%.markdown' THEN 'md' ELSE 'unsupported' END AS kind FROM pages""", "pages")
+def file_kinds(pages):
+    return pages.select("page_id", kind_of("url").alias("kind"))
+
+
+@query("SELECT o_orderkey, 'status: ' || o_orderstatus || chr(10) || 'priority: ' || o_orderpriority || chr(10) || 'segment: ' || c_mktsegment AS text FROM orders JOIN customer ON o_custkey = c_custkey", "orders", "customer")
+def render_record_text(orders, customer):
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    line = lambda k, c: F.concat(F.lit(f"{k}: "), F.col(c))
+    return rows.select("o_orderkey", F.concat_ws("\n", line("status", "o_orderstatus"), line("priority", "o_orderpriority"), line("segment", "c_mktsegment")).alias("text"))
+
+
+@query("""SELECT c_mktsegment AS name, 'org' AS type, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT n_name, 'place', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""", "customer", "nation")
+def explode_declared_entities(customer, nation):
+    rows = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+    one = lambda c, t: F.struct(F.col(c).alias("name"), F.lit(t).alias("type"))
+    return rows.select(F.explode(F.array(one("c_mktsegment", "org"), one("n_name", "place"))).alias("e")).groupBy("e.name", "e.type").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"agg_sum_by": agg_sum_by}
-ORACLE_SQL = {"agg_sum_by": "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS value, count(*) AS n FROM orders GROUP BY 1"}
+@query("SELECT user_id, max(ts) AS last_ts, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id", "events")
+def latest_per_key(events):
+    last = Window.partitionBy("user_id")
+    rows = events.withColumns({"last_ts": F.max("ts").over(last), "n": F.count(F.lit(1)).over(last), "total": F.round(F.sum("value").over(last), 4)})
+    return rows.select("user_id", "last_ts", "n", "total").distinct()
