@@ -46,14 +46,15 @@ def _pack_blocks(block_bytes: int):
     return run
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The blocks of docs, as many buckets as there are shuffle partitions. Null text counts as empty."""
+def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
+    """The blocks of docs, as many buckets as there are shuffle partitions, and where they lie. Null text counts as empty."""
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = docs.mapInArrow(_pack_blocks(block_bytes), SCHEMA).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-    out.option("path", scratch(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    path = scratch(spark, "blocks")
+    out.option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), path
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -29,17 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm.blocks import NO_ID, blocked, unpacked
-from paperlode.llm.common import mix64, table, written
+from paperlode.llm.common import bucketed, discard, mix64, scratch, table, written
 from paperlode.llm.shingles import sets_of
 
 #: Min-hashes by which a set looks for centres; share of common shingles a centre needs.
 ROUNDS, CENTRE = 4, 0.5
 #: Entries of a list that one task takes; entries of a block inside.
 CHUNK, BLOCK = 4096, 256
+#: Bytes of tokens in a pack of sets.
+PACK_BYTES = 1 << 22
 BUCKETS = 4
 
 
@@ -287,17 +290,18 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     common centre only those with the centre are listed; they join the same components."""
     t, spark = Threshold(num, den), docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocked(docs, id_col, text_col)
+    blocks, blocks_path = blocked(docs, id_col, text_col)
     sent = blocks.mapInArrow(_send_prefixes(buckets, words, t), "bucket int, block bigint, hashes binary, several binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared, "block bigint, shared binary")
     shared = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))  # of one block, so bounded by it
     every = written(blocks.join(shared.hint("shuffle_hash"), "block", "left").mapInArrow(_sets(words, t), SETS), "sets")
+    discard(spark, blocks_path)
 
     sig = ["sig_a", "sig_b", "n"]
     classes = every.filter("n > 0 AND id IS NOT NULL").groupBy(*sig).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
     classes = written(classes, "classes")
     kept = every.filter("tokens IS NOT NULL").join(classes, sig).filter("id = class_id").select("id", "n", "tokens").dropDuplicates(["id"])
-    sets = written(kept, "class-sets")
+    sets = bucketed(kept, "id", "class-sets")
 
     keys = sets.select("id", "tokens").mapInArrow(_keys, "id bigint, keys array<bigint>").select("id", F.posexplode("keys").alias("round", "key"))
     keys = written(keys, "keys")
@@ -307,11 +311,12 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     keys = keys.join(scores, "id")
     best = keys.groupBy("round", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("best"))
     proposed = keys.join(best, ["round", "key"]).select("id", (-F.col("best.minus")).alias("centre"), F.col("best.score").alias("score")).filter("id <> centre").distinct()
-    asked = _join_sets(proposed.withColumnsRenamed({"id": "x", "centre": "y"}), sets, "tokens").select("x", "y", "score", "x_set", "y_set")
+    proposed = written(proposed.withColumnsRenamed({"id": "x", "centre": "y"}), "proposed")
+    asked = _join_sets(proposed, sets, "tokens").select("x", "y", "score", "x_set", "y_set")
     found = asked.mapInArrow(_differences, "id bigint, centre bigint, score bigint, n_centre bigint, gone bigint, added bigint, differences binary")
     found = found.withColumn("r", F.struct("score", (-F.col("centre")).alias("minus"), "n_centre", "gone", "added", "differences"))
     chosen = found.groupBy("id").agg(F.max("r").alias("r"))
-    chosen = written(chosen.select("id", (-F.col("r.minus")).alias("centre"), "r.n_centre", "r.gone", "r.added", "r.differences"), "centres")
+    chosen = bucketed(chosen.select("id", (-F.col("r.minus")).alias("centre"), "r.n_centre", "r.gone", "r.added", "r.differences"), "id", "centres")
 
     slack = (F.lit(den - num) * F.col("n_centre")).alias("slack")
     weight = (F.lit(den) * F.col("gone") + F.lit(num) * F.col("added")).alias("weight")
@@ -328,21 +333,21 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     lone = F.col("n_diff") - F.size("own")  # differences that no other set has come first
     entries = per_set.withColumn("lone", lone).filter("take > lone").select("*", F.posexplode(F.expr("slice(own, 1, cast(take - lone as int))")).alias("at", "e"))
     entries = entries.select("centre", "e.token", "id", (F.col("n_diff") - F.col("lone") - F.col("at")).alias("a"), F.col("weight").alias("b"), F.col("slack").alias("c"))
-    pairs = _candidates(entries, t, True)
+    pairs = written(_candidates(entries, t, True), "near-pairs")
     both = _join_sets(pairs, chosen, "differences").select("x", "y", "x_set", "y_set").mapInArrow(_overlaps, "x bigint, y bigint, both bigint")
     w = centred.select("id", "weight", "slack")
     near = both.join(w.withColumnsRenamed({"id": "x", "weight": "wx"}), "x").join(w.select(F.col("id").alias("y"), F.col("weight").alias("wy")), "y")
     near = near.filter(F.lit(t.both) * F.col("both") >= F.col("wx") + F.col("wy") - F.col("slack")).select("x", "y")
 
     # over shingles, rarest first, for sets of different centres
-    place = sets.select("id", "n", "tokens").join(chosen.select("id", "centre"), "id", "left").withColumn("centre", F.coalesce("centre", "id"))
-    tokens = place.select("id", "n", "centre", F.explode(_longs("tokens")).alias("token"))
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    per_set = tokens.join(held, "token").groupBy("id", "n", "centre").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"))  # bounded by a set
-    per_set = per_set.withColumn("lone", F.col("n") - F.size("own")).withColumn("take", F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1")).filter("take > lone")
-    entries = per_set.select("*", F.posexplode(F.expr("slice(own, 1, cast(take - lone as int))")).alias("at", "e"))
-    entries = entries.select("e.token", "id", (F.col("lone") + F.col("at")).alias("a"), F.col("n").alias("b"), F.col("centre").alias("c"))
-    pairs = _candidates(entries, t, False)
+    place = sets.select("id", "tokens").join(chosen.select("id", "centre"), "id", "left").withColumn("centre", F.coalesce("centre", "id"))
+    packs, packs_path = _packed(place)
+    sent = packs.mapInArrow(_send_tokens(buckets), "bucket int, pack bigint, hashes binary, counts binary")
+    counted = sent.groupBy("bucket").applyInArrow(_counted, "pack bigint, bucket int, counts binary")
+    counted = counted.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("counted"))  # of one pack, so bounded by it
+    entries = packs.join(counted.hint("shuffle_hash"), "pack").mapInArrow(_prefix_entries(t), "token bigint, id bigint, a bigint, b bigint, c bigint")
+    pairs = written(_candidates(written(entries, "entries"), t, False), "far-pairs")
+    discard(spark, packs_path)
     both = _join_sets(pairs, sets, "tokens").select("x", "y", "x_set", "y_set").mapInArrow(_overlaps, "x bigint, y bigint, both bigint")
     n = sets.select("id", "n")
     far = both.join(n.withColumnsRenamed({"id": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"id": "y", "n": "ny"}), "y")
@@ -351,6 +356,89 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     return every.select("id", *sig), classes, links
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, ids, centres, sets, held = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+    def pack() -> pa.RecordBatch:
+        sizes = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), np.array(centres, np.int64).tobytes(), sizes.tobytes(), b"".join(sets)))], ["pack", "ids", "centres", "sizes", "tokens"])
+
+    for batch in batches:
+        for i, raw, centre in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if sets and held + len(raw) > PACK_BYTES:
+                yield pack()
+                number, ids, centres, sets, held = number + 1, [], [], [], 0
+            ids.append(i)
+            centres.append(centre)
+            sets.append(raw)
+            held += len(raw)
+    if sets:
+        yield pack()
+
+
+def _packed(place: DataFrame) -> tuple[DataFrame, str]:
+    """place(id, tokens, centre) in packs of sets, bucketed by pack, and where they lie."""
+    spark = place.sparkSession
+    path = scratch(spark, "packs")
+    rows = place.select("id", "tokens", "centre").mapInArrow(_packs, "pack bigint, ids binary, centres binary, sizes binary, tokens binary")
+    name = path.rpartition("/")[2].replace("-", "_")
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack").option("path", path).saveAsTable(name)
+    return spark.table(name), path
+
+
+def _spans(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of sorted hashes."""
+    cut = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist()
+    return [(b, s, e) for b, (s, e) in enumerate(zip(cut, [*cut[1:], len(h)], strict=True)) if s < e]
+
+
+def _send_tokens(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, n = np.unique(np.frombuffer(row["tokens"], np.uint64), return_counts=True)
+                spans = _spans(h, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in spans], pa.int32()), pa.array([row["pack"]] * len(spans), pa.int64()), pa.array([h[s:e].tobytes() for _, s, e in spans], pa.binary()), pa.array([n[s:e].astype(np.int32).tobytes() for _, s, e in spans], pa.binary())], ["bucket", "pack", "hashes", "counts"])
+
+    return run
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """For each pack in how many sets each of its hashes is, in the order they were sent."""
+    parts = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+    h = np.concatenate(parts)
+    n = np.concatenate([np.frombuffer(x, np.int32) for x in rows.column("counts").to_pylist()]).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    total = np.empty(len(h), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(h))))
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    return pa.table({"pack": rows.column("pack"), "bucket": rows.column("bucket"), "counts": pa.array([total[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
+
+
+def _prefix_entries(t: Threshold):
+    """Of each set the tokens that a linked set must share one of, rarest first; those of no other set are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                flat = np.frombuffer(row["tokens"], np.uint64)
+                h, where = np.unique(flat, return_inverse=True)
+                df = np.concatenate([np.frombuffer(c["counts"], np.int64) for c in row["counted"]])[where]
+                out, start = [], 0
+                for i, c, n in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["centres"], np.int64).tolist(), np.frombuffer(row["sizes"], np.int64).tolist(), strict=True):
+                    own, held = flat[start : start + n], df[start : start + n]
+                    start += n
+                    first = np.lexsort((own, held))[: n - int(t.least_of_self(n)) + 1]
+                    at = np.flatnonzero(held[first] > 1)
+                    if len(at):
+                        out.append((own[first[at]].view(np.int64), np.full(len(at), i), at, np.full(len(at), n), np.full(len(at), c)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["token", "id", "a", "b", "c"])
+
+    return run
+
+
 def _longs(column: str):
     """A binary of little-endian 64-bit words as an array of their (signed) values."""
 

@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * parts
-    blocks = blocked(docs, id_col, text_col)
+    blocks, _ = blocked(docs, id_col, text_col)
     sent = blocks.mapInArrow(_send_anchors(buckets, length, k), "bucket int, block bigint, hashes binary, least binary, several binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "block bigint, shared binary")
     shared = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))  # of one block, so bounded by it
