@@ -467,3 +467,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY CASE WHEN len(s) = 0 THEN [doc_id::VARCHAR, ''] ELSE list_sort(s) END) AS class_id FROM s),
+e AS (SELECT doc_id, unnest(s) AS t FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, u.y FROM r JOIN u ON r.other = u.x)
+SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id, any_value(n.class_id) AS class_id FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id
+"""

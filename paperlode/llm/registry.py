@@ -19,5 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op6_warc_round_trip": warc.OP6_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
