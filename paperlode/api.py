@@ -7,6 +7,7 @@ a reader or a failed job never sees half of one.
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 from datetime import UTC, datetime
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlode.config import Settings
-from paperlode.functions.columns import citation_token, coverage, excerpt, finding_id, json_field
+from paperlode.functions.columns import citation_token, coverage, finding_id, json_field
 from paperlode.operators import aggregate as agg
-from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, textindex, topics, vectors
+from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, snippets, textindex, topics, vectors
 from paperlode.plans.sql_gate import run_sql
 from paperlode.sources import files as src
 from paperlode.sources import records
@@ -38,6 +39,17 @@ def _now() -> str:
     return datetime.now(UTC).isoformat(timespec="microseconds")
 
 
+def _logged(method):
+    """Notes the call in the trace; memory of what was asked is part of the answer."""
+
+    @functools.wraps(method)
+    def run(self, *args, **options):
+        self.log(method.__name__, args=args, **options)
+        return method(self, *args, **options)
+
+    return run
+
+
 class Index:
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings()
@@ -129,7 +141,6 @@ class Index:
             began = time.time()
             out[name] = step()
             stages[name] = {"duration_s": round(time.time() - began, 3)}
-        self.log("build", paths=paths)
         return {"stages": stages, "results": out}
 
     def reset(self, hard: bool = False) -> None:
@@ -171,13 +182,16 @@ class Index:
             lists.append(vectors.nearest(near, q, pool, min_score))
         if not lists:
             return rows.limit(0).select("chunk_id", "doc_id")
-        best = textindex.rank_fusion(*lists, k=k) if len(lists) > 1 else lists[0].orderBy(F.desc("score"), "id").limit(k)
+        best = textindex.rank_fusion(*lists, k=pool if rerank else k) if len(lists) > 1 else lists[0].orderBy(F.desc("score"), "id").limit(pool if rerank else k)
         hits = rows.join(F.broadcast(best), rows.chunk_id == best.id)  # k rows
         place = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))
         hits = hits.withColumn("rank", place)
-        snippet = excerpt("text", F.lit(query))
+        if rerank:
+            hits = vectors.rerank(hits.drop("rank"), query, self.settings.reranker or "overlap", k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
+            mode += "+rerank"
+        hits = snippets.window_snippets(hits, self.table("chunks"), query)
+        snippet = F.col("snippet")
         out = hits.select("rank", "chunk_id", "doc_id", "title", "locator", "source_path", F.round(1 / F.col("rank"), 4).alias("score"), F.lit(mode).alias("match_mode"), "text_provenance", citation_token("doc_id", "char_start", "char_end", "text").alias("token"), snippet.alias("snippet"))
-        self.log("search", query=query, k=k, mode=mode, **where)
         return out.orderBy("rank")
 
     def grep(self, pattern: str, k: int = 20, **where) -> DataFrame:
@@ -244,9 +258,10 @@ class Index:
     def peek(self, path: str, sample: int = 50) -> dict:
         """Fields of the records in files, and a field map to start from."""
         settings = self.settings
-        rows = src.map_files(src.scan(self.spark, [path]).filter(F.col("kind").isin("json", "jsonl", "xml")), settings)
-        found = profile.peek_fields(rows.filter("raw IS NOT NULL"), "raw", sample)
-        return {"fields": found, "suggested": profile.suggest_map([r.asDict() for r in found.collect()])}
+        rows = src.map_files(src.scan(self.spark, [path]).filter(F.col("kind").isin("json", "jsonl", "xml")), settings).filter("raw IS NOT NULL")
+        found = profile.peek_fields(rows, "raw", sample)
+        sources = profile.peek_folder(rows.select(F.col("source_path").alias("path"), "raw"))
+        return {"sources": sources, "fields": found, "suggested": profile.suggest_map([r.asDict() for r in found.collect()])}
 
     # -- entities, linkage, topics
 
@@ -340,6 +355,10 @@ class Index:
         both = seen.unionByName(known)
         return memory.recall(both, query, k) if mode == "keyword" else memory.recall_vectors(both, query, k, self.settings.embedder)
 
+    @staticmethod
+    def verbs() -> tuple[str, ...]:
+        return ("ingest", "extract", "build", "reset", "search", "grep", "doc", "read", "sample", "fields", "aggregate", "sql", "anomalies", "peek", "entity", "reconcile", "cluster", "cite", "verify", "add_finding", "review", "note", "update_note", "recall", "coverage", "status")
+
     def trace(self, n: int = 20) -> DataFrame:
         return memory.tail(self.table("trace"), n)
 
@@ -353,6 +372,11 @@ class Index:
         if self.has("documents"):
             docs = self.table("documents")
             out["errors"] = [r.asDict() for r in docs.filter("error IS NOT NULL").select("source_path", "error").limit(50).collect()]
+            out["inertia"] = profile.inertia_notice(docs, out["counts"].get("entities", 0))
             out["notice"] = profile.coverage_notice(docs.filter(F.col("doc_type").isin("pdf", "docx", "txt", "md")))
         out["open"] = [r.asDict() for r in memory.open_threads(memory.latest(self.table("observations"), ["id"], ["updated_at"])).collect()]
         return out
+
+
+for _verb in Index.verbs():
+    setattr(Index, _verb, _logged(getattr(Index, _verb)))

@@ -90,3 +90,51 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, id_col: str = "ch
     rows = rows.select("id", "cluster", dot("v", "c").alias("score"))
     best = rows.groupBy("id").agg(F.max(F.struct("score", (-F.col("cluster")).alias("minus"))).alias("b"))
     return best.select("id", (-F.col("b.minus")).alias("cluster"), F.col("b.score").alias("score"))
+
+
+def quantised(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """id, codes (4 bits a dimension, as bytes), scale: an index of every row, an eighth of the vectors."""
+    peak = F.array_max(F.transform(F.col(vector_col), lambda x: F.abs(x)))
+    codes = F.transform(F.col(vector_col), lambda x: F.round(x / F.when(peak > 0, peak).otherwise(1) * 7).cast("tinyint"))
+    return vectors.select(F.col(id_col).alias("id"), codes.alias("codes"), (peak / 7).cast("double").alias("scale"))
+
+
+def quantised_nearest(index: DataFrame, vectors: DataFrame, query: DataFrame, k: int = 10, more: int = 10, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """id, score like nearest(): the k * more best by codes are scored again by their vectors."""
+    rows = index.join(F.broadcast(query.select("q").limit(1)))
+    rough = rows.select("id", (F.col("scale") * dot("codes", "q")).alias("rough")).orderBy(F.desc("rough"), "id").limit(k * more)
+    own = vectors.join(F.broadcast(rough.select(F.col("id").alias(id_col))), id_col)  # k * more rows
+    return nearest(own, query, k, id_col=id_col, vector_col=vector_col)
+
+
+RERANKERS: dict[str, Callable] = {}
+
+
+def _cross_encoder():
+    raise NotInstalled("the cross-encoder reranker needs sentence_transformers and its model")
+
+
+def _overlap():
+    """Scores by the share of the query's words that a passage has."""
+
+    def score(query: str, passages: list[str]) -> list[float]:
+        words = set(query.lower().split())
+        return [len(words & set(p.lower().split())) / max(1, len(words)) for p in passages]
+
+    return score
+
+
+RERANKERS["cross-encoder"], RERANKERS["overlap"] = _cross_encoder, _overlap
+
+
+def rerank(hits: DataFrame, query: str, name: str, k: int, text_col: str = "text") -> DataFrame:
+    """hits (a pool of a few dozen rows) by a reranker's scores, the best k."""
+    if name not in RERANKERS:
+        raise KeyError(f"no reranker {name!r}; there are {sorted(RERANKERS)}")
+    score = RERANKERS[name]()
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(score(query, texts.fillna("").tolist()))
+
+    return hits.withColumn("score", scored(text_col)).orderBy(F.desc("score")).limit(k)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paperlode.functions import columns as C
 from paperlode.operators import aggregate as A
-from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, textindex, topics, vectors
+from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, snippets, textindex, topics, vectors
 from paperlode.plans.sql_gate import run_sql
 from paperlode.sources.files import kind_of
 
@@ -260,6 +260,11 @@ def term_idf(documents):
     return textindex.document_frequency(_texts(documents), ["thin", "eron", "then", "nosuchword"]).withColumn("idf", F.round("idf", 9))
 
 
+@query(None, "documents")
+def segment_salience(documents):
+    return snippets.segment_salience(_texts(documents), "thin eron then").withColumn("score", F.round("score", 6))
+
+
 # ---- vectors and hybrid search ----------------------------------------------------------------------
 
 _DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -285,6 +290,12 @@ def vector_min_score(embeddings):
     return vectors.nearest(embeddings, _first(embeddings), None, 0.3, id_col="vec_id").withColumn("score", F.round("score", 5))
 
 
+@query(f"SELECT id, round(s, 5) AS score FROM ({_NEAR}) ORDER BY s DESC, id LIMIT 10", "embeddings")
+def vector_quantised_topk(embeddings):
+    index = vectors.quantised(embeddings, "vec_id")
+    return vectors.quantised_nearest(index, embeddings, _first(embeddings), 10, id_col="vec_id").withColumn("score", F.round("score", 5))
+
+
 @query("""WITH c AS (SELECT label AS cluster, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) AS t(i) GROUP BY label, i) GROUP BY label),
 s AS (SELECT vec_id AS id, cluster, list_sum(list_transform(list_zip(embedding, c), lambda z: z[1]::DOUBLE * z[2])) AS score FROM embeddings, c)
 SELECT id, arg_max(cluster, round(score, 9)) AS cluster, round(max(score), 6) AS score FROM s GROUP BY id""", "embeddings")
