@@ -5,7 +5,8 @@ Every such string picks an anchor, the (rightmost) smallest hash of its k-grams,
 equal anchors, and strings only have to be compared inside buckets of the anchors' hashes:
 
 1. Texts are packed into blocks, written once as a table bucketed by block, so later joins leave it in
-   place. 2. Blocks send the distinct anchor hashes they hold to hash buckets, which answer with those
+   place. A text that equals one with a smaller id goes whole and is left out of what follows: whatever
+   repeats it repeats the other as well. 2. Blocks send the distinct anchor hashes they hold to hash buckets, which answer with those
    that more than one document has. 3. Blocks send the stretches of text under such anchors, equal ones
    once with the documents that have them. A bucket sorts the strings of stretches that differ by a
    blockwise suffix array (see suffix_array) and finds, for every string, the smallest id. 4. Blocks
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm.blocks import NO_ID, blocked, unpacked
-from paperlode.llm.common import mix64, ragged, table
+from paperlode.llm.common import mix64, ragged, table, written
 from paperlode.llm.suffix_array import equal_prefix, sorted_suffixes
 
 LENGTH, K = 50, 16
 #: Hash buckets are this many times the shuffle partitions.
-BUCKETS = 4
+BUCKETS = 8
+#: Bytes of stretches that are sorted by one suffix array; more only if one anchor has more.
+SORT_BYTES = 1 << 21
 #: Bytes that go through numpy at a time when anchors are chosen.
 PIECE = 1 << 18
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -53,14 +56,16 @@ def _rolled(text: np.ndarray, k: int) -> np.ndarray:
         return mix64(level)
 
 
-def stretches(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int = K, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings that pick one anchor: where a run begins, how many strings it has, the anchor's hash.
 
-    text: documents one after the other; ends: where each ends. Strings never reach over an end."""
+    text: documents one after the other; ends: where each ends; skip: documents left out. Strings never reach over an end."""
     window = length - k + 1
     begins = np.concatenate([[0], ends[:-1]])
     allowed = np.zeros(len(text) + 1, np.int8)  # a document has ends - begins - length + 1 strings
     long = ends - begins >= length
+    if skip is not None:
+        long[skip] = False
     allowed[begins[long]] += 1
     allowed[ends[long] - length + 1] -= 1
     allowed = np.cumsum(allowed, dtype=np.int8) > 0
@@ -91,12 +96,49 @@ def stretches(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, k: int =
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _copies_of(row: dict) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in row["copies"] or [])])
+
+
+def _send_texts(buckets: int, length: int):
+    """Digests of the texts of a block, with their ids and places in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, _, ends, text = unpacked(row)
+                raw, rows = text.tobytes(), {}
+                for j, (i, s, e) in enumerate(zip(ids.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                    if e - s >= length:
+                        digest = hashlib.sha256(raw[s:e]).digest()
+                        rows.setdefault(int.from_bytes(digest[:4], "big") % buckets, []).append((digest, i, j))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([row["block"]] * len(rows), pa.int64()), pa.array([b"".join(x[0] for x in v) for v in rows.values()], pa.binary()), pa.array([np.array([x[1] for x in v], np.int64).tobytes() for v in rows.values()], pa.binary()), pa.array([np.array([x[2] for x in v], np.int64).tobytes() for v in rows.values()], pa.binary())], ["bucket", "block", "digests", "ids", "places"])
+
+    return run
+
+
+def _find_copies(rows: pa.Table) -> pa.Table:
+    """For each block the places of texts that equal one with a smaller id."""
+    least: dict[bytes, int] = {}
+    sent = []
+    for r in rows.to_pylist():
+        digests, ids = [r["digests"][i : i + 32] for i in range(0, len(r["digests"]), 32)], np.frombuffer(r["ids"], np.int64).tolist()
+        sent.append((r["block"], digests, ids, np.frombuffer(r["places"], np.int64)))
+        for d, i in zip(digests, ids, strict=True):
+            if i < least.get(d, NO_ID + 1):
+                least[d] = i
+    out = [(b, places[[least[d] < i for d, i in zip(digests, ids, strict=True)]]) for b, digests, ids, places in sent]
+    out = [(b, x) for b, x in out if len(x)]
+    return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "copies": pa.array([x.tobytes() for _, x in out], pa.binary())})
+
+
 def _send_anchors(buckets: int, length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, _, ends, text = unpacked(row)
-                at, _, h = stretches(text, ends, length, k)
+                at, _, h = stretches(text, ends, length, k, _copies_of(row))
                 if not len(h):
                     continue
                 owner = ids[np.searchsorted(ends, at, "right")]
@@ -135,95 +177,108 @@ def _shared_anchors(rows: pa.Table) -> pa.Table:
 
 
 def _send_stretches(buckets: int, length: int, k: int):
-    names = ["bucket", "block", "hashes", "sizes", "bytes", "members", "starts", "owners"]
+    names = ["bucket", "block", "sizes", "bytes", "members", "starts", "owners"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, _, ends, text = unpacked(row)
-                at, count, h = stretches(text, ends, length, k)
+                at, count, h = stretches(text, ends, length, k, _copies_of(row))
                 wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in row["shared"]]))
                 found = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                 at, count, h = at[found], count[found], h[found]
                 owner = ids[np.searchsorted(ends, at, "right")]
-                raw, equal = text.tobytes(), {}
-                for j, (s, n, x) in enumerate(zip(at.tolist(), count.tolist(), h.tolist(), strict=True)):
-                    equal.setdefault((x, raw[s : s + n + length - 1]), []).append(j)
+                raw, equal, marks = text.tobytes(), {}, h.astype(">u8").tobytes()
+                for j, (s, n) in enumerate(zip(at.tolist(), count.tolist(), strict=True)):
+                    equal.setdefault(marks[8 * j : 8 * j + 8] + raw[s : s + n + length - 1], []).append(j)
                 keys = sorted(equal)
-                which = np.array([(x * buckets) >> 64 for x, _ in keys], np.int64)
+                which = np.array([(int.from_bytes(x[:8], "big") * buckets) >> 64 for x in keys], np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if keys else []
                 rows = []
                 for s, e in zip(edges, [*edges[1:], len(keys)], strict=True):
                     own = keys[s:e]
                     members = [equal[x] for x in own]
                     flat = np.array([j for m in members for j in m], np.int64)
-                    rows.append((int(which[s]), row["block"], np.array([x for x, _ in own], np.uint64).tobytes(), np.array([len(x) for _, x in own], np.int32).tobytes(), b"".join(x for _, x in own), np.array([len(m) for m in members], np.int32).tobytes(), at[flat].tobytes(), owner[flat].tobytes()))
+                    rows.append((int(which[s]), row["block"], np.array([len(x) for x in own], np.int32).tobytes(), b"".join(own), np.array([len(m) for m in members], np.int32).tobytes(), at[flat].tobytes(), owner[flat].tobytes()))
                 if rows:
-                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return run, "bucket int, block bigint, hashes binary, sizes binary, bytes binary, members binary, starts binary, owners binary"
+    return run, "bucket int, block bigint, sizes binary, bytes binary, members binary, starts binary, owners binary"
+
+
+def _smallest_ids(keys: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each stretch (hash, then bytes) and each string in it, the smallest id of an equal string of any stretch."""
+    out: list = [None] * len(keys)
+    order = sorted(range(len(keys)), key=keys.__getitem__)  # stretches of one anchor stand together
+    group, held, last = [], 0, b""
+    for i in order:
+        mark = keys[i][:8]
+        if mark != last and held >= SORT_BYTES:
+            _sort_strings(group, keys, least, length, out)
+            group, held = [], 0
+        group.append(i)
+        held += len(keys[i])
+        last = mark
+    if group:
+        _sort_strings(group, keys, least, length, out)
+    return out
 
 
-def _smallest_ids(keys: list[tuple[int, bytes]], least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each stretch (hash, bytes) and each string in it, the smallest id of an equal string of any stretch."""
-    out = [np.full(len(x) - length + 1, least[i]) for i, (_, x) in enumerate(keys)]
-    by_hash: dict[int, list[int]] = {}
-    for i, (h, _) in enumerate(keys):
-        by_hash.setdefault(h, []).append(i)
-    mixed = [i for group in by_hash.values() if len(group) > 1 for i in group]
+def _sort_strings(group: list[int], keys: list[bytes], least: np.ndarray, length: int, out: list) -> None:
+    """Fills out for a group of stretches; those alone with their anchor have no equal elsewhere."""
+    marks = [keys[i][:8] for i in group]
+    mixed = []
+    for j, i in enumerate(group):
+        if (j and marks[j - 1] == marks[j]) or (j + 1 < len(group) and marks[j + 1] == marks[j]):
+            mixed.append(i)
+        else:
+            out[i] = np.full(len(keys[i]) - 8 - length + 1, least[i])
     if not mixed:
-        return out
-    text = np.frombuffer(b"".join(keys[i][1] for i in mixed), np.uint8)
-    sizes = np.fromiter((len(keys[i][1]) for i in mixed), np.int64, len(mixed))
-    counts = sizes - length + 1
-    places = ragged(np.cumsum(sizes) - sizes, counts)
+        return
+    text = np.frombuffer(b"".join(keys[i][8:] for i in mixed), np.uint8)
+    sizes = np.fromiter((len(keys[i]) - 8 for i in mixed), np.int64, len(mixed))
+    begin, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+    places = ragged(begin, counts)
     place_id = np.full(len(text), NO_ID)
     place_id[places] = np.repeat(least[mixed], counts)
     for order in sorted_suffixes(text, places):
         heads = np.flatnonzero(~equal_prefix(text, order, length))
         smallest = np.minimum.reduceat(place_id[order], heads)
         place_id[order] = np.repeat(smallest, np.diff(np.append(heads, len(order))))
-    for i, start, n in zip(mixed, (np.cumsum(sizes) - sizes).tolist(), counts.tolist(), strict=True):
-        out[i] = place_id[start : start + n]
-    return out
+    for i, start, n in zip(mixed, begin.tolist(), counts.tolist(), strict=True):
+        out[i] = place_id[start : start + n].copy()
 
 
 def _answer(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        least: dict[tuple[int, bytes], int] = {}
-        sent = []
+        number: dict[bytes, int] = {}
+        least, sent = [], []
         for r in rows.to_pylist():
-            sizes, members = np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["members"], np.int32)
-            ends = np.cumsum(sizes).tolist()
+            members = np.frombuffer(r["members"], np.int32)
+            ends = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
             owners = np.frombuffer(r["owners"], np.int64)
-            lows = np.minimum.reduceat(owners, np.cumsum(members) - members).tolist()
-            keys = []
-            for h, s, e, low in zip(np.frombuffer(r["hashes"], np.uint64).tolist(), [0, *ends[:-1]], ends, lows, strict=True):
-                key = (h, r["bytes"][s:e])
-                keys.append(key)
-                if low < least.get(key, NO_ID + 1):
-                    least[key] = low
-            sent.append((r["block"], keys, members, np.frombuffer(r["starts"], np.int64), owners))
-        every = list(least)
-        number = {key: i for i, key in enumerate(every)}
-        smallest = _smallest_ids(every, np.array([least[x] for x in every], np.int64), length)
+            index = []
+            for s, e, low in zip([0, *ends[:-1]], ends, np.minimum.reduceat(owners, np.cumsum(members) - members).tolist(), strict=True):
+                i = number.setdefault(r["bytes"][s:e], len(number))
+                if i == len(least):
+                    least.append(low)
+                elif low < least[i]:
+                    least[i] = low
+                index.append(i)
+            sent.append((r["block"], np.repeat(np.array(index, np.int64), members), np.frombuffer(r["starts"], np.int64), owners))
+        smallest = _smallest_ids(list(number), np.array(least, np.int64), length)
         flat = np.concatenate(smallest)
         sizes = np.fromiter(map(len, smallest), np.int64, len(smallest))
         begin = np.cumsum(sizes) - sizes
-        out = []
-        for block, keys, members, starts, owners in sent:
-            index = np.repeat(np.fromiter((number[x] for x in keys), np.int64, len(keys)), members)
+        packed = []
+        for block, index, starts, owners in sent:
             n = sizes[index]
             gone = flat[ragged(begin[index], n)] < np.repeat(owners, n)
-            out.append((block, ragged(starts, n)[gone].astype(np.int64)))
-        out = [(b, x) for b, x in out if len(x)]
-        # runs of places instead of places
-        packed = []
-        for block, x in out:
-            x = np.sort(x)
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(x) > 1]))
-            packed.append((block, np.stack([x[heads], np.diff(np.append(heads, len(x)))]).tobytes()))
+            x = np.sort(ragged(starts, n)[gone])
+            if len(x):  # runs of places instead of places
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(x) > 1]))
+                packed.append((block, np.stack([x[heads], np.diff(np.append(heads, len(x)))]).astype(np.int64).tobytes()))
         return pa.table({"block": pa.array([b for b, _ in packed], pa.int64()), "runs": pa.array([x for _, x in packed], pa.binary())})
 
     return run
@@ -243,6 +298,8 @@ def _cut(length: int, texts: bool):
                     np.add.at(step, begin, 1)
                     np.add.at(step, begin + n - 1 + length, -1)
                 gone = np.cumsum(step[:-1]) > 0
+                for j in _copies_of(row).tolist():
+                    gone[ends[j - 1] if j else 0 : ends[j]] = True
                 out = []
                 for i, ok, s, e in zip(ids.tolist(), known.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     own = gone[s:e]
@@ -262,6 +319,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = BUCKETS * parts
     blocks, _ = blocked(docs, id_col, text_col)
+    sent = blocks.mapInArrow(_send_texts(buckets, length), "bucket int, block bigint, digests binary, ids binary, places binary")
+    copies = sent.groupBy("bucket").applyInArrow(_find_copies, "block bigint, copies binary").groupBy("block").agg(F.collect_list("copies").alias("copies"))  # of one block, so bounded by it
+    blocks = blocks.join(written(copies, "copies").hint("shuffle_hash"), "block", "left")
     sent = blocks.mapInArrow(_send_anchors(buckets, length, k), "bucket int, block bigint, hashes binary, least binary, several binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared_anchors, "block bigint, shared binary")
     shared = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))  # of one block, so bounded by it
