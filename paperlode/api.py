@@ -12,17 +12,15 @@ import json
 import time
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlode.config import Settings
-from paperlode.functions.columns import citation_token, coverage, finding_id, json_field
+from paperlode.functions.columns import citation_token, coverage, finding_id, json_field, token_parts
 from paperlode.operators import aggregate as agg
 from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, snippets, textindex, topics, vectors
 from paperlode.plans.sql_gate import run_sql
 from paperlode.sources import files as src
-from paperlode.sources import records
 
 DERIVED = ("manifest", "documents", "chunks", "vectors", "mentions", "entities", "edges", "clusters", "chunk_clusters", "link_records", "links", "meta")
 AUTHORED = ("observations", "findings", "reviews")
@@ -295,22 +293,25 @@ class Index:
 
     # -- citations and memory
 
-    def _sources(self) -> DataFrame:
-        """Texts derived again from the raw records, by the present map."""
-        settings = self.settings
-
-        @F.pandas_udf("string")
-        def again(raw: pd.Series, path: pd.Series) -> pd.Series:
-            return pd.Series([records.render(json.loads(r), settings.map_for(p)) for r, p in zip(raw, path, strict=True)], dtype=object)
-
-        docs = self.table("documents").filter("raw IS NOT NULL")
-        return docs.select("doc_id", again("raw", "source_path").alias("text"))
+    def _sources(self, cited: DataFrame) -> DataFrame | None:
+        """Texts of cited(token) derived again from the source files, by path and locator; files that are
+        gone have none. As many paths reach the driver as files are cited."""
+        wanted = cited.select(token_parts("token")["doc_id"].alias("doc_id")).distinct().join(self.table("documents").select("doc_id", "source_path", "locator"), "doc_id")
+        _, path = self._fs()
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        there = [p for (p,) in wanted.select("source_path").distinct().collect() if path(p).getFileSystem(conf).exists(path(p))]
+        if not there:
+            return None
+        again = src.map_files(src.scan(self.spark, there), self.settings).filter("error IS NULL")
+        return wanted.join(again.select("source_path", "locator", "text"), ["source_path", "locator"]).select("doc_id", "text")
 
     def cite(self, token: str) -> DataFrame:
-        return citations.resolve(self.spark.createDataFrame([(token,)], "token string"), self.table("documents"), sources=self._sources())
+        rows = self.spark.createDataFrame([(token,)], "token string")
+        return citations.resolve(rows, self.table("documents"), sources=self._sources(rows))
 
     def verify(self, token: str, quote: str) -> DataFrame:
-        return citations.verify(self.spark.createDataFrame([(token, quote)], "token string, quote string"), self.table("documents"), self._sources())
+        rows = self.spark.createDataFrame([(token, quote)], "token string, quote string")
+        return citations.verify(rows, self.table("documents"), self._sources(rows))
 
     def add_finding(self, claim: str, quote: str, token: str) -> DataFrame:
         rows = self.spark.createDataFrame([(claim, quote, token)], "claim string, quote string, token string").withColumn("finding_id", finding_id("claim", "token", "quote"))
@@ -322,7 +323,8 @@ class Index:
 
     def audit(self) -> DataFrame:
         reviews = memory.latest(self.table("reviews"), ["finding_id"], ["at"])
-        return citations.audit(self.findings().drop("finding_id"), self.table("documents"), reviews, self._sources())
+        findings = self.findings().drop("finding_id")
+        return citations.audit(findings, self.table("documents"), reviews, self._sources(findings))
 
     def review(self, finding: str, confirm: bool, reviewer: str = "", note: str = "") -> DataFrame:
         if self.findings().filter(F.col("finding_id") == finding).isEmpty():

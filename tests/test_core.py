@@ -177,3 +177,25 @@ def test_files(spark, tmp_path):
     docs = {r["source_path"].rsplit("/")[-1]: r for r in files.map_files(found, Settings()).collect()}
     assert docs["a.json"]["text"] == "firm: Acme LLC\nn: 1" and docs["a.json"]["doc_id"] == docs["b.json"]["doc_id"]
     assert docs["c.md"]["title"] == "Title" and docs["e.pdf"]["error"]
+
+
+def test_index_verifies_against_files(spark, tmp_path):
+    from paperlode.api import Index
+
+    corpus = tmp_path / "corpus"
+    corpus.mkdir()
+    (corpus / "a.json").write_text('{"results": [{"firm": "Acme LLC", "amount": 5}, {"firm": "Zeta", "amount": 7}]}')
+    (corpus / "b.txt").write_text("# News\n\nAcme LLC spoke today about bridges.")
+    settings = Settings(default=FieldMap(structured_fields=("firm", "amount"), entity_fields=("firm:org",)))
+    index = Index(spark, str(tmp_path / "index"), settings)
+    index.build([str(corpus)])
+    assert index.ingest([str(corpus)]).select("change").distinct().first()[0] == "skipped"
+    token = index.search("bridges", mode="keyword").first()["token"]
+    assert index.verify(token, "ACME llc  spoke").first()["verified"] and not index.verify(token, "never said").first()["verified"]
+    assert index.add_finding("claim", "bridges", token).first()["status"] == "verified"
+    assert index.entities().first()["doc_count"] == 2
+    (corpus / "b.txt").write_text("# News\n\nSomething else was said altogether.")
+    assert index.verify(token, "bridges").first()["source_confirmed"] is False and index.audit().first()["status"] == "unsupported"
+    (corpus / "b.txt").unlink()
+    assert index.verify(token, "bridges").first()["verified"]
+    assert [r["verb"] for r in index.trace(2).collect()] == ["verify", "verify"]
