@@ -33,11 +33,6 @@ def normal_form(text: bytes) -> bytes:
     return text.translate(None, WHITESPACE)
 
 
-def digests_of(words: np.ndarray) -> np.ndarray:
-    """Four big-endian words a digest, as integers that sort as the bytes do."""
-    return words.astype(">u8").view(">u8").astype(np.uint64)
-
-
 class Bloom:
     """A filter of 16 bits a digest and four probes taken from the digest itself."""
 
