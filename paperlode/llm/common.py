@@ -46,14 +46,17 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df written as a table bucketed by key, one file a bucket, so that joins by key don't move it again."""
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """df written as a table bucketed by key, one file a bucket, and the same rows read without the buckets.
+
+    A join of the table by its key doesn't move it again. AQE splits hot keys only where both sides are
+    shuffled, so a join whose other side may have one takes the plain rows."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, name)
     as_table = path.rpartition("/")[2].replace("-", "_")
     df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(as_table)
-    return spark.table(as_table)
+    return spark.table(as_table), spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

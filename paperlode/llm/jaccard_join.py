@@ -260,10 +260,10 @@ def _candidates(entries: DataFrame, t: Threshold, by_centre: bool) -> DataFrame:
     return rows.mapInArrow(_join_lists(t, by_centre), "x bigint, y bigint").distinct()
 
 
-def _join_sets(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """pairs(x, y) with the column of both."""
-    a = sets.select(F.col("id").alias("x"), F.col(column).alias("x_set"))
-    b = sets.select(F.col("id").alias("y"), F.col(column).alias("y_set"))
+def _join_sets(pairs: DataFrame, left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """pairs(x, y) with the column of both: x's of left, y's of right. A hot x or y is split by AQE."""
+    a = left.select(F.col("id").alias("x"), F.col(column).alias("x_set"))
+    b = right.select(F.col("id").alias("y"), F.col(column).alias("y_set"))
     return pairs.join(a, "x").join(b, "y")
 
 
@@ -301,7 +301,7 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     classes = every.filter("n > 0 AND id IS NOT NULL").groupBy(*sig).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
     classes = written(classes, "classes")
     kept = every.filter("tokens IS NOT NULL").join(classes, sig).filter("id = class_id").select("id", "n", "tokens").dropDuplicates(["id"])
-    sets = bucketed(kept, "id", "class-sets")
+    sets_by_id, sets = bucketed(kept, "id", "class-sets")
 
     keys = sets.select("id", "tokens").mapInArrow(_keys, "id bigint, keys array<bigint>").select("id", F.posexplode("keys").alias("round", "key"))
     keys = written(keys, "keys")
@@ -312,11 +312,12 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     best = keys.groupBy("round", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("best"))
     proposed = keys.join(best, ["round", "key"]).select("id", (-F.col("best.minus")).alias("centre"), F.col("best.score").alias("score")).filter("id <> centre").distinct()
     proposed = written(proposed.withColumnsRenamed({"id": "x", "centre": "y"}), "proposed")
-    asked = _join_sets(proposed, sets, "tokens").select("x", "y", "score", "x_set", "y_set")
+    asked = _join_sets(proposed, sets_by_id, sets, "tokens").select("x", "y", "score", "x_set", "y_set")
     found = asked.mapInArrow(_differences, "id bigint, centre bigint, score bigint, n_centre bigint, gone bigint, added bigint, differences binary")
+    found = written(found, "differences")
     found = found.withColumn("r", F.struct("score", (-F.col("centre")).alias("minus"), "n_centre", "gone", "added", "differences"))
     chosen = found.groupBy("id").agg(F.max("r").alias("r"))
-    chosen = bucketed(chosen.select("id", (-F.col("r.minus")).alias("centre"), "r.n_centre", "r.gone", "r.added", "r.differences"), "id", "centres")
+    chosen = written(chosen.select("id", (-F.col("r.minus")).alias("centre"), "r.n_centre", "r.gone", "r.added", "r.differences"), "centres")
 
     slack = (F.lit(den - num) * F.col("n_centre")).alias("slack")
     weight = (F.lit(den) * F.col("gone") + F.lit(num) * F.col("added")).alias("weight")
@@ -334,13 +335,13 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     entries = per_set.withColumn("lone", lone).filter("take > lone").select("*", F.posexplode(F.expr("slice(own, 1, cast(take - lone as int))")).alias("at", "e"))
     entries = entries.select("centre", "e.token", "id", (F.col("n_diff") - F.col("lone") - F.col("at")).alias("a"), F.col("weight").alias("b"), F.col("slack").alias("c"))
     pairs = written(_candidates(entries, t, True), "near-pairs")
-    both = _join_sets(pairs, chosen, "differences").select("x", "y", "x_set", "y_set").mapInArrow(_overlaps, "x bigint, y bigint, both bigint")
+    both = _join_sets(pairs, chosen, chosen, "differences").select("x", "y", "x_set", "y_set").mapInArrow(_overlaps, "x bigint, y bigint, both bigint")
     w = centred.select("id", "weight", "slack")
     near = both.join(w.withColumnsRenamed({"id": "x", "weight": "wx"}), "x").join(w.select(F.col("id").alias("y"), F.col("weight").alias("wy")), "y")
     near = near.filter(F.lit(t.both) * F.col("both") >= F.col("wx") + F.col("wy") - F.col("slack")).select("x", "y")
 
     # over shingles, rarest first, for sets of different centres
-    place = sets.select("id", "tokens").join(chosen.select("id", "centre"), "id", "left").withColumn("centre", F.coalesce("centre", "id"))
+    place = sets_by_id.select("id", "tokens").join(chosen.select("id", "centre"), "id", "left").withColumn("centre", F.coalesce("centre", "id"))
     packs, packs_path = _packed(place)
     sent = packs.mapInArrow(_send_tokens(buckets), "bucket int, pack bigint, hashes binary, counts binary")
     counted = sent.groupBy("bucket").applyInArrow(_counted, "pack bigint, bucket int, counts binary")
@@ -348,7 +349,7 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     entries = packs.join(counted.hint("shuffle_hash"), "pack").mapInArrow(_prefix_entries(t), "token bigint, id bigint, a bigint, b bigint, c bigint")
     pairs = written(_candidates(written(entries, "entries"), t, False), "far-pairs")
     discard(spark, packs_path)
-    both = _join_sets(pairs, sets, "tokens").select("x", "y", "x_set", "y_set").mapInArrow(_overlaps, "x bigint, y bigint, both bigint")
+    both = _join_sets(pairs, sets, sets, "tokens").select("x", "y", "x_set", "y_set").mapInArrow(_overlaps, "x bigint, y bigint, both bigint")
     n = sets.select("id", "n")
     far = both.join(n.withColumnsRenamed({"id": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"id": "y", "n": "ny"}), "y")
     far = far.filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
