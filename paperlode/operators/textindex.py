@@ -14,11 +14,15 @@ K1, B = 1.2, 0.75
 QUERY_TERM = re.compile(r"[\w'-]+")
 
 
+def _folded(text):
+    """Lower case, without the diacritics of Latin letters."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    return F.translate(low, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
 def tokens(text, stem: bool = False):
     """Lower-case words of letters and digits without diacritics, in order."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    plain = F.translate(low, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    words = F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(_folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return stem_column(words) if stem else words
 
 
@@ -49,10 +53,15 @@ def bm25(chunks: DataFrame, query: str, k: int | None = 10, stem: bool = False,
         from paperlode.functions.stemming import stem as stem_word
 
         terms = [[stem_word(w) for w in t] for t in terms]
-    words = tokens(text_col, stem)
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), words.alias("words")).withColumn("dl", F.size("words"))
+    plain = not stem and all(len(t) == 1 for t in terms)  # words can be counted in the text, without arrays of them
+    if plain:
+        rows = chunks.select(F.col(id_col).alias("chunk_id"), _folded(text_col).alias("words")).withColumn("dl", F.regexp_count("words", F.lit(r"[\p{L}\p{N}]+")))
+    else:
+        rows = chunks.select(F.col(id_col).alias("chunk_id"), tokens(text_col, stem).alias("words")).withColumn("dl", F.size("words"))
     for i, term in enumerate(terms):
-        if len(term) == 1:
+        if plain:
+            tf = F.regexp_count("words", F.lit(rf"(?<![\p{{L}}\p{{N}}]){term[0]}(?![\p{{L}}\p{{N}}])"))
+        elif len(term) == 1:
             tf = F.size(F.filter("words", _equals(term[0])))
         else:
             spelled = " ".join(term)
