@@ -17,7 +17,8 @@ QUERY_TERM = re.compile(r"[\w'-]+")
 def _folded(text):
     """Lower case, without the diacritics of Latin letters."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.translate(low, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    marked = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+    return F.when(low.rlike(f"[{marked}]"), F.translate(low, marked, "aaaaaaceeeeiiiinooooouuuuyy")).otherwise(low)
 
 
 def tokens(text, stem: bool = False):
