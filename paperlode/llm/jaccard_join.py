@@ -7,19 +7,21 @@
 3. Answer-level skipping. Sets that share a min-hash propose the most popular of them as centre, and
    its overlap with each is computed once. Two sets of one centre differ from it by few shingles,
    and their overlap follows from those differences alone: |x&y| = |c| - |c-x| - |c-y| + common
-   differences. So they are joined over differences, and two that are both linked to the centre not
-   at all, since they are in one component already.
+   differences. So they are joined over differences. For components two that are both linked to the
+   centre aren't joined at all; where links are counted, pairs that are linked whatever their
+   differences share are counted from the sorted weights, and only the other ones are joined.
 4. Index-level skipping. Lists (a difference under a centre, or a shingle of a prefix, rarest first)
    hold their sets by position; blocks of a list are skipped as a whole where the best of their
    positions and sizes can't reach the overlap asked for, or where all have one centre. Lists longer
    than CHUNK are dealt to several tasks, as pairs of chunks.
 5. Candidates are verified on whole sets. Components come from the links by min-label propagation.
 
-No list, set or component is ever collected, and pairs of one centre's near copies are not listed.
+No list, set or component is ever collected, and pairs of one centre's near copies are not listed
+unless they need their differences to be linked.
 
 Defined cases: null or empty text, and text of white space, has no shingles and no link; fewer words
 than a shingle make one; rows that repeat an id are one document with the link of each text; a null id
-has no id to be linked by and forms no component (component null); an empty table gives no rows;
+has no id to be linked by and forms no component (component null, no links); an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlode.llm.blocks import NO_ID, blocked, unpacked
@@ -170,18 +172,20 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["x", "y", "both"])
 
 
-def _join_lists(t: Threshold, by_centre: bool):
+def _join_lists(t: Threshold, by_centre: bool, whole: bool = False):
     """Pairs of a list that may be linked. Rows of a list stand together: list, id, a, b, c.
 
     Over differences (by_centre): a = differences from this position on, b = weight of the differences,
-    c = what a link allows the two weights more than that. Over shingles: a = position, b = size, c = centre.
+    c = what a link allows the two weights more than that; pairs that are both linked to the centre are left
+    out, or if whole only those whose weights alone make a link. Over shingles: a = position, b = size, c = centre.
     A list that several chunks share has them in side (0: both sides)."""
 
     def fits(x, y):
         (_, xs, xa, xb, xc), (_, ys, ya, yb, yc) = (tuple(v[..., k] for k in range(5)) for v in (x, y))
         apart = (xs == 0) | (xs != ys)
         if by_centre:
-            return apart & (t.both * np.minimum(xa, ya) >= xb + yb - xc) & ((xb > xc) | (yb > yc))
+            open_ = xb + yb > xc if whole else (xb > xc) | (yb > yc)
+            return apart & (t.both * np.minimum(xa, ya) >= xb + yb - xc) & open_
         need = -(-t.num * (xb + yb) // t.both)
         return apart & (xc != yc) & (1 + np.minimum(xb - xa, yb - ya) - 1 >= need) & (t.den * np.minimum(xb, yb) >= t.num * np.maximum(xb, yb))
 
@@ -189,7 +193,7 @@ def _join_lists(t: Threshold, by_centre: bool):
         """Whether the best of two blocks could be linked."""
         if by_centre:
             best = t.both * min(x[:, 2].max(), y[:, 2].max()) >= x[:, 3].min() + y[:, 3].min() - x[0, 4]
-            return bool(best and (x[:, 3].max() > x[0, 4] or y[:, 3].max() > x[0, 4]))
+            return bool(best and (x[:, 3].max() + y[:, 3].max() > x[0, 4] if whole else x[:, 3].max() > x[0, 4] or y[:, 3].max() > x[0, 4]))
         if x[0, 4] == y[0, 4] and (x[:, 4] == x[0, 4]).all() and (y[:, 4] == y[0, 4]).all():
             return False
         return bool(t.den * x[:, 3].max() >= t.num * y[:, 3].min() and t.den * y[:, 3].max() >= t.num * x[:, 3].min())
@@ -240,7 +244,7 @@ def _join_lists(t: Threshold, by_centre: bool):
     return run
 
 
-def _candidates(entries: DataFrame, t: Threshold, by_centre: bool) -> DataFrame:
+def _candidates(entries: DataFrame, t: Threshold, by_centre: bool, whole: bool = False) -> DataFrame:
     """entries: centre, token, id, a, b, c. Lists of one entry are dropped, long ones dealt in pairs of chunks."""
     key = ["centre", "token"] if by_centre else ["token"]
     if not by_centre:
@@ -257,7 +261,7 @@ def _candidates(entries: DataFrame, t: Threshold, by_centre: bool) -> DataFrame:
     rows = rows.select("centre", "token", low.alias("low"), high.alias("high"), "id", side.alias("side"), *(F.col(x).cast("bigint") for x in "abc"))
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "centre", "token", "low", "high").sortWithinPartitions("centre", "token", "low", "high")
-    return rows.mapInArrow(_join_lists(t, by_centre), "x bigint, y bigint").distinct()
+    return rows.mapInArrow(_join_lists(t, by_centre, whole), "x bigint, y bigint").distinct()
 
 
 def _join_sets(pairs: DataFrame, left: DataFrame, right: DataFrame, column: str) -> DataFrame:
@@ -284,10 +288,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, classes, links): every row's id, n and class signature; the class's smallest id; links
-    (x, y) between classes by their smallest ids. Of links between sets that are both linked to their
-    common centre only those with the centre are listed; they join the same components."""
+def _certain(centred: DataFrame) -> DataFrame:
+    """id, n_links: with how many others of its centre a set is linked by the two weights alone. Weights
+    are counted first, so a centre's rows are its different weights, not its sets."""
+    linked = centred.filter("weight <= slack").select("id", "centre", "weight", "slack")
+    sizes = linked.groupBy("centre", "weight", "slack").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("bigint")
+    held = sizes.select("centre", F.col("weight").alias("at"), F.lit(0).alias("asks"), "n", "weight", "slack")
+    asks = sizes.select("centre", (F.col("slack") - F.col("weight")).alias("at"), F.lit(1).alias("asks"), none.alias("n"), "weight", "slack")
+    upto = F.sum("n").over(Window.partitionBy("centre").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.when(2 * F.col("weight") <= F.col("slack"), 1).otherwise(0)
+    found = held.unionByName(asks).withColumn("upto", upto).filter("asks = 1").select("centre", "weight", (F.col("upto") - own).alias("n_links"))
+    return linked.join(found, ["centre", "weight"]).select("id", "n_links").filter("n_links > 0")
+
+
+def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(documents, classes, links, certain): every row's id, n and class signature; the class's smallest
+    id; links (x, y) between classes by their smallest ids; None. Of links between sets that are both
+    linked to their common centre only those with the centre are listed; they join the same components.
+    If whole, all links are there: certain (id, n_links) counts those that are not listed."""
     t, spark = Threshold(num, den), docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, blocks_path = blocked(docs, id_col, text_col)
@@ -323,9 +342,11 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     weight = (F.lit(den) * F.col("gone") + F.lit(num) * F.col("added")).alias("weight")
     centred = chosen.select("id", "centre", "differences", slack, weight, (F.col("gone") + F.col("added")).alias("n_diff"))
     direct = centred.filter("weight <= slack").select(F.col("id").alias("x"), F.col("centre").alias("y"))
+    certain = written(_certain(centred), "certain") if whole else None
 
-    # over the differences: prefixes that a pair of which one isn't linked to the centre must share
-    need = F.when(F.col("weight") <= F.col("slack"), F.expr(f"(weight + 1 + {t.both - 1}) div {t.both}")).otherwise(F.expr(f"(weight - slack + {t.both - 1}) div {t.both}"))
+    # over the differences: prefixes that a pair must share of which one isn't linked to the centre, or
+    # if whole any pair that the two weights alone don't link
+    need = F.when(F.col("weight") <= F.col("slack"), F.lit(1).cast("bigint") if whole else F.expr(f"(weight + 1 + {t.both - 1}) div {t.both}")).otherwise(F.expr(f"(weight - slack + {t.both - 1}) div {t.both}"))
     centred = centred.withColumn("take", F.col("n_diff") - need + 1).filter("take > 0")
     tokens = centred.withColumn("token", F.explode(_longs("differences"))).drop("differences")
     held = tokens.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -334,7 +355,7 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     lone = F.col("n_diff") - F.size("own")  # differences that no other set has come first
     entries = per_set.withColumn("lone", lone).filter("take > lone").select("*", F.posexplode(F.expr("slice(own, 1, cast(take - lone as int))")).alias("at", "e"))
     entries = entries.select("centre", "e.token", "id", (F.col("n_diff") - F.col("lone") - F.col("at")).alias("a"), F.col("weight").alias("b"), F.col("slack").alias("c"))
-    pairs = written(_candidates(entries, t, True), "near-pairs")
+    pairs = written(_candidates(entries, t, True, whole), "near-pairs")
     both = _join_sets(pairs, chosen, chosen, "differences").select("x", "y", "x_set", "y_set").mapInArrow(_overlaps, "x bigint, y bigint, both bigint")
     w = centred.select("id", "weight", "slack")
     near = both.join(w.withColumnsRenamed({"id": "x", "weight": "wx"}), "x").join(w.select(F.col("id").alias("y"), F.col("weight").alias("wy")), "y")
@@ -354,7 +375,7 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     far = both.join(n.withColumnsRenamed({"id": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"id": "y", "n": "ny"}), "y")
     far = far.filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y")
     links = written(direct.unionByName(near).unionByName(far).distinct(), "links")
-    return every.select("id", *sig), classes, links
+    return every.select("id", *sig), classes, links, certain
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,19 +471,25 @@ def _longs(column: str):
     return words(F.col(column))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, class_id (smallest id with an equal set), component_id."""
-    documents, classes, links = similar_sets(docs, words, num, den, id_col, text_col)
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row a document: id, n_shingles, class_id (smallest id with an equal set), component_id; with
+    count_links also n_links, the number of other classes whose set its own is linked to."""
+    documents, classes, links, certain = similar_sets(docs, words, num, den, id_col, text_col, count_links)
     # an id with several texts ties their classes together
     many = documents.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("id")
     placed = documents.join(classes, ["sig_a", "sig_b", "n"], "left")
+    if count_links:
+        one = F.lit(1).cast("bigint").alias("n_links")
+        ends = links.select(F.col("x").alias("id"), one).union(links.select("y", one)).union(certain)
+        counts = ends.groupBy(F.col("id").alias("class_id")).agg(F.sum("n_links").alias("n_links"))
+        placed = placed.join(counts, "class_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("bigint")))
     if not many.isEmpty():
         tied = placed.join(many, "id").select(F.col("id").alias("x"), F.col("class_id").alias("y")).filter("x <> y")
         links = written(links.unionByName(tied).distinct(), "links")
     labels = components(links).withColumnsRenamed({"id": "class_id", "label": "component"})
     out = placed.join(labels, "class_id", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "class_id", "id"))
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), component.alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), component.alias("component_id"), *(["n_links"] if count_links else []))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,6 +497,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
 
 
+def op7_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join's number of links: of each document, how many other classes its own is linked to."""
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=4, num=85, den=100, count_links=True)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links")
+
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
@@ -482,3 +515,10 @@ u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, u.y FROM r JOIN u ON r.other = u.x)
 SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id, any_value(n.class_id) AS class_id FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id
 """
+#: As above, with the links of each document to other classes counted.
+OP7_LINKS_SQL = f"""
+WITH RECURSIVE base AS ({OP7_SQL}),
+{OP7_SQL[OP7_SQL.index("w AS (SELECT") : OP7_SQL.index(",{nl}r(id, other)".format(nl=chr(10)))]}
+SELECT base.*, count(DISTINCT b.class_id) FILTER (b.class_id <> base.class_id) AS n_links
+FROM base LEFT JOIN u ON u.x = base.doc_id LEFT JOIN n b ON b.doc_id = u.y GROUP BY ALL
+"""

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_winnowing_fingerprints": winnowing.op5_winnowing_fingerprints,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op7_link_counts": jaccard_join.op7_link_counts,
     "op8_shard_documents": sharding.op8_shard_documents,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
@@ -20,5 +21,6 @@ ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
     "op6_warc_round_trip": warc.OP6_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
+    "op7_link_counts": jaccard_join.OP7_LINKS_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }

@@ -348,6 +348,29 @@ def test_jaccard_join(spark, monkeypatch, k, num, chunk):
     assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize(("seed", "chunk"), [(5, 4096), (6, 16)])
+def test_jaccard_link_counts(spark, monkeypatch, seed, chunk):
+    random.seed(seed)
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rows = near_rows(250)
+    base = [f"v{i}" for i in range(100)]  # a group around one centre, with edits alone and in common
+    for i in range(60):
+        w = list(base)
+        for at in random.sample([10, 30, 50, 70, 90], random.randrange(3)) + random.sample(range(100), random.randrange(2)):
+            w[at] = random.choice(["x", f"y{i}"])
+        rows.append((7000 + i, " ".join(w)))
+    classes = {}
+    for i, t in rows:
+        if s := set_of(t, 4):
+            classes.setdefault(s, []).append(i)
+    linked = {s: sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in classes) for s in classes}
+    got = jaccard_join.near_duplicates(frame(spark, rows), 4, 85, 100, count_links=True).collect()
+    assert sorted((r["id"], r["n_links"]) for r in got) == sorted((i, linked.get(set_of(t, 4), 0)) for i, t in rows)
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 4, 85, 100)
+    assert max(linked.values()) > 20
+
+
 def test_jaccard_odd(odd, empty):
     got = sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(odd, 4, 85, 100).collect()), key=str)
     assert len(got) == 11 and (None, 3, None) in got
