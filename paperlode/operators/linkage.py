@@ -111,9 +111,10 @@ def trained_levels(rows: DataFrame, on: str, levels: dict | None = None, most: i
     return {k: (m, share[k]) for k, (m, _) in levels.items()}
 
 
-def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, cluster_id (smallest id that edges(src, dst) lead to) for every node. Each round takes the
-    smallest label around and its label's label; lineage is cut by checkpoints."""
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, cluster_id (smallest id that edges(src, dst) lead to) for every node. Each round hangs the larger
+    neighbours of a node on the smallest one around, then the smaller ones too (large star, small star),
+    until every node hangs on one that hangs on none; lineage is cut by checkpoints."""
     spark = nodes.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -122,17 +123,18 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame
 
             folder = tempfile.mkdtemp(prefix="paperlode-")
         spark.sparkContext.setCheckpointDir(folder)
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(edges.select("dst", "src")).distinct().checkpoint()
-    labels = nodes.select(F.col("id"), F.col("id").alias("cluster_id"))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("id")).agg(F.min("cluster_id").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("cluster_id").alias("old"), F.least("cluster_id", F.coalesce("near", "cluster_id")).alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("cluster_id").alias("jump"))
-        step = step.join(jump, "mid", "left").select("id", "old", F.least("mid", F.coalesce("jump", "mid")).alias("cluster_id")).checkpoint()
-        labels = step.select("id", "cluster_id")
-        if step.filter("old <> cluster_id").isEmpty():
+    links = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
+    while True:
+        both = links.union(links.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        links = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct().checkpoint()
+        low = links.groupBy("u").agg(F.min("v").alias("low"))
+        rest = links.join(low, "u").filter("v <> low").select("v", "low")
+        links = low.union(rest).distinct().toDF("u", "v").checkpoint()
+        several = links.groupBy("u").count().filter("count > 1")
+        if several.isEmpty() and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-    return labels
+    return nodes.join(links.withColumnsRenamed({"u": "id", "v": "cluster_id"}), "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 
 
 def clusters(rows: DataFrame, pairs: DataFrame, threshold: float = 0.9) -> DataFrame:

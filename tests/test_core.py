@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,18 @@ def test_linkage(spark):
     assert [x["record_ids"] for x in got] == [["1", "2", "3"]]
 
 
+def test_connected_long_chains(spark):
+    ids = [f"{i:04d}" for i in range(700)]
+    random.Random(4).shuffle(ids)
+    chains, want = [ids[:400], ids[400:690]], {i: i for i in ids}
+    for chain in chains:
+        want |= dict.fromkeys(chain, min(chain))
+    edges = spark.createDataFrame([(min(p), max(p)) for c in chains for p in zip(c, c[1:], strict=False)], "src string, dst string")
+    got = linkage.connected(spark.createDataFrame([(i,) for i in ids], "id string"), edges).collect()
+    assert len(got) == 700 and dict(map(tuple, got)) == want
+    assert {tuple(r) for r in linkage.connected(spark.createDataFrame([("a",), ("b",)], "id string"), edges.limit(0)).collect()} == {("a", "a"), ("b", "b")}
+
+
 def test_citations(spark):
     docs = spark.createDataFrame([("d", "Hello\n  Wörld of rails"), ("v", "seen by a model")], "doc_id string, text string").withColumn("text_provenance", F.when(F.col("doc_id") == "v", "vision").otherwise("native"))
     token = lambda d, s, e: docs.filter(F.col("doc_id") == d).select(C.citation_token("doc_id", F.lit(s), F.lit(e), C.span("text", F.lit(s), F.lit(e)))).first()[0]
