@@ -3,7 +3,7 @@
 1. Texts are packed into blocks. Blocks send the smallest hashes of each set (a prefix that a linked
    set must share in part) to hash buckets, which answer with those that several texts have. A set
    whose prefix has too few of them has no link and leaves: most do.
-2. Of equal sets the smallest id stands for all (class).
+2. Of equal sets one stands for all (class). Classes are numbered, and joined by their numbers.
 3. Answer-level skipping. Sets that share a min-hash propose the most popular of them as centre, and
    its overlap with each is computed once. Two sets of one centre differ from it by few shingles,
    and their overlap follows from those differences alone: |x&y| = |c| - |c-x| - |c-y| + common
@@ -303,8 +303,8 @@ def _certain(centred: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """(documents, classes, links, certain): every row's id, n and class signature; the class's smallest
-    id; links (x, y) between classes by their smallest ids; None. Of links between sets that are both
+    """(documents, classes, links, certain): every row's id, n and class signature; the class's number and
+    smallest id; links (x, y) between classes by their numbers; None. Of links between sets that are both
     linked to their common centre only those with the centre are listed; they join the same components.
     If whole, all links are there: certain (id, n_links) counts those that are not listed."""
     t, spark = Threshold(num, den), docs.sparkSession
@@ -318,8 +318,9 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
 
     sig = ["sig_a", "sig_b", "n"]
     classes = every.filter("n > 0 AND id IS NOT NULL").groupBy(*sig).agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
-    classes = written(classes, "classes")
-    kept = every.filter("tokens IS NOT NULL").join(classes, sig).filter("id = class_id").select("id", "n", "tokens").dropDuplicates(["id"])
+    # numbered in the order of the ids, which decides between centres
+    classes = written(classes.orderBy("class_id", *sig).withColumn("class", F.monotonically_increasing_id()), "classes")
+    kept = every.filter("tokens IS NOT NULL").join(classes, sig).filter("id = class_id").select(F.col("class").alias("id"), "n", "tokens").dropDuplicates(["id"])
     sets_by_id, sets = bucketed(kept, "id", "class-sets")
 
     keys = sets.select("id", "tokens").mapInArrow(_keys, "id bigint, keys array<bigint>").select("id", F.posexplode("keys").alias("round", "key"))
@@ -475,19 +476,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """One row a document: id, n_shingles, class_id (smallest id with an equal set), component_id; with
     count_links also n_links, the number of other classes whose set its own is linked to."""
     documents, classes, links, certain = similar_sets(docs, words, num, den, id_col, text_col, count_links)
-    # an id with several texts ties their classes together
-    many = documents.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("id")
     placed = documents.join(classes, ["sig_a", "sig_b", "n"], "left")
     if count_links:
         one = F.lit(1).cast("bigint").alias("n_links")
         ends = links.select(F.col("x").alias("id"), one).union(links.select("y", one)).union(certain)
-        counts = ends.groupBy(F.col("id").alias("class_id")).agg(F.sum("n_links").alias("n_links"))
-        placed = placed.join(counts, "class_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("bigint")))
+        counts = ends.groupBy(F.col("id").alias("class")).agg(F.sum("n_links").alias("n_links"))
+        placed = placed.join(counts, "class", "left").withColumn("n_links", F.when(F.col("id").isNotNull() & F.col("n_links").isNotNull(), F.col("n_links")).otherwise(F.lit(0).cast("bigint")))
+    # an id with several texts ties their classes together
+    many = placed.filter("class IS NOT NULL").groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("last")).filter("x < last").select("id", "x")
     if not many.isEmpty():
-        tied = placed.join(many, "id").select(F.col("id").alias("x"), F.col("class_id").alias("y")).filter("x <> y")
+        tied = placed.join(many, "id").filter("x <> class").select("x", F.col("class").alias("y"))
         links = written(links.unionByName(tied).distinct(), "links")
-    labels = components(links).withColumnsRenamed({"id": "class_id", "label": "component"})
-    out = placed.join(labels, "class_id", "left")
+    labels = components(links).withColumnRenamed("id", "class")
+    smallest = labels.join(classes, "class").groupBy("label").agg(F.min("class_id").alias("component"))
+    out = placed.join(labels.join(smallest, "label").select("class", "component"), "class", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "class_id", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), component.alias("component_id"), *(["n_links"] if count_links else []))
 

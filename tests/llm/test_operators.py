@@ -371,6 +371,18 @@ def test_jaccard_link_counts(spark, monkeypatch, seed, chunk):
     assert max(linked.values()) > 20
 
 
+def test_jaccard_texts_of_one_id(spark):
+    random.seed(8)
+    a, b, c = ([f"{x}{random.randrange(10**6)}" for _ in range(60)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, near(a)), (11, near(b)), (3, near(c)), (20, " ".join(c)), (20, " ".join(a)), (20, " ".join(a)), (30, "alone in here")]
+    got = jaccard_join.near_duplicates(frame(spark, rows), 4, 85, 100, count_links=True).collect()
+    assert {(r["id"], r["component_id"]) for r in got} == {(i, 3) for i in (3, 5, 9, 11, 20)} | {(30, 30)}
+    apart = jaccard_join.near_duplicates(frame(spark, rows[:4] + rows[8:]), 4, 85, 100, count_links=True).collect()
+    assert sorted((r["id"], r["component_id"], r["n_links"]) for r in apart) == [(5, 5, 1), (5, 5, 1), (9, 5, 1), (11, 5, 1), (30, 30, 0)]
+    assert sorted((r["id"], r["class_id"], r["n_links"]) for r in got) == [(3, 3, 1), (5, 5, 1), (5, 5, 1), (9, 9, 1), (11, 11, 1), (20, 5, 1), (20, 5, 1), (20, 20, 1), (30, 30, 0)]
+
+
 def test_jaccard_odd(odd, empty):
     got = sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(odd, 4, 85, 100).collect()), key=str)
     assert len(got) == 11 and (None, 3, None) in got
