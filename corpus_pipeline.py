@@ -19,22 +19,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != "und") & ~F.col("lang_ambiguous")).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a row_key of each row's own in the order of the ids (null last, then the longest text first):
+    the id itself, or where ids repeat or are null the place in that order, written so that it stays."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id"))
+    rows = docs.orderBy(F.asc_nulls_last("doc_id"), F.desc(F.length("text")), *(c for c in docs.columns if c != "doc_id"))
+    return written(rows.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.select(F.col("id").alias("row_key")), "row_key", "left_anti").drop("row_key")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts, also where rows repeat an id."""
-    found = written(exact_dedup.exact_dedup(docs), "exact")
-    kept = found.filter("kept")
-    if not kept.groupBy("id").count().filter("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group of equal texts, also where rows repeat an id or have none."""
+    docs = _keyed(docs)
+    found = written(exact_dedup.exact_dedup(docs, id_col="row_key"), "exact")
     return _without(docs, found.filter("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8)."""
-    found = jaccard_join.near_duplicates(docs)
+    """Keeps the row with the smallest id of each group (five-word shingles, similarity 0.8), also where
+    rows repeat an id or have none."""
+    docs = _keyed(docs)
+    found = jaccard_join.near_duplicates(docs, id_col="row_key")
     return _without(docs, found.filter("id <> component_id"))
 
 

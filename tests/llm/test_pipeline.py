@@ -54,3 +54,18 @@ def test_language_stage_keeps_clean(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.language(spark, docs, "").count() == 80
     assert language_id.CodeModel([], language_id.codewords(0), None, None, None).predict(["a"]) == [("und", 0.0, False)]
+
+
+def test_dedup_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).repartition(3)
+    texts = lambda out: sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    rows = [(3, b), (5, a), (5, b), (None, b), (7, c), (7, c + " "), (7, c), (None, d), (None, d), (8, "alone")]
+    out = corpus_pipeline.exact(spark, frame(rows), "")
+    assert out.columns == [x.split()[0] for x in schema.split(", ")]
+    assert texts(out) == sorted([(3, b), (5, a), (7, c + " "), (None, d), (8, "alone")], key=str)
+    rows = [(3, b), (5, a), (5, b + " end"), (None, b + " fin"), (7, c), (7, c + " end"), (None, d), (None, d + " end"), (8, "alone")]
+    out = corpus_pipeline.near(spark, frame(rows), "")
+    assert out.columns == [x.split()[0] for x in schema.split(", ")]
+    assert texts(out) == sorted([(3, b), (5, a), (7, c + " end"), (None, d + " end"), (8, "alone")], key=str)
