@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +10,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import scratch, utf8
+from paperlode.llm.common import scratch, table_name, utf8
 
 #: Bytes of text in a block; more only if one text has more.
 BLOCK_BYTES = 1 << 22
 NO_ID = np.iinfo(np.int64).max
-SCHEMA = "block bigint, ids binary, known binary, ends binary, text binary"
+SCHEMA = "block bigint, n_bytes bigint, ids binary, known binary, ends binary, text binary"
 
 
 def _pack_blocks(block_bytes: int):
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("ends", pa.binary()), ("text", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("ends", pa.binary()), ("text", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -29,7 +28,7 @@ def _pack_blocks(block_bytes: int):
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
             numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
             known = np.array([i is not None for i in ids], np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (numbers, known, ends)), pa.array([b"".join(texts)], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (numbers, known, ends)), pa.array([b"".join(texts)], pa.binary())], schema=schema)
 
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
@@ -49,12 +48,16 @@ def _pack_blocks(block_bytes: int):
 def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """The blocks of docs, as many buckets as there are shuffle partitions, and where they lie. Null text counts as empty."""
     spark = docs.sparkSession
-    name = f"blocks_{uuid.uuid4().hex}"
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = docs.mapInArrow(_pack_blocks(block_bytes), SCHEMA).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
     path = scratch(spark, "blocks")
-    out.option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), path
+    out.option("path", path).option("compression", "zstd").saveAsTable(table_name(path))
+    return spark.table(table_name(path)), path
+
+
+def total_bytes(blocks: DataFrame) -> int:
+    """Bytes of text in all blocks; reads one narrow column."""
+    return blocks.agg(F.sum("n_bytes")).first()[0] or 0
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters of ``[\x20\x09-\x0D]``.
@@ -18,10 +19,13 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own is made
+    under a local master; on a cluster a machine's own folder would split the data, so that is an error."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='paperlode-')}"
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -32,15 +36,50 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def table_name(path: str) -> str:
+    """The catalogue's name of a table of ours that lies at path."""
+    return path.rpartition("/")[2].replace("-", "_")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again; cuts the lineage."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written(), with the path, for tables that are discarded before the job ends."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def buckets_for(spark: SparkSession, n_bytes: int, per_partition: int, bucket_bytes: int = 1 << 25) -> tuple[int, int]:
+    """(hash buckets, partitions) for n_bytes of rows: a bucket, which one call holds in memory, has about
+    bucket_bytes at most and a task 2 * bucket_bytes, however large the input; small inputs have
+    per_partition buckets a shuffle partition."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // (2 * bucket_bytes)))
+    return max(per_partition * parts, -(-n_bytes // bucket_bytes)), parts
+
+
+#: One key's rows are joined by a broadcast instead of a shuffle from this share of all rows on (and HOT_ROWS).
+HOT_SHARE, HOT_ROWS = 4096, 64
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with per_key (one row a key, of whose column size says how many rows have it), hot keys apart.
+
+    Keys of over total / HOT_SHARE rows are fewer than HOT_SHARE, so their part of per_key is broadcast and
+    their rows stay where they are; no other key can fill a task. rows without a key in per_key go, or stay with
+    how = "left"; per_key then has no key that rows lack."""
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(per_key.filter(F.col(size) > limit))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(per_key.filter(F.col(size) <= limit), keys, how)
+    return rest.unionByName(rows.join(hot, keys).select(*rest.columns))
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table of ours in the shared folder that nothing will read again."""
+    """Deletes a table of ours in the shared folder that nothing will read again, and its catalogue entry."""
+    spark.sql(f"DROP TABLE IF EXISTS `{table_name(path)}`")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -54,9 +93,22 @@ def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch(spark, name)
-    as_table = path.rpartition("/")[2].replace("-", "_")
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(as_table)
-    return spark.table(as_table), spark.read.schema(df.schema).parquet(path)
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(table_name(path))
+    return spark.table(table_name(path)), spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with place, their number (from 0) in the given order, written to the shared folder.
+
+    order must tell any two rows apart, so that range partitions are even whatever keys are hot. A row's
+    number is what the partitions before its own hold and its place inside; only the partitions' counts,
+    one row each, meet in one task."""
+    held = written(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("place", 33)
+    counts = held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    held = held.withColumn("part", part).join(F.broadcast(before), "part")
+    return held.withColumn("place", F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "before")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
