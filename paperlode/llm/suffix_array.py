@@ -1,11 +1,12 @@
 """Suffix arrays built blockwise with a difference cover.
 
 The suffixes that stand at given positions are sorted one bucket (a range of leading words) at a time.
-Inside a bucket they are compared by their first V bytes; suffixes that tie there are told apart by
-the ranks of a difference-cover sample: for residues a and b modulo V some shift d < V takes both into
-the cover, and the precomputed ranks of the shifted suffixes decide. So what a bucket needs is two
-words a suffix, whatever the length of the ties. Ranks are exact to DEPTH bytes, more than any
-comparison here asks for.
+Inside a bucket they are compared by their first V bytes. Suffixes that tie there are told apart by the
+precomputed ranks of a difference-cover sample alone: for residues a and b modulo V some shift d < V takes
+both into the cover, and the ranks of the shifted suffixes decide. A tie is cut by residues; each pair
+of residues is compared at its own shift, and a suffix's place is the number of those before it. So what
+a bucket needs is two words and a count a suffix, whatever the length of the ties. Ranks are exact to
+DEPTH bytes, more than any comparison here asks for.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ COVER = (0, 1, 2, 5, 8)
 #: Bytes to which ranks of the sample are exact, and suffixes sorted at a time.
 DEPTH, BUCKET = 64, 1 << 17
 _IN_COVER = np.isin(np.arange(V), COVER)
-#: Bit d of _SHIFTS[r]: residue r plus d is in the cover.
-_SHIFTS = np.array([sum(1 << d for d in range(V) if _IN_COVER[(r + d) % V]) for r in range(V)], np.uint32)
+#: SHIFT[a, b]: the smallest d that takes both residues into the cover.
+SHIFT = np.array([[next(d for d in range(V) if _IN_COVER[(a + d) % V] and _IN_COVER[(b + d) % V]) for b in range(V)] for a in range(V)])
 
 
 def big_endian_words(text: np.ndarray) -> np.ndarray:
@@ -69,13 +70,14 @@ def cover_ranks(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def sorted_suffixes(text: np.ndarray, places: np.ndarray):
+def sorted_suffixes(text: np.ndarray, places: np.ndarray, words: np.ndarray | None = None):
     """Yields, bucket by bucket in order, places sorted by the suffixes that begin there.
 
-    Suffixes are in order to DEPTH bytes at least; a bucket never splits suffixes that share a word."""
+    Suffixes are in order to DEPTH bytes at least; a bucket never splits suffixes that share a word.
+    words: big_endian_words(text), where the caller has them."""
     if not len(places):
         return
-    words = big_endian_words(text)
+    words = big_endian_words(text) if words is None else words
     ranks = cover_ranks(words)
     lead = words[places]
     by_lead = np.argsort(lead, kind="stable")
@@ -95,35 +97,61 @@ def _sort_bucket(words: np.ndarray, ranks: np.ndarray, places: np.ndarray) -> np
     places, first, second = places[order], first[order], second[order]
     new = np.ones(len(places), bool)
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-    heads = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    if len(heads) == len(places):
+    sizes = np.bincount(group)
+    if len(sizes) == len(places):
         return places
-    shifts = np.bitwise_and.reduceat(_SHIFTS[places % V], heads)  # shifts that take the whole tie into the cover
-    lowest = np.zeros(len(heads), np.int64)
-    for d in range(V - 1, -1, -1):
-        lowest[(shifts >> np.uint32(d)) & np.uint32(1) == 1] = d
-    common = (shifts > 0)[group]
-    shifted = places + lowest[group]
-    key = np.where(shifted < len(words), ranks[np.minimum(shifted, len(words) - 1)], -1)
-    keys = [np.where(common, key, 0)]
-    if not common.all():  # ties of many residues: no shift serves them all, so they are compared on
-        for k in range(2, DEPTH // 8):
-            keys.append(np.where(common, np.uint64(0), _at(words, places + 8 * k)))
-    return places[np.lexsort((*reversed(keys), group))]
-
-
-def equal_prefix(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    smaller = np.zeros(len(places), np.int64)  # suffixes of the tie that come before
+    heads = np.flatnonzero(new)
+    twos = heads[sizes == 2]
+    a, b = places[twos], places[twos + 1]
+    d = SHIFT[a % V, b % V]
+    swap = _ranks_at(ranks, a + d) > _ranks_at(ranks, b + d)
+    smaller[twos[swap]] = 1
+    smaller[twos[~swap] + 1] = 1
+    rest = np.flatnonzero(sizes[group] > 2)
+    if len(rest):
+        smaller[rest] = _count_smaller(ranks, places[rest], group[rest])
+    return places[np.lexsort((smaller, group))]
+
+
+def _ranks_at(ranks: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes at places of the cover; past the end of the text -1."""
+    return np.where(places < len(ranks), ranks[np.minimum(places, len(ranks) - 1)], -1)
+
+
+def _count_smaller(ranks: np.ndarray, places: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each place how many places of its group have a smaller suffix, by one search a pair of residues."""
+    top, out = np.int64(len(ranks) + 2), np.zeros(len(places), np.int64)
+    group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    residue = places % V
+    classes = [np.flatnonzero(residue == r) for r in range(V)]
+    keys = lambda r, d: group[classes[r]] * top + _ranks_at(ranks, places[classes[r]] + d) + 1
+    sorted_keys: dict[tuple[int, int], np.ndarray] = {}
+    for r in range(V):
+        for q in range(V):
+            if not len(classes[r]) or not len(classes[q]):
+                continue
+            d = int(SHIFT[r, q])
+            if (q, d) not in sorted_keys:
+                sorted_keys[q, d] = np.sort(keys(q, d))
+            held = sorted_keys[q, d]
+            own = group[classes[r]] * top
+            out[classes[r]] += np.searchsorted(held, keys(r, d)) - np.searchsorted(held, own)
+    return out
+
+
+def equal_prefix(text: np.ndarray, places: np.ndarray, length: int, words: np.ndarray | None = None) -> np.ndarray:
     """Whether the suffix at each place shares ``length`` bytes with the one before it in the order."""
+    words = big_endian_words(text) if words is None else words
+    whole = places + length <= len(text)
     same = np.zeros(len(places), bool)
-    same[1:] = True
-    live = np.arange(1, len(places))
-    for k in range(length):
-        if not len(live):
-            break
-        a, b = places[live] + k, places[live - 1] + k
-        ok = (a < len(text)) & (b < len(text))
-        ok &= text[np.minimum(a, len(text) - 1)] == text[np.minimum(b, len(text) - 1)]
-        same[live[~ok]] = False
-        live = live[ok]
+    same[1:] = whole[1:] & whole[:-1]
+    live = np.flatnonzero(same)
+    for k in range(0, length, 8):
+        a, b = _at(words, places[live] + k), _at(words, places[live - 1] + k)
+        if length - k < 8:  # only the leading bytes count
+            a, b = a >> np.uint64(8 * (8 - length + k)), b >> np.uint64(8 * (8 - length + k))
+        same[live[a != b]] = False
+        live = live[a == b]
     return same
