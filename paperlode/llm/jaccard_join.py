@@ -13,10 +13,12 @@
 4. Index-level skipping. Lists (a difference under a centre, or a shingle of a prefix, rarest first)
    hold their sets by position; blocks of a list are skipped as a whole where the best of their
    positions and sizes can't reach the overlap asked for, or where all have one centre. Lists longer
-   than CHUNK are dealt to several tasks, as pairs of chunks.
+   than a chunk are dealt to several tasks, as pairs of chunks.
 5. Candidates are verified on whole sets. Components come from the links by min-label propagation.
 
-No list, set or component is ever collected, and pairs of one centre's near copies are not listed
+Min-hashes that very many sets share are joined by broadcast, so no task gets a hot one's rows (see
+common.join_by_key). Shingles are compared as 64-bit hashes and equal sets by 128 bits of them, never as
+words. No list, set or component is ever collected, and pairs of one centre's near copies are not listed
 unless they need their differences to be linked.
 
 Defined cases: null or empty text, and text of white space, has no shingles and no link; fewer words
@@ -35,16 +37,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperlode.llm.blocks import NO_ID, blocked, unpacked
-from paperlode.llm.common import bucketed, discard, mix64, scratch, table, written
+from paperlode.llm.blocks import NO_ID, blocked, total_bytes, unpacked
+from paperlode.llm.common import bucketed, buckets_for, discard, join_by_key, mix64, scratch, table, table_name, written, written_at
 from paperlode.llm.shingles import sets_of
 
 #: Min-hashes by which a set looks for centres; share of common shingles a centre needs.
 ROUNDS, CENTRE = 4, 0.5
-#: Entries of a list that one task takes; entries of a block inside.
-CHUNK, BLOCK = 4096, 256
+#: Entries of a list that one task takes, at most and (of small inputs) at least; entries of a block inside.
+CHUNK, LEAST_CHUNK, BLOCK = 4096, 256, 256
 #: Bytes of tokens in a pack of sets.
 PACK_BYTES = 1 << 22
+#: Hash buckets are at least this many times the shuffle partitions.
 BUCKETS = 4
 
 
@@ -252,14 +255,17 @@ def _candidates(entries: DataFrame, t: Threshold, by_centre: bool, whole: bool =
         key = ["token", "centre"]
     size = [F.count(F.lit(1)).alias("n_list"), *([] if by_centre else [F.min("c").alias("low"), F.max("c").alias("high")])]
     lists = entries.groupBy(*key).agg(*size).filter("n_list > 1" if by_centre else "n_list > 1 AND low <> high").drop("low", "high")
-    chunks = F.ceil(F.col("n_list") / F.lit(CHUNK)).cast("int")
+    lists = written(lists, "lists")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = lists.agg(F.sum("n_list")).first()[0] or 0
+    chunk = min(CHUNK, max(LEAST_CHUNK, total // (8 * parts)))  # a small share of what a task gets anyway
+    chunks = F.ceil(F.col("n_list") / F.lit(chunk)).cast("int")
     rows = entries.join(lists, key).withColumn("chunks", chunks)
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     low, high = F.least("own", "other").cast("bigint"), F.greatest("own", "other").cast("bigint")
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("bigint")
     rows = rows.select("centre", "token", low.alias("low"), high.alias("high"), "id", side.alias("side"), *(F.col(x).cast("bigint") for x in "abc"))
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "centre", "token", "low", "high").sortWithinPartitions("centre", "token", "low", "high")
     return rows.mapInArrow(_join_lists(t, by_centre, whole), "x bigint, y bigint").distinct()
 
@@ -273,16 +279,18 @@ def _join_sets(pairs: DataFrame, left: DataFrame, right: DataFrame, column: str)
 
 def components(links: DataFrame) -> DataFrame:
     """id and the smallest id that links(x, y) lead to; each round takes the smallest label of the
-    neighbours and then the label of the label, and is written."""
+    neighbours and then the label of the label, and is written in place of the one before."""
+    spark = links.sparkSession
     edges = written(links.select(F.col("x").alias("u"), F.col("y").alias("v")).union(links.select("y", "x")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("label")), "labels")
+    labels, path = written_at(edges.groupBy(F.col("u").alias("id")).agg(F.least(F.col("id"), F.min("v")).alias("label")), "labels")
     while True:
         near = edges.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("jump"))
         step = step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        step = written(step, "labels")
-        changed = not step.filter("old <> label").isEmpty()
+        step, step_path = written_at(step, "labels")
+        discard(spark, path)
+        changed, path = not step.filter("old <> label").isEmpty(), step_path
         labels = step.select("id", "label")
         if not changed:
             return labels
@@ -308,9 +316,9 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     linked to their common centre only those with the centre are listed; they join the same components.
     If whole, all links are there: certain (id, n_links) counts those that are not listed."""
     t, spark = Threshold(num, den), docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks, blocks_path = blocked(docs, id_col, text_col)
-    sent = blocks.mapInArrow(_send_prefixes(buckets, words, t), "bucket int, block bigint, hashes binary, several binary")
+    buckets, parts = buckets_for(spark, total_bytes(blocks), BUCKETS)
+    sent = blocks.mapInArrow(_send_prefixes(buckets, words, t), "bucket int, block bigint, hashes binary, several binary").repartition(parts, "bucket")
     shared = sent.groupBy("bucket").applyInArrow(_shared, "block bigint, shared binary")
     shared = shared.groupBy("block").agg(F.collect_list("shared").alias("shared"))  # of one block, so bounded by it
     every = written(blocks.join(shared.hint("shuffle_hash"), "block", "left").mapInArrow(_sets(words, t), SETS), "sets")
@@ -325,12 +333,14 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
 
     keys = sets.select("id", "tokens").mapInArrow(_keys, "id bigint, keys array<bigint>").select("id", F.posexplode("keys").alias("round", "key"))
     keys = written(keys, "keys")
-    popular = keys.groupBy("round", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    keys = written(keys.join(popular, ["round", "key"]), "held-keys")
+    n_keys = keys.count()
+    popular = written(keys.groupBy("round", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"), "popular")
+    keys = written(join_by_key(keys, popular, ["round", "key"], "held", n_keys), "held-keys")
     scores = keys.groupBy("id").agg(F.sum("held").alias("score"))
-    keys = keys.join(scores, "id")
-    best = keys.groupBy("round", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("best"))
-    proposed = keys.join(best, ["round", "key"]).select("id", (-F.col("best.minus")).alias("centre"), F.col("best.score").alias("score")).filter("id <> centre").distinct()
+    keys = written(keys.join(scores, "id"), "scored-keys")
+    best = keys.groupBy("round", "key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("best"), F.first("held").alias("n_held"))
+    proposed = join_by_key(keys, written(best, "best"), ["round", "key"], "n_held", n_keys)
+    proposed = proposed.select("id", (-F.col("best.minus")).alias("centre"), F.col("best.score").alias("score")).filter("id <> centre").distinct()
     proposed = written(proposed.withColumnsRenamed({"id": "x", "centre": "y"}), "proposed")
     asked = _join_sets(proposed, sets_by_id, sets, "tokens").select("x", "y", "score", "x_set", "y_set")
     found = asked.mapInArrow(_differences, "id bigint, centre bigint, score bigint, n_centre bigint, gone bigint, added bigint, differences binary")
@@ -365,7 +375,7 @@ def similar_sets(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100,
     # over shingles, rarest first, for sets of different centres
     place = sets_by_id.select("id", "tokens").join(chosen.select("id", "centre"), "id", "left").withColumn("centre", F.coalesce("centre", "id"))
     packs, packs_path = _packed(place)
-    sent = packs.mapInArrow(_send_tokens(buckets), "bucket int, pack bigint, hashes binary, counts binary")
+    sent = packs.mapInArrow(_send_tokens(buckets), "bucket int, pack bigint, hashes binary, counts binary").repartition(parts, "bucket")
     counted = sent.groupBy("bucket").applyInArrow(_counted, "pack bigint, bucket int, counts binary")
     counted = counted.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("counted"))  # of one pack, so bounded by it
     entries = packs.join(counted.hint("shuffle_hash"), "pack").mapInArrow(_prefix_entries(t), "token bigint, id bigint, a bigint, b bigint, c bigint")
@@ -404,9 +414,8 @@ def _packed(place: DataFrame) -> tuple[DataFrame, str]:
     spark = place.sparkSession
     path = scratch(spark, "packs")
     rows = place.select("id", "tokens", "centre").mapInArrow(_packs, "pack bigint, ids binary, centres binary, sizes binary, tokens binary")
-    name = path.rpartition("/")[2].replace("-", "_")
-    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack").option("path", path).saveAsTable(name)
-    return spark.table(name), path
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "pack").option("path", path).saveAsTable(table_name(path))
+    return spark.table(table_name(path)), path
 
 
 def _spans(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
