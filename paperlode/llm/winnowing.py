@@ -8,8 +8,8 @@ fingerprint and know where (the guarantee).
 Defined cases: null text counts as empty and has no fingerprint (likeness of two empty sets: 1); a
 text shorter than k is one k-gram, padded with U+0000; a text with fewer than ``window`` k-grams is one
 window; very long texts go through in pieces. In the neighbour order null ids come first, rows that
-repeat an id follow each other by text; the last row's next is the first one, so a single row is its
-own next. Columns other than the id and the text are ignored.
+repeat an id follow each other by a hash of their text; the last row's next is the first one, so a single
+row is its own next. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -155,44 +155,69 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter] if quarter else text
 
 
+def _deal(docs: DataFrame, runs: int):
+    """(run_of, hot): a UDF from (id or 0, whether there is an id, hash of the text) to one of about ``runs``
+    runs in the neighbour order, and whether it looks at the hash.
+
+    The bounds of the runs are quantiles of the ids, as integers (ids beyond 2^53 are compared exactly). An id
+    that stands at several quantiles, and null, has several runs, which the hashes of the texts tell apart."""
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count("id").alias("known")).first()
+    nulls = n["rows"] - n["known"]
+    first = max(1, round(runs * nulls / n["rows"])) if nulls else 0
+    steps = max(1, runs - first)
+    quantiles = docs.select("id").approxQuantile("id", [j / steps for j in range(1, steps)], 0.2 / runs) if n["known"] and steps > 1 else []
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    bounds, several = np.unique(np.array([min(max(int(q), low), high) for q in quantiles], np.int64), return_counts=True)
+    several[several == 1] = 0  # runs that an id has for itself
+    own = first + 1 + np.cumsum(several + 1) - (several + 1)  # first run of each bound's id
+
+    @F.pandas_udf("int")
+    def run_of(ids: pd.Series, known: pd.Series, hashes: pd.Series) -> pd.Series:
+        ids, share = ids.to_numpy(np.int64), (hashes.to_numpy(np.int64).astype(np.float64) + 2.0**63) / 2.0**64
+        piece = lambda m: np.minimum((share * m).astype(np.int64), np.maximum(m - 1, 0))
+        out = np.full(len(ids), first, np.int64)
+        if len(bounds):
+            at = np.searchsorted(bounds, ids, "right") - 1
+            later = at >= 0
+            at = np.maximum(at, 0)
+            inside = np.where((bounds[at] == ids) & (several[at] > 0), piece(several[at]), several[at])
+            out = np.where(later, own[at] + inside, out)
+        return pd.Series(np.where(known.to_numpy(bool), out, piece(np.full(len(ids), first))).astype(np.int32))
+
+    return run_of, bool(first > 1 or several.any())
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs(id, text) dealt to partitions in runs of neighbouring ids, sorted: run, own, id, text.
 
-    A run ends with the row that follows it (own = false). The bounds of the runs are quantiles of the
-    ids, as many as there are runs; nothing else reaches the driver, and texts are shuffled once.
-    """
+    A run ends with the row that follows it (own = false). Only one id a run reaches the driver, and texts
+    are shuffled once; rows alike in id and text stand in one run."""
     spark = docs.sparkSession
-    runs = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.select("id").approxQuantile("id", [j / runs for j in range(1, runs)], 0.2 / runs)
-    bounds = np.unique(np.array(bounds, np.float64).astype(np.int64))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run_of, hot = _deal(docs, 6 * parts)
+    h = F.xxhash64("text")
+    runs = docs.withColumn("run", run_of(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), h if hot else F.lit(0).cast("bigint")))
+    firsts = {r["run"]: r["first"] for r in runs.groupBy("run").agg(F.min("id").alias("first")).collect()}  # a row a run
+    order = sorted(firsts)
+    before = {run: order[j - 1] for j, run in enumerate(order)}
 
     @F.pandas_udf("int")
-    def run_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(bounds, ids[known].to_numpy().astype(np.int64), "right")
-        return pd.Series(out)
-
-    firsts = docs.select("id", run_of("id").alias("run")).groupBy("run").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("first"))
-    firsts = sorted((r["run"], r["first"]["id"]) for r in firsts.collect())  # one row a run
-    before = {first: firsts[j - 1][0] for j, (_, first) in enumerate(firsts)}
-
-    @F.pandas_udf("array<struct<run:int,own:boolean>>")
-    def places(ids: pd.Series, run: pd.Series) -> pd.Series:
-        none = before.get(None, -1)
-        out = []
-        for i, r in zip(ids.tolist(), run.tolist(), strict=True):
-            follows = before.get(int(i), -1) if i is not None and i == i else none
-            out.append([(r, True)] if follows < 0 else [(r, True), (follows, False)])
-        return pd.Series(out)
+    def follows(ids: pd.Series, known: pd.Series, run: pd.Series) -> pd.Series:
+        """The run before, for rows with the first id of a run; -1 for all others."""
+        leads = (not k or firsts[r] == i for i, k, r in zip(ids.tolist(), known.tolist(), run.tolist(), strict=True))
+        return pd.Series([before[r] if lead else -1 for r, lead in zip(run.tolist(), leads, strict=True)], dtype="int32")
 
-    dealt = docs.withColumn("place", F.explode(places("id", run_of("id")))).select("place.run", "place.own", "id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "run").sortWithinPartitions("run", F.desc("own"), F.asc_nulls_first("id"), "text")
+    leading = runs.withColumn("before", follows(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), F.col("run"))).filter("before >= 0")
+    leading = leading.groupBy("before", "id").agg(F.min(F.struct(h.alias("h"), F.col("text"))).alias("f"))
+    dealt = runs.select("run", F.lit(True).alias("own"), "id", "text").union(leading.select("before", F.lit(False), "id", "f.text"))
+    return dealt.repartition(parts, "run").sortWithinPartitions("run", F.desc("own"), F.asc_nulls_first("id"), h, "text")
 
 
-def _compare(k: int, window: int):
-    schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_fingerprints", pa.int64())])
+def _compare(k: int, window: int, edited_marks: bool):
+    lists = pa.list_(pa.int64())
+    fields = [("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("hashes", lists), ("positions", lists)]
+    fields += [("edited_hashes", lists), ("edited_positions", lists)] if edited_marks else []
+    schema = pa.schema(fields)
 
     def block(rows: list) -> pa.RecordBatch:
         """rows and, as the last one, what follows them."""
@@ -203,7 +228,8 @@ def _compare(k: int, window: int):
         sets = [np.unique(h) for h, _ in plain]
         out = []
         for (a, b), text, mark in zip(pairs, changed, found, strict=True):
-            out.append((rows[a][2], len(rows[a][3]), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), digest(*plain[a]), digest(*mark), likeness(sets[a], np.unique(mark[0])), likeness(sets[a], sets[b]), len(plain[a][0])))
+            row = (rows[a][2], len(rows[a][3]), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), digest(*plain[a]), digest(*mark), likeness(sets[a], np.unique(mark[0])), likeness(sets[a], sets[b]), plain[a][0].view(np.int64), plain[a][1])
+            out.append((*row, mark[0].view(np.int64), mark[1]) if edited_marks else row)
         return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,16 +242,20 @@ def _compare(k: int, window: int):
                     held += len(rows[-1][3])
                     if held >= 2 * PIECE and len(rows) > 1:
                         yield block(rows)
-                        rows, held = rows[-1:], 0
+                        rows, held = rows[-1:], len(rows[-1][3])
         yield block(rows)
 
-    return run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_fingerprints bigint"
+    spelled = {pa.int64(): "bigint", pa.string(): "string", pa.float64(): "double", lists: "array<bigint>"}
+    return run, ", ".join(f"{f.name} {spelled[f.type]}" for f in schema)
+
 
+def compare_neighbours(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", edited_marks: bool = False) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document.
 
-def compare_neighbours(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's fingerprint beside those of its edited text and of the next document."""
+    hashes and positions (code points) are the fingerprint itself, with edited_marks also of the edited
+    text; fingerprint and edited_fingerprint are SHA-256 digests of both."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    run, schema = _compare(k, window)
+    run, schema = _compare(k, window, edited_marks)
     return with_next(docs).mapInArrow(run, schema)
 
 
