@@ -7,18 +7,18 @@ and dealt to partitions by a second hash, in whose order the rows of a partition
 Defined cases: a null source is a source of its own; a null id hashes as the text "null"; rows that
 repeat an id draw the same count; texts are carried as they are, null included; a source without a
 target weight is left out; an empty table gives no rows; a column of the input named copy_no or
-shuffle_key is replaced.
+shuffle_key is replaced, all others are carried whatever their names are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlode.llm.common import table, written
 
-#: The table of rates is broadcast up to this many sources, and joined by a shuffle beyond.
-MOST_BROADCAST_SOURCES = 10_000
+#: The table of rates is broadcast up to this many sources and steps of all (8 MB), and joined by a shuffle beyond.
+MOST_BROADCAST_SOURCES, MOST_BROADCAST_STEPS = 10_000, 1 << 20
 SEED = "mix-1"
 
 
@@ -28,7 +28,8 @@ def uniform(*parts):
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict | None, temperature: float, target_rows: int | None) -> DataFrame:
-    """Source, target rate and its Poisson distribution function as an array, up to where it is 1."""
+    """mix_source, rate, first, cdf: the Poisson distribution function from the count ``first`` on, where it
+    begins to differ from 0, up to where it is 1. It has about 24 sqrt(rate) + 60 steps, summed once."""
     rows = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         rows = rows.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(temperature)))
@@ -37,13 +38,24 @@ def source_rates(docs: DataFrame, source_col: str, weights: dict | None, tempera
         rows = rows.join(given, F.col("mix_source").cast("string").eqNullSafe(F.col("mix_given"))).drop("mix_given")
     total = rows.agg(F.sum("n").alias("all_rows"), F.sum("weight").alias("all_weight"))
     goal = F.col("all_rows").cast("double") if target_rows is None else F.lit(float(target_rows))
-    rate = rows.join(F.broadcast(total)).withColumn("rate", goal * F.col("weight") / F.col("all_weight") / F.col("n"))  # one row
-    terms = F.expr("sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 30) as int))")
-    log_terms = F.expr("transform(terms, k -> aggregate(slice(terms, 1, k), -rate, (acc, i) -> acc + ln(rate / i)))")
-    steps = F.expr("concat(array(exp(-rate)), transform(log_terms, x -> exp(x)))")
-    cdf = F.expr("transform(sequence(1, size(steps)), k -> aggregate(slice(steps, 1, k), 0D, (acc, x) -> acc + x))")
-    return (rate.filter("rate > 0").withColumn("terms", terms).withColumn("log_terms", log_terms).withColumn("steps", steps)
-            .select("mix_source", "rate", cdf.alias("cdf")))
+    rate = rows.join(F.broadcast(total)).withColumn("rate", goal * F.col("weight") / F.col("all_weight") / F.col("n")).filter("rate > 0")  # one row
+    rate = rate.withColumn("first", F.expr("cast(greatest(0D, floor(rate - 12 * sqrt(rate) - 30)) as bigint)"))
+    steps = rate.select("mix_source", "rate", "first", F.explode(F.expr("sequence(first, cast(ceil(rate + 12 * sqrt(rate) + 30) as bigint))")).alias("k"))
+    own = Window.partitionBy("mix_source", "rate", "first")
+    upto = own.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("log_p", F.sum(F.when(F.col("k") > F.col("first"), F.ln(F.col("rate") / F.col("k"))).otherwise(0.0)).over(upto))
+    steps = steps.withColumn("p", F.exp(F.col("log_p") - F.max("log_p").over(own)))  # against the likeliest count
+    steps = steps.withColumn("c", F.sum("p").over(upto) / F.sum("p").over(own))
+    found = steps.groupBy("mix_source", "rate", "first").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("steps"))  # bounded by the rate
+    return found.select("mix_source", "rate", "first", F.transform("steps", lambda s: s["c"]).alias("cdf"))
+
+
+def poisson_count(u, cdf, first):
+    """How often a row with the uniform number u is drawn: the steps of the distribution function up to u,
+    by binary search."""
+    half = "cast((s.low + s.high) div 2 as int)"
+    step = f"if(s.low >= s.high, s, if({cdf}[{half}] <= {u}, named_struct('low', {half} + 1, 'high', s.high), named_struct('low', s.low, 'high', {half})))"
+    return F.expr(f"{first} + aggregate(sequence(1, 1 + cast(ceil(log2(size({cdf}) + 1)) as int)), named_struct('low', 0, 'high', size({cdf})), (s, i) -> {step}, s -> s.low)")
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5, target_rows: int | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -53,17 +65,18 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, temperature: float
     temperature. target_rows: expected rows of the mixture, None for as many as docs has.
     """
     docs = docs.drop("copy_no", "shuffle_key")
-    names = docs.columns
     rates = written(source_rates(docs, source_col, weights, temperature, target_rows), "rates")
-    small = rates.count() <= MOST_BROADCAST_SOURCES
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = docs.join(F.broadcast(rates) if small else rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    drawn = drawn.withColumn("mix_u", uniform(F.lit(seed), ident))
-    copies = F.expr("size(filter(cdf, c -> c <= mix_u))")
-    drawn = drawn.withColumn("mix_n", copies).filter("mix_n > 0").select(*names, F.explode(F.expr("sequence(0, mix_n - 1)")).alias("copy_no"))
-    drawn = drawn.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("shuffle"), ident, F.col("copy_no"))))
+    held = rates.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("cdf")), F.lit(0)).alias("steps")).first()
+    small = held["n"] <= MOST_BROADCAST_SOURCES and held["steps"] <= MOST_BROADCAST_STEPS
+    # the caller's columns travel in one struct, so none of their names can clash with ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(id_col).cast("string").alias("ident"), F.col(source_col).alias("of"))
+    rows = rows.withColumn("ident", F.coalesce("ident", F.lit("null")))
+    drawn = rows.join(F.broadcast(rates) if small else rates, F.col("of").eqNullSafe(F.col("mix_source")))
+    drawn = drawn.withColumn("u", uniform(F.lit(seed), F.col("ident"))).withColumn("n", poisson_count("u", "cdf", "first")).filter("n > 0")
+    drawn = drawn.select("own", "ident", F.explode(F.expr("sequence(0, cast(n - 1 as int))")).alias("copy_no"))
+    drawn = drawn.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("shuffle"), F.col("ident"), F.col("copy_no"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return drawn.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+    return drawn.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key").select("own.*", "copy_no", "shuffle_key")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
