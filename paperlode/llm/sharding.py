@@ -1,40 +1,32 @@
 """Sharding by proportional stratified interleaving, in DataFrame functions only.
 
 Rows of a source are ranked in a seeded random order; all rows are sorted by fractional rank,
-(rank - 1/2) / rows of the source, and the sorted sequence is cut into shards of equal row counts
-(law "rows": counts at most one apart), so every shard has the mixture of the whole.
+(rank - 1 + offset) / rows of the source, and the sorted sequence is cut into shards of equal row counts
+(law "rows": counts at most one apart), so every shard has the mixture of the whole. The offset is a
+seeded hash of the source in (0, 1), which spreads sources of few rows over all shards.
 
-Ranks come from counts of narrow buckets (of the hash within a source, of the fractional rank over
-all) and a row number inside a bucket, so neither a source nor the table is ever sorted in one task.
+Both orders are made by a range-partitioned sort whose last key is a number of the row's own, so however
+hot a source, an id or a fractional rank is, no task gets more than its share; ranks follow from the
+partitions' counts (common.ranked).
 
 Defined cases: null text has no bytes (size 1, crc32 0); a null source is a source of its own; a null
 id hashes as the text "null"; equal texts are sharded one by one (a group may exceed a shard, and the
-mixture binds rows, not groups); rows that repeat an id each get a place; an empty table gives no
-rows; other columns are ignored.
+mixture binds rows, not groups); rows that repeat an id each get a place (those with the same text are
+alike, so which has which place is left to the order they are read in); an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import table, written
+from paperlode.llm.common import ranked, table, written
 
-#: Rows a bucket holds about; buckets a source has at least.
-BUCKET_ROWS, LEAST_BUCKETS = 20_000, 256
-#: Consecutive buckets whose counts are summed in one window.
-GROUP = 1024
 
-
-def _before(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """counts(keys, bucket, n) with the rows in smaller buckets; in two levels, so a window has GROUP rows or as many groups."""
-    group = (F.col(bucket) / GROUP).cast("bigint")
-    groups = counts.groupBy(*keys, group.alias("group_no")).agg(F.sum("n").alias("group_n"))
-    over = Window.partitionBy(*keys).orderBy("group_no")
-    groups = groups.select(*keys, "group_no", (F.sum("group_n").over(over) - F.col("group_n")).alias("group_before"))
-    inner = Window.partitionBy(*keys, "group_no").orderBy(bucket)
-    counts = counts.withColumn("group_no", group).withColumn("inner_before", F.sum("n").over(inner) - F.col("n"))
-    return counts.join(groups, [*keys, "group_no"]).select(*keys, bucket, (F.col("inner_before") + F.col("group_before")).alias("before"))
+def _uniform(h):
+    """52 bits of an md5 as a number in (0, 1)."""
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: str = "shard-1", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -43,23 +35,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: str = "shard-1", id
     source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), source.alias("src"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(F.concat_ws(":", F.lit(seed), ident)).alias("h"))
-    rows = written(rows, "shard-rows")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
+    alike = ["id", "text_crc32", "size", "row"]
+    placed = ranked(rows, ["src", "h", *alike], "shard-ranks").withColumnRenamed("place", "src_place")
+    sources = placed.groupBy("src").agg(F.min("src_place").alias("src_first"), F.count(F.lit(1)).alias("src_rows"))
+    offset = _uniform(F.md5(F.concat_ws(":", F.lit(seed), F.lit("source"), F.col("src"))))
+    frac = (F.col("src_place") - F.col("src_first") + offset) / F.col("src_rows")
+    placed = placed.join(sources, "src").select("id", "src", "size", "text_crc32", "h", "row", frac.alias("frac_rank"))
+    placed = ranked(placed, ["frac_rank", "src", "h", *alike], "shard-places").withColumnRenamed("place", "position")
     total = rows.count()
-    buckets = max(LEAST_BUCKETS, total // BUCKET_ROWS + 1)
-    u = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / float(1 << 52)
-    rows = rows.withColumn("b", (u * buckets).cast("bigint"))
-    counts = rows.groupBy("src", "b").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("src").agg(F.sum("n").alias("src_rows"))
-    starts = _before(counts, ["src"], "b").join(sizes, "src")
-    inside = Window.partitionBy("src", "b").orderBy("h", "id", "text_crc32", "size")
-    ranked = rows.withColumn("inside", F.row_number().over(inside)).join(starts, ["src", "b"])
-    frac = (F.col("before") + F.col("inside") - F.lit(0.5)) / F.col("src_rows")
-    ranked = written(ranked.select("id", "src", "size", "text_crc32", "h", frac.alias("frac_rank")), "shard-ranks")
-    ranked = ranked.withColumn("b", (F.col("frac_rank") * buckets).cast("bigint"))
-    starts = _before(ranked.groupBy("b").agg(F.count(F.lit(1)).alias("n")), [], "b")
-    inside = Window.partitionBy("b").orderBy("frac_rank", "src", "h", "id", "text_crc32", "size")
-    placed = ranked.withColumn("inside", F.row_number().over(inside)).join(starts, "b")
-    placed = placed.withColumn("position", (F.col("before") + F.col("inside") - 1).cast("bigint"))
     shard = F.expr(f"cast((position * {shards}) div {max(1, total)} as int)")
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard).select("id", F.expr("if(src = 'n', null, substring(src, 2))").alias("source"), "size", "text_crc32", "frac_rank", "position", "shard", (F.col("position") - first).cast("bigint").alias("slot"))
