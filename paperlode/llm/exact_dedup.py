@@ -6,8 +6,10 @@ identifier that stays and the number of rows. Documents whose digest occurs more
 compared byte by byte with the document that stays; what differs is grouped by its bytes.
 
 Defined cases: null text counts as empty, all empty texts are equal; a null id loses every tie; rows
-that repeat an id are rows of their own (same keep_id); an empty table gives no rows; columns other
-than the id and the text are ignored.
+that repeat an id are rows of their own, and of those that repeat the id that stays (or are null with
+it) the longest, then the first one read stays, so every group keeps exactly one row (with different
+bytes under one digest, which only tests can provoke, all rows of that id); an empty table gives no
+rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -17,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import WHITESPACE, table, utf8, written
+from paperlode.llm.common import WHITESPACE, join_by_key, table, utf8, written
 
 NO_ID = np.iinfo(np.int64).max
-RUN = "range int, digests binary, n_chars binary, ids binary, counts binary, filter binary"
-ENTRY = "digest binary, keep_id bigint, n_rows bigint"
+FIELDS = ("n_chars", "ids", "rows", "counts")
+RUN = "range int, digests binary, n_chars binary, ids binary, rows binary, counts binary, filter binary"
+ENTRY = "digest binary, keep_id bigint, keep_row bigint, n_rows bigint"
 #: Bits of the broadcast filter of hits: 10 a hit, this many at most (8 MB).
 MOST_FILTER_BITS = 1 << 26
 
@@ -59,22 +63,29 @@ class Bloom:
 
 
 class Run:
-    """Entries sorted by digest: who stays (most characters, then the smallest id) and how many rows."""
+    """Entries sorted by digest: who stays (most characters, then the smallest id, then the first row) and
+    how many rows."""
 
-    def __init__(self, words, n_chars, ids, counts):
-        order = np.lexsort((ids, -n_chars, words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
-        words, n_chars, ids, counts = words[order], n_chars[order], ids[order], counts[order]
+    def __init__(self, words, n_chars, ids, rows, counts):
+        order = np.lexsort((rows, ids, -n_chars, words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
+        words, counts = words[order], counts[order]
         first = np.ones(len(ids), bool)
         first[1:] = (words[1:] != words[:-1]).any(axis=1)
         at = np.flatnonzero(first)
-        self.words, self.n_chars, self.ids = words[at], n_chars[at], ids[at]
+        self.words, self.n_chars, self.ids, self.rows = words[at], n_chars[order][at], ids[order][at], rows[order][at]
         self.counts = np.add.reduceat(counts, at) if len(at) else counts
 
-    def part(self, at) -> Run:
-        out = object.__new__(Run)
-        out.words, out.n_chars, out.ids, out.counts = self.words[at], self.n_chars[at], self.ids[at], self.counts[at]
+    @classmethod
+    def of(cls, words, **fields) -> Run:
+        """A run of entries that are sorted and distinct already."""
+        out = object.__new__(cls)
+        out.words = words
+        vars(out).update(fields)
         return out
 
+    def part(self, at) -> Run:
+        return Run.of(self.words[at], **{k: getattr(self, k)[at] for k in FIELDS})
+
 
 def merge(a: Run, b: Run, b_filter: Bloom) -> Run:
     """Compaction of two runs: only entries that the filter lets through are looked for in the other run."""
@@ -84,19 +95,17 @@ def merge(a: Run, b: Run, b_filter: Bloom) -> Run:
     hit = maybe & (len(b.ids) > 0)
     if hit.any():
         hit &= b.words[at, 0] == a.words[:, 0]
-    if not hit.any():  # disjoint runs are only interleaved
-        out = object.__new__(Run)
-        words = np.concatenate([a.words, b.words])
-        order = np.lexsort((words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
-        out.words = words[order]
-        for k in ("n_chars", "ids", "counts"):
-            setattr(out, k, np.concatenate([getattr(a, k), getattr(b, k)])[order])
-        return out
-    return Run(*(np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("words", "n_chars", "ids", "counts")))
+    both = [np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("words", *FIELDS)]
+    if hit.any():
+        return Run(*both)
+    words = both[0]  # disjoint runs are only interleaved
+    order = np.lexsort((words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
+    return Run.of(words[order], **{k: x[order] for k, x in zip(FIELDS, both[1:], strict=True)})
 
 
 def _manifest(digest_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             view, n, digests = raw.tobytes(), [], []
@@ -104,7 +113,8 @@ def _manifest(digest_bytes: int):
                 text = view[s:e]
                 n.append(len(text.decode("utf-8", "replace")))
                 digests.append(_digest(normal_form(text), digest_bytes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], ["id", "n_chars", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.arange(row, row + len(n)))], ["id", "n_chars", "digest", "row"])
+            row += len(n)
 
     return run
 
@@ -125,15 +135,15 @@ def _flush(ranges: int, memtable_rows: int):
         for k, (s, e) in enumerate(zip(cut, [*cut[1:], len(run.ids)], strict=True)):
             if s < e:
                 x = run.part(slice(s, e))
-                rows.append({"range": k, "digests": x.words.astype(">u8").tobytes(), "n_chars": x.n_chars.tobytes(), "ids": x.ids.tobytes(), "counts": x.counts.tobytes(), "filter": Bloom(x.words).pack()})
-        return pa.RecordBatch.from_pylist(rows, pa.schema([("range", pa.int32()), *((k, pa.binary()) for k in ("digests", "n_chars", "ids", "counts", "filter"))]))
+                rows.append({"range": k, "digests": x.words.astype(">u8").tobytes(), **{f: getattr(x, f).tobytes() for f in FIELDS}, "filter": Bloom(x.words).pack()})
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("range", pa.int32()), *((k, pa.binary()) for k in ("digests", *FIELDS, "filter"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64)
-                parts.append((_words(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), ids, np.ones(len(ids), np.int64)))
+                parts.append((_words(batch.column(2)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), ids, batch.column(3).to_numpy(), np.ones(len(ids), np.int64)))
                 held += len(ids)
             if held >= memtable_rows:
                 yield flush(parts)
@@ -147,11 +157,8 @@ def _flush(ranges: int, memtable_rows: int):
 def _compact(rows: pa.Table) -> pa.Table:
     level = []
     for r in rows.to_pylist():
-        run = object.__new__(Run)
-        run.words = np.frombuffer(r["digests"], ">u8").astype(np.uint64).reshape(-1, 4)
-        for k in ("n_chars", "ids", "counts"):
-            setattr(run, k, np.frombuffer(r[k], np.int64))
-        level.append((run, Bloom.unpack(r["filter"])))
+        words = np.frombuffer(r["digests"], ">u8").astype(np.uint64).reshape(-1, 4)
+        level.append((Run.of(words, **{k: np.frombuffer(r[k], np.int64) for k in FIELDS}), Bloom.unpack(r["filter"])))
     while len(level) > 1:  # merge neighbours of like size, level by level
         level.sort(key=lambda x: len(x[0].ids))
         merged = [merge(a, b, f) for (a, _), (b, f) in zip(level[::2], level[1::2], strict=False)]
@@ -160,7 +167,7 @@ def _compact(rows: pa.Table) -> pa.Table:
     run = run.part(np.flatnonzero(run.counts > 1))
     raw = run.words.astype(">u8").tobytes()
     keep = pa.array(run.ids, pa.int64(), mask=run.ids == NO_ID)
-    return pa.table({"digest": pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), "keep_id": keep, "n_rows": pa.array(run.counts, pa.int64())})
+    return pa.table({"digest": pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()), "keep_id": keep, "keep_row": pa.array(run.rows, pa.int64()), "n_rows": pa.array(run.counts, pa.int64())})
 
 
 def _hit_filter(index: DataFrame) -> np.ndarray:
@@ -205,8 +212,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    manifest = written(docs.mapInArrow(_manifest(digest_bytes), "id bigint, n_chars bigint, digest binary"), "manifest")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count() // range_rows + 1)
+    manifest = written(docs.mapInArrow(_manifest(digest_bytes), "id bigint, n_chars bigint, digest binary, row bigint"), "manifest")
+    total = manifest.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // range_rows + 1)
     runs = manifest.mapInArrow(_flush(ranges, memtable_rows), RUN)
     index = written(runs.groupBy("range").applyInArrow(_compact, ENTRY), "index")
     bitmap = spark.sparkContext.broadcast(_hit_filter(index))
@@ -215,7 +223,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = seen.filter(F.coalesce(F.array_contains("ids", F.col("keep_id")), F.col("keep_id").isNull() & F.exists("ids", lambda x: x.isNull())))
     stays = stays.groupBy("digest").agg(F.max("form").alias("kept_form"))
     wrong = written(seen.join(stays, "digest").filter(F.col("form") != F.col("kept_form")).select("digest", "form", "ids"), "collisions")
-    result = manifest.join(index, "digest", "left").select("id", "n_chars", "digest", F.when(F.col("n_rows").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n_rows", F.lit(1)).alias("n_rows"))
+    result = join_by_key(manifest, index, ["digest"], "n_rows", total, "left").select("id", "n_chars", "digest", (F.col("n_rows").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"), F.when(F.col("n_rows").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n_rows", F.lit(1)).alias("n_rows"))
     if not wrong.isEmpty():  # different bytes under one digest: their groups are made by the bytes
         rows = wrong.select("digest", "form", F.explode("ids").alias("id")).join(manifest.select("id", "n_chars").distinct(), "id")
         own = rows.groupBy("digest", "form").agg(F.min(F.struct(-F.col("n_chars"), F.col("id"))).alias("best"), F.count(F.lit(1)).alias("own_rows"))
@@ -223,8 +231,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lost = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
         result = (result.join(lost, "digest", "left").join(fixed, ["id", "digest"], "left")
                   .withColumn("keep_id", F.coalesce("own_keep", "keep_id"))
-                  .withColumn("n_rows", F.coalesce("own_rows", F.col("n_rows") - F.coalesce("lost", F.lit(0)))))
-    return result.select("id", "keep_id", F.col("n_rows").cast("bigint").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+                  .withColumn("n_rows", F.coalesce("own_rows", F.col("n_rows") - F.coalesce("lost", F.lit(0))))
+                  .withColumn("kept", F.when(F.col("own_keep").isNull() & F.col("lost").isNull(), F.col("kept")).otherwise(F.col("id").eqNullSafe(F.col("keep_id")))))
+    return result.select("id", "keep_id", F.col("n_rows").cast("bigint").alias("group_size"), "kept", "digest")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
