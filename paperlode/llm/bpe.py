@@ -3,16 +3,20 @@
 Words are cut by the byte-level pattern; the symbols of all words not met before lie in one flat
 array. A round looks every adjacent pair up by binary search over the sorted pair keys, takes each
 word's lowest rank and merges all its occurrences (leftmost first); words without a known pair leave.
-Encoded words are remembered by a bounded table. Decoding gathers the bytes of all ids at once.
+Long words don't go through rounds over all their symbols: their live pairs are filed by rank, and a round
+takes the places of one rank only and files the pairs it makes. Encoded words are remembered by a
+table bounded in words and bytes. Decoding gathers the bytes of all ids at once.
 
 Defined cases: null text counts as empty (no ids, empty decoded text); special tokens in a text become
-their id; very long texts are cut before single spaces, where no word is cut; rows that repeat an id
+their id; very long texts are cut at ends of words, so a piece holds more than PIECE code points only
+where one word does; rows that repeat an id
 are encoded each; an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -26,8 +30,10 @@ from paperlode.llm.common import ragged, table
 
 #: The byte-level pattern of public tokenizers (fixed value); words() cuts as it does.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words a worker remembers, and code points encoded at a time.
-MOST_WORDS, PIECE = 300_000, 1 << 19
+#: Words a worker remembers, bytes of them, and code points encoded at a time.
+MOST_WORDS, MOST_BYTES, PIECE = 300_000, 1 << 25, 1 << 19
+#: Bytes from which a word is merged by ranks filed apart.
+LONG_WORD = 512
 _NONE = np.iinfo(np.int32).max
 #: Kinds of code points; _END stands between two texts.
 _LETTER, _NUMBER, _SPACE, _OTHER, _END = range(5)
@@ -96,7 +102,9 @@ class Encoder:
     def __init__(self, vocabulary: dict):
         self.v = vocabulary
         self.kinds = _kinds()
-        self.cut = regex.compile(r"(?<=\S) (?=\S)")
+        # where a word ends whatever stands around: before white space, after letters or numbers, before a number
+        self.cut = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}])(?=\p{N})")
+        self.reach = max(map(len, vocabulary["special"]), default=0)
         special = sorted(vocabulary["special"], key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.token_len = np.fromiter(map(len, vocabulary["tokens"]), np.int64, vocabulary["size"])
@@ -110,6 +118,62 @@ class Encoder:
         self.flat = np.array(list(self.v["special"].values()), np.int32)
         self.lengths = np.ones(len(self.flat), np.int64)
         self.starts = np.arange(len(self.flat), dtype=np.int64)
+        self.held = 0
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the sorted pair keys and ranks of pairs; _NONE where a pair is none."""
+        v = self.v
+        keys = left.astype(np.int64) * v["size"] + right
+        at = np.minimum(np.searchsorted(v["keys"], keys), len(v["keys"]) - 1)
+        return at, np.where(v["keys"][at] == keys, v["ranks"][at], _NONE)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word. ``after`` and ``before`` link its live symbols; places of pairs are filed by
+        rank, and those that are of another rank by the time it is their turn are passed over."""
+        v = self.v
+        sym = v["first"][np.frombuffer(word, np.uint8)]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        live = np.ones(n, bool)
+        filed: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def file(places: np.ndarray) -> None:
+            places = places[(places >= 0) & (after[np.maximum(places, 0)] < n)]
+            _, rank = self.ranks_of(sym[places], sym[after[places]])
+            places, rank = places[rank != _NONE], rank[rank != _NONE]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            heads = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(rank) else np.zeros(0, np.int64)
+            for r, part in zip(rank[heads].tolist(), np.split(places, heads[1:]), strict=False):
+                if r not in filed:
+                    filed[r] = []
+                    heapq.heappush(heap, r)
+                filed[r].append(part)
+
+        file(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            spots = np.unique(np.concatenate(filed.pop(r)))
+            spots = spots[live[spots]]
+            spots = spots[after[spots] < n]
+            at, rank = self.ranks_of(sym[spots], sym[after[spots]])
+            spots, at = spots[rank == r], at[rank == r]
+            if not len(spots):
+                continue
+            touches = np.concatenate([[False], after[spots[:-1]] == spots[1:]])  # a a a: every second from the left
+            index = np.arange(len(spots))
+            run = np.maximum.accumulate(np.where(touches, 0, index))
+            first = (index - run) % 2 == 0
+            spots, at = spots[first], at[first]
+            gone = after[spots]
+            sym[spots] = v["made"][at]
+            live[gone] = False
+            after[spots] = after[gone]
+            inner = after[spots] < n
+            before[after[spots][inner]] = spots[inner]
+            file(np.unique(np.concatenate([before[spots], spots])))
+        return sym[live]
 
     def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
@@ -144,15 +208,23 @@ class Encoder:
             keep[left + 1] = False
             sym, word = sym[keep], word[keep]
         if not done_sym:
-            return np.zeros(0, np.int32), lengths
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=n).astype(np.int64)
 
     def learn(self) -> None:
         """Encodes the words that are new in the table."""
-        words, self.known.new = self.known.new, []
-        flat, lengths = self.merge_rounds([w.encode("utf-8", "replace") for w in words])
+        words, self.known.new = [w.encode("utf-8", "replace") for w in self.known.new], []
+        long = [j for j, w in enumerate(words) if len(w) >= LONG_WORD]
+        flat, lengths = self.merge_rounds([b"" if len(w) >= LONG_WORD else w for w in words])
+        if long:
+            parts = np.split(flat, np.cumsum(lengths)[:-1])
+            for j in long:
+                parts[j] = self.merge_long(words[j])
+                lengths[j] = len(parts[j])
+            flat = np.concatenate(parts)
+        self.held += sum(map(len, words))
         self.starts = np.concatenate([self.starts, np.cumsum(lengths) - lengths + len(self.flat)])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
@@ -160,13 +232,21 @@ class Encoder:
     def pieces(self, text: str) -> Iterator[str]:
         start = 0
         while len(text) - start > 2 * PIECE:
-            cut = self.cut.search(text, start + PIECE)
-            if not cut:
+            cut = next((m.start() for m in self.cut.finditer(text, start + PIECE) if not self.inside_special(text, m.start())), None)
+            if cut is None:
                 break
-            yield text[start : cut.start()]
-            start = cut.start()
+            yield text[start:cut]
+            start = cut
         yield text[start:] if start else text
 
+    def inside_special(self, text: str, place: int) -> bool:
+        """Whether a special token that begins before a place ends after it."""
+        if not self.special:
+            return False
+        low = max(0, place - self.reach)
+        found = self.special.finditer(text[low : place + self.reach], overlapped=True)
+        return any(m.start() < place - low < m.end() for m in found)
+
     def words(self, parts: list[str]) -> tuple[list[str], np.ndarray]:
         """Words of texts, one after the other, and how many each text has; cut as PATTERN does.
 
@@ -206,7 +286,7 @@ class Encoder:
 
     def encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and where each begins (and the last ends)."""
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > MOST_WORDS or self.held > MOST_BYTES:
             self.forget()
         if self.special and any(self.special.search(t) for t in texts):
             parts, owner, marks = [], [], []
