@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm.common import held_out_column, slices, table
-from paperlode.llm.ngrams import codes_of, gram_hashes
+from paperlode.llm.ngrams import grams
 
 #: Hash buckets for all orders together; orders of n-grams.
 BUCKETS, ORDERS = 1 << 12, (1, 2, 3)
-#: Labelled texts a language is learned from at most; those with the smallest md5 of their id.
-MOST_PER_LANGUAGE = 500
+#: Labelled texts a language is learned from at most; those with the smallest md5 of their id. Texts of all
+#: languages together (16 KB each on the driver), and languages, the commonest ones.
+MOST_PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 500, 10_000, 1000
 #: Ambiguous: the second codeword has at least this share of the likelihood of the two nearest.
 AMBIGUOUS_SHARE = 0.4
 _LETTER = regex.compile(r"\p{L}")
@@ -39,12 +40,12 @@ _LETTER = regex.compile(r"\p{L}")
 
 def features(texts: list[str]) -> np.ndarray:
     """Square roots of bucket counts, of length 1."""
-    codes, at = codes_of(texts)
     out = np.zeros((len(texts), BUCKETS), np.float32)
-    for n in ORDERS:
-        buckets = (gram_hashes(codes, n) >> np.uint32(20)).astype(np.int64)
-        for i in range(len(texts)):
-            out[i] += np.bincount(buckets[at[i] : max(at[i], at[i + 1] - n + 1)], minlength=BUCKETS)
+    for owners, begins, hashes in grams(texts, ORDERS):
+        for at, h in zip(begins, hashes, strict=True):
+            buckets = (h >> np.uint32(20)).astype(np.int64)
+            for j, i in enumerate(owners.tolist()):
+                out[i] += np.bincount(buckets[at[j] : at[j + 1]], minlength=BUCKETS)
     np.sqrt(out, out=out)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
@@ -83,7 +84,8 @@ class CodeModel:
             return [("und", 0.0, False)] * len(texts)
         margins = features(texts) @ self.weights + self.bias
         loss = np.log1p(np.exp(-np.clip(self.code[None] * margins[:, None, :], -30, 30)))
-        nearness = np.exp(-(loss * self.trust[None]).sum(axis=2))
+        loss = (loss * self.trust[None]).sum(axis=2)
+        nearness = np.exp(loss.min(axis=1, keepdims=True) - loss)  # 1 for the nearest, so the sum is never 0
         share = nearness / nearness.sum(axis=1, keepdims=True)
         order = np.argsort(-share, axis=1, kind="stable")
         out = []
@@ -121,18 +123,21 @@ def fit_codes(x: np.ndarray, labels: list[str], rounds: int = 150, rate: float =
 
 
 def train_language_model(docs: DataFrame, most: int = MOST_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CodeModel:
-    """Learns from at most ``most`` texts a language of the documents that aren't held out.
+    """Learns from at most ``most`` texts a language of the documents that aren't held out, and MOST_TEXTS of
+    all, so what the driver fits is bounded however many languages there are.
 
     Those texts have the smallest hashes of their id; a threshold on the hash (from counts by language)
     leaves about twice as many rows to be ranked, however many a language has."""
     rows = docs.filter(~held_out_column(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in counts.collect()}  # MOST_LANGUAGES rows
     if not counts:
         return fit_codes(np.zeros((0, BUCKETS), np.float32), [])
+    most = max(1, min(most, MOST_TEXTS // len(counts)))
     u = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / float(1 << 52)
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (2 * most + 50) / n))])
-    some = rows.filter(u < share[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, (2 * most + 50) / n)) for k, n in counts.items()], "lang string, share double")
+    some = rows.join(F.broadcast(shares), "lang").filter(u < F.col("share"))  # MOST_LANGUAGES rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,19 +158,20 @@ def identify(docs: DataFrame, model: CodeModel, text_col: str = "text", carry: l
     """The columns in carry, then lang_pred, lang_score and lang_ambiguous, for every row."""
     carry = [c for c in carry or [] if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(*carry, F.col(text_col).cast("string").alias("langid_text"))
+    at = carry.index(text_col) if text_col in carry and dict(docs.dtypes)[text_col] == "string" else -1  # where the text is
+    docs = docs.select(*carry, *([F.col(text_col).cast("string").alias("langid_text")] if at < 0 else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "langid_text"):
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+            for part in slices(batch, text_col if at >= 0 else "langid_text"):
+                texts = [t or "" for t in part.column(at if at >= 0 else part.num_columns - 1).to_pylist()]
                 found = shared.value.predict(texts)
                 extra = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *extra], [*carry, "lang_pred", "lang_score", "lang_ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *extra], [*carry, "lang_pred", "lang_score", "lang_ambiguous"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields[: len(carry)], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())])
     return docs.mapInArrow(run, schema)
 
 

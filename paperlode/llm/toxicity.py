@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm.common import held_out_column, slices, table, written
-from paperlode.llm.ngrams import codes_of, gram_hashes
+from paperlode.llm.ngrams import grams
 
 ORDERS = (4, 5, 6)
 #: Labelled rows of label 1 and of label 0 that are learned from at most, but for chance (those with the smallest md5 of their id).
@@ -59,20 +59,16 @@ class NgramModel:
 
     def score(self, texts: list[str]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
-        if len(self.hashes):
-            codes, at = codes_of(texts)
-            doc, feature = [], []
-            for n in ORDERS:
-                h = gram_hashes(codes, n)
+        pairs = [np.zeros(0, np.int64)]
+        for owners, begins, hashes in grams(texts, ORDERS) if len(self.hashes) else ():
+            for at, h in zip(begins, hashes, strict=True):
                 spots = np.flatnonzero(self.sieve[h >> np.uint32(14)])
-                owner = np.searchsorted(at, spots, "right") - 1
-                inside = spots + n <= at[owner + 1]
-                spots, owner = spots[inside], owner[inside]
                 found = np.minimum(np.searchsorted(self.hashes, h[spots]), len(self.hashes) - 1)
                 known = self.hashes[found] == h[spots]
-                doc.append(owner[known])
-                feature.append(found[known])
-            pairs = np.unique(np.concatenate(doc) * len(self.hashes) + np.concatenate(feature))
+                owner = owners[np.searchsorted(at, spots[known], "right") - 1]
+                pairs.append(owner * len(self.hashes) + found[known])
+        pairs = np.unique(np.concatenate(pairs))  # a feature of a text counts once
+        if len(pairs):
             total += np.bincount(pairs // len(self.hashes), weights=self.weights[pairs % len(self.hashes)], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
@@ -119,17 +115,27 @@ def fit(rows: list[tuple[int, np.ndarray]], prior: float, rounds: int = 300, rat
     return NgramModel(hashes.astype(np.uint32), w * ratio, float(b + shift))
 
 
+def distinct_grams(texts: list[str], chosen) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of the text, distinct n-grams that chosen makes of its hashes), in order, one row a text."""
+    held, last = [], 0
+    for owners, begins, hashes in grams(texts, ORDERS):
+        for j, i in enumerate(owners.tolist()):
+            if i != last:
+                yield last, np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+                held, last = [], i
+            held.append(np.unique(chosen(np.concatenate([h[at[j] : at[j + 1]] for at, h in zip(begins, hashes, strict=True)]))))
+    if held:
+        yield last, np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+
+
 def _counted(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << bits), np.int32)
         for batch in batches:
             for part in slices(batch, "text"):
                 labels = part.column(0).to_pylist()
-                codes, at = codes_of([t or "" for t in part.column(1).to_pylist()])
-                grams = [gram_hashes(codes, n) >> np.uint32(32 - bits) for n in ORDERS]
-                for i, label in enumerate(labels):
-                    own = np.unique(np.concatenate([g[at[i] : max(at[i], at[i + 1] - n + 1)] for g, n in zip(grams, ORDERS, strict=True)]))
-                    counts[label, own] += 1
+                for i, own in distinct_grams([t or "" for t in part.column(1).to_pylist()], lambda h: h >> np.uint32(32 - bits)):
+                    counts[labels[i], own] += 1
         size = (1 << bits) // _PARTS
         for p in range(_PARTS):
             part = counts[:, p * size : (p + 1) * size]
@@ -151,12 +157,8 @@ def _telling_grams(chosen, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                codes, at = codes_of([t or "" for t in part.column(1).to_pylist()])
-                grams = [gram_hashes(codes, n) for n in ORDERS]
-                rows = []
-                for i in range(part.num_rows):
-                    own = np.concatenate([g[at[i] : max(at[i], at[i + 1] - n + 1)] for g, n in zip(grams, ORDERS, strict=True)])
-                    rows.append(np.unique(own[chosen.value[own >> np.uint32(32 - bits)]]).tobytes())
+                tells = lambda h: h[chosen.value[h >> np.uint32(32 - bits)]]
+                rows = [own.tobytes() for _, own in distinct_grams([t or "" for t in part.column(1).to_pylist()], tells)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["label", "grams"])
 
     return run
