@@ -2,16 +2,17 @@
 
 Every task writes the records of its rows into archives of its own (one gzip member a record) and
 gives an index row a record: file, offset, length, URL, payload digest. The index is committed by
-Spark, the archives carry a random name: what a lost attempt wrote is in no index. A reader takes any
-rows of the index, sorts them by file and offset, joins ranges that lie close into one read and parses
-the records. Archives are opened through pyarrow's file systems at the folder's own URI.
+Spark, the archives carry a random name: what a lost attempt wrote is in no index and is cleared once the
+index is whole. A reader takes any rows of the index, brings those of a file together in the order of
+their offsets (a range partitioning of index rows, which are narrow), joins ranges that lie close into one
+read and parses the records. Archives are opened through pyarrow's file systems at the folder's own URI.
 
-Of records with equal payloads (at least ``least_bytes``) the one with the largest id is a response and
-the others are revisits that refer to it.
+Of records with equal payloads (by SHA-256; at least ``least_bytes``) the one with the largest id is a
+response and the others are revisits that refer to it.
 
 Defined cases: null payload counts as empty; a null or empty URL is written as urn:none and read as
 null; white space in a URL is percent-encoded; a null id is never the response of a group that has
-another id; rows that repeat the response's id are responses too; an empty table writes no archive and
+another id; rows that repeat the response's id are responses too, whose record ids are then alike; an empty table writes no archive and
 an empty index; other columns are ignored.
 """
 
@@ -22,14 +23,14 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import scratch, table
+from paperlode.llm.common import join_by_key, scratch, table, written
 
 INDEX = "file string, offset bigint, length bigint, url string, payload_digest string, id bigint, record_type string"
 RECORD = "id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
@@ -118,31 +119,45 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{root}/archives", recursive=True)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    pages = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    groups = pages.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND stays IS NOT NULL").drop("n")
-    rows = pages.join(groups, "digest", "left")  # the only shuffle of payloads; a hot digest is split by AQE
+    pages = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    groups = pages.filter(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("id").alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND stays IS NOT NULL")
+    groups = written(groups, "payload-groups")
+    rows = join_by_key(pages, groups, ["digest"], "n", pages.count(), "left")  # the only shuffle of payloads
     revisit = F.col("stays").isNotNull() & ~F.col("id").eqNullSafe(F.col("stays"))
     rows = rows.select("id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("stays")).alias("refers_to"))
     rows.mapInArrow(_writer(f"{folder}/archives"), INDEX).write.parquet(f"{folder}/index")
-    return folder, read_index(spark, folder)
+    index = read_index(spark, folder)
+    clear_lost(index, folder)
+    return folder, index
+
+
+def clear_lost(index: DataFrame, folder: str) -> int:
+    """Deletes archives that no row of the index names (of lost attempts of tasks); gives their number.
+    As many names reach the driver as there are archives."""
+    store, root = fs.FileSystem.from_uri(f"{folder}/archives")
+    named = {r["file"] for r in index.select("file").distinct().toLocalIterator()}
+    lost = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.base_name not in named]
+    for path in lost:
+        store.delete_file(path)
+    return len(lost)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def ranges(places: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[int]]]:
-    """Reads (file, begin, end, members) that cover places (file, offset, length), by file and offset."""
+def ranges(places: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """Reads (file, begin, end, [(offset, length)]) that cover places (file, offset, length), which come by
+    file and offset. A read ends at READ_BYTES, so what is held is bounded however many places there are."""
     held: list = []
-    for i in sorted(range(len(places)), key=lambda i: places[i]):
-        name, offset, length = places[i]
+    for name, offset, length in places:
         if held and (name != held[0] or offset > held[2] + GAP or offset + length - held[1] > READ_BYTES):
             yield tuple(held)
             held = []
         if not held:
             held = [name, offset, offset, []]
         held[2] = max(held[2], offset + length)
-        held[3].append(i)
+        held[3].append((offset, length))
     if held:
         yield tuple(held)
 
@@ -155,20 +170,20 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
         names = ["id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] if payloads else [])]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         opened, name = None, None
-        for batch in batches:
-            places = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for file, begin, end, members in ranges(places):
-                if file != name:
-                    if opened is not None:
-                        opened.close()
-                    opened, name = store.open_input_file(f"{root}/{file}"), file
-                raw = opened.read_at(end - begin, begin)
-                found = [parse(zlib.decompress(raw[places[i][1] - begin : places[i][1] - begin + places[i][2]], 31)) for i in members]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in zip(names, kinds, strict=False)], names)
+        places = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for file, begin, end, members in ranges(places):
+            if file != name:
+                if opened is not None:
+                    opened.close()
+                opened, name = store.open_input_file(f"{root}/{file}"), file
+            raw = opened.read_at(end - begin, begin)
+            found = [parse(zlib.decompress(raw[offset - begin : offset - begin + length], 31)) for offset, length in members]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in zip(names, kinds, strict=False)], names)
         if opened is not None:
             opened.close()
 
-    return selected.select("file", "offset", "length").mapInArrow(run, RECORD + (", payload binary" if payloads else ""))
+    together = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    return together.mapInArrow(run, RECORD + (", payload binary" if payloads else ""))
 
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
