@@ -57,7 +57,11 @@ def test_exact_dedup(spark, odd, empty, digest_bytes):
     rows = [(i, random.choice(["a b", "ab", "a b", " ab ", "abc", None, "", "x" * 50]) if i % 2 else f"t{i % 90} {i}") for i in range(300)]
     got = exact_dedup.exact_dedup(frame(spark, rows), memtable_rows=20, range_rows=50, digest_bytes=digest_bytes)
     assert Counter((r["id"], r["keep_id"], r["group_size"]) for r in got.collect()) == brute_exact(rows)
+    assert Counter(r["keep_id"] for r in got.collect() if r["kept"]) == Counter(k for _, k, _ in {(None, k, n) for _, k, n in brute_exact(rows)})
     if digest_bytes == 32:
+        repeats = [(5, "x y"), (5, "xy"), (5, "x  y"), (5, "x  y"), (9, "xy"), (None, "q"), (None, "q "), (None, "q "), (7, "alone"), (7, "other")]
+        kept = exact_dedup.exact_dedup(frame(spark, repeats)).filter("kept").collect()
+        assert sorted(((r["id"], r["group_size"]) for r in kept), key=str) == [(5, 5), (7, 1), (7, 1), (None, 3)]
         got = exact_dedup.exact_dedup(odd)
         assert Counter((r["id"], r["keep_id"], r["group_size"]) for r in got.collect()) == brute_exact([r[:2] for r in odd_rows()])
         assert exact_dedup.exact_dedup(empty).count() == 0
@@ -65,10 +69,10 @@ def test_exact_dedup(spark, odd, empty, digest_bytes):
 
 def test_merge_keeps_smallest():
     words = np.array([[1, 0, 0, 0], [2, 0, 0, 0], [1, 0, 0, 0]], np.uint64)
-    a = exact_dedup.Run(words, np.array([5, 1, 5]), np.array([9, 1, 3]), np.ones(3, np.int64))
-    b = exact_dedup.Run(words[:1], np.array([5]), np.array([2]), np.ones(1, np.int64))
+    a = exact_dedup.Run(words, np.array([5, 1, 5]), np.array([9, 1, 3]), np.array([0, 1, 2]), np.ones(3, np.int64))
+    b = exact_dedup.Run(words[[0, 0]], np.array([5, 5]), np.array([2, 2]), np.array([8, 7]), np.ones(2, np.int64))
     m = exact_dedup.merge(a, b, exact_dedup.Bloom(b.words))
-    assert m.ids.tolist() == [2, 1] and m.counts.tolist() == [3, 1]
+    assert m.ids.tolist() == [2, 1] and m.rows.tolist() == [7, 1] and m.counts.tolist() == [4, 1]
 
 
 # ---- mixing
@@ -98,14 +102,24 @@ def test_mixing(spark, odd, empty):
     only = mixing.mix_sources(docs, weights={"small": 1.0}, target_rows=400).select("source").distinct().collect()
     assert [r[0] for r in only] == ["small"]
     assert mixing.mix_sources(odd, target_rows=50).count() > 10 and mixing.mix_sources(empty).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "source", *(f"doc_id * {i} AS {c}" for i, c in enumerate(["rate", "cdf", "first", "mix_source", "own", "ident", "of", "u", "n", "mix_u", "mix_n"], 2)))
+    got = mixing.mix_sources(clash, target_rows=3000)
+    assert got.columns == [*clash.columns, "copy_no", "shuffle_key"] and Counter(r["doc_id"] for r in got.collect()) == copies
+    assert all(r["rate"] == 2 * r["doc_id"] and r["mix_n"] == 12 * r["doc_id"] for r in got.collect())
+
+
+def test_mixing_large_means(spark):
+    docs = spark.createDataFrame([(i, "x", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    rates = {r["mix_source"]: r for r in mixing.source_rates(docs, "source", None, 0.5, 40_000_000).collect()}
+    assert all(len(r["cdf"]) < 24 * r["rate"] ** 0.5 + 100 and r["cdf"] == sorted(r["cdf"]) and r["cdf"][-1] == pytest.approx(1) for r in rates.values())
+    got = mixing.mix_sources(docs, target_rows=400_000).groupBy("doc_id").count().collect()
+    assert len(got) == 40 and all(abs(r["count"] - 10_000) < 600 for r in got) and len({r["count"] for r in got}) > 20
 
 
 # ---- sharding
 
 
-def test_sharding(spark, odd, empty, monkeypatch):
-    monkeypatch.setattr(sharding, "LEAST_BUCKETS", 8)
-    monkeypatch.setattr(sharding, "GROUP", 3)
+def test_sharding(spark, odd, empty):
     rows = [(i, None if i % 50 == 0 else f"té{i}", "hot" if i % 3 == 0 else f"s{i % 7}" if i % 5 else None) for i in range(1000)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
     assert len(got) == 1000 and sorted(r["position"] for r in got) == list(range(1000))
@@ -122,12 +136,21 @@ def test_sharding(spark, odd, empty, monkeypatch):
     h = {i: hashlib.md5(f"shard-1:{i}".encode()).hexdigest() for i, _, _ in rows}
     ranked = []
     for source in total:
-        own = sorted((h[i], i) for i, _, s in rows if s == source)
-        ranked += [((k + 0.5) / len(own), "n" if source is None else "s" + source, x, i) for k, (x, i) in enumerate(own)]
+        own, name = sorted((h[i], i) for i, _, s in rows if s == source), "n" if source is None else "s" + source
+        offset = (int(hashlib.md5(f"shard-1:source:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        ranked += [((k + offset) / len(own), name, x, i) for k, (x, i) in enumerate(own)]
     assert [i for *_, i in sorted(ranked)] == [r["id"] for r in sorted(got, key=lambda r: r["position"])]
     assert sharding.shard_documents(odd).count() == 11 and sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_spreads_small_sources_and_repeats(spark):
+    rows = [(i, "t", f"own{i}") for i in range(1500)] + [(None, "same", "hot")] * 1500
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(r["position"] for r in got) == list(range(3000)) and len({r["frac_rank"] for r in got}) > 2900
+    hot = Counter(r["shard"] for r in got if r["source"] == "hot")
+    assert len(hot) == 16 and max(hot.values()) < 140 and max(Counter(r["shard"] for r in got).values()) == 188
+
+
 # ---- BPE
 
 
@@ -155,6 +178,26 @@ def test_bpe(spark, odd, empty):
     assert bpe.encode_documents(empty).count() == 0
 
 
+def test_bpe_long_words_and_cuts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    real, coder = Tokenizer.from_file(path), bpe.Encoder(bpe.load_vocabulary(path))
+    random.seed(11)
+    for n, letters in ((600, "ab"), (3000, "a"), (20_000, "etaoinshrdlu"), (4000, "abé漢🙂"), (1 << 20, "etaoinshrdluabc")):
+        word = "".join(random.choice(letters) for _ in range(n))
+        assert coder.encode(word).tolist() == real.encode(word, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "PIECE", 50)  # cuts without a lone blank near, inside special tokens, contractions, white space
+    for _ in range(150):
+        text = "".join(random.choice(["a", "b", "é", "1", "2", " ", "\n", "'s", "'", "-", "<|endoftext|>", "\t", "  ", "'ll", "漢", "."]) for _ in range(400))
+        assert all(len(p) < 1000 for p in coder.pieces(text))
+        assert coder.encode(text).tolist() == real.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "MOST_BYTES", 100)
+    texts = ["one two three " * 20, "four five"] * 3
+    for want in real.encode_batch(texts, add_special_tokens=False)[:2] * 3:
+        assert coder.encode(texts[0] if len(want.ids) > 9 else texts[1]).tolist() == want.ids and len(coder.known) < 50
+
+
 # ---- winnowing
 
 
@@ -195,10 +238,26 @@ def test_winnowing(spark, odd, empty, monkeypatch):
         sets = [set(winnowing.winnow([x])[0][0].tolist()) for x in (t, changed, n)]
         near = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
         assert got[i]["near_edited"] == pytest.approx(near(sets[0], sets[1])) and got[i]["near_next"] == pytest.approx(near(sets[0], sets[2]))
+        marks = winnowing.winnow([t])[0]
+        assert got[i]["hashes"] == marks[0].view(np.int64).tolist() and got[i]["positions"] == marks[1].tolist()
     rows = winnowing.compare_neighbours(odd).collect()
     assert len(rows) == 11 and len({r["fingerprint"] for r in rows if r["id"] in (7, 8)}) == 1
     assert winnowing.compare_neighbours(empty).count() == 0 and winnowing.compare_neighbours(frame(spark, [(1, "a b c d e")])).count() == 1
     assert winnowing.fingerprint_documents(odd).count() == 11
+    assert {len(r["edited_hashes"]) == len(r["edited_positions"]) for r in winnowing.compare_neighbours(odd, edited_marks=True).collect()} == {True}
+
+
+def test_winnowing_large_null_and_hot_ids(spark):
+    random.seed(12)
+    text = lambda: "".join(random.choice("abcd ") for _ in range(random.randrange(40, 90)))
+    rows = [(random.getrandbits(62) - random.getrandbits(62), text()) for _ in range(400)] + [((1 << 62) + i, text()) for i in range(40)] + [(9, text()) for _ in range(300)]
+    rows += [(None, text()) for _ in range(300)] + [(9, "twin text")] * 20 + [(-(1 << 63), text()), ((1 << 63) - 1, text())]
+    got = winnowing.compare_neighbours(frame(spark, rows)).collect()
+    assert Counter(r["id"] for r in got) == Counter(i for i, _ in rows)
+    hashed = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").distinct().select("t", F.xxhash64("t")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1]))
+    want = Counter((i, hashlib.sha256(winnowing.edited(t, n).encode()).hexdigest()) for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter((r["id"], r["edited_sha256"]) for r in got) == want
 
 
 # ---- WARC
@@ -222,9 +281,22 @@ def test_warc(spark, monkeypatch):
         warc.parse(warc.record(1, "u", b"abc", "A" * 32))
 
 
+def test_warc_scattered_index_and_lost_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    rows = [(i, f"http://a/{i}", f"<p>{i % 40}</p>" if i % 2 else "<p>hot</p>") for i in range(300)]
+    folder, index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    path = folder.removeprefix("file://") + "/archives"
+    open(f"{path}/lost.warc.gz", "wb").close()
+    assert warc.clear_lost(index, folder) == 1 and warc.clear_lost(index, folder) == 0
+    last = {p: max(i for i, _, q in rows if q == p) for _, _, p in rows}
+    some = index.filter("id % 3 = 0").orderBy(F.rand(1))
+    got = {(r["id"], r["refers_to"]) for r in warc.read_records(some, folder).collect()}
+    assert got == {(i, None if last[p] == i else last[p]) for i, _, p in rows if i % 3 == 0}
+
+
 def test_ranges():
-    places = [("b", 0, 5), ("a", 100, 5), ("a", 0, 10), ("a", 10, 10), ("a", 10_000_000, 5)]
-    assert [(f, s, e, m) for f, s, e, m in warc.ranges(places)] == [("a", 0, 105, [2, 3, 1]), ("a", 10_000_000, 10_000_005, [4]), ("b", 0, 5, [0])]
+    places = [("a", 0, 10), ("a", 10, 10), ("a", 100, 5), ("a", 10_000_000, 5), ("b", 0, 5)]
+    assert list(warc.ranges(places)) == [("a", 0, 105, [(0, 10), (10, 10), (100, 5)]), ("a", 10_000_000, 10_000_005, [(10_000_000, 5)]), ("b", 0, 5, [(0, 5)])]
 
 
 # ---- suffix arrays
@@ -266,14 +338,17 @@ def brute_repeats(rows, length=50):
     return sorted(out, key=str)
 
 
-def test_remove_repeats(spark, empty, monkeypatch):
-    random.seed(3)
+@pytest.mark.parametrize(("seed", "hot"), [(3, 2048), (4, 3), (5, 1)])
+def test_remove_repeats(spark, empty, monkeypatch, seed, hot):
+    random.seed(seed)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     passages = ["".join(random.choice("abcdé ") for _ in range(random.choice([49, 50, 51, 60, 120, 300]))) for _ in range(20)]
     rows = [(i, "".join(random.choice(passages) if random.random() < 0.4 else "".join(random.choice("abcdefgh ") for _ in range(random.randrange(80))) for _ in range(random.randrange(8)))) for i in range(150)]
     rows += [(5, rows[5][1]), (None, rows[7][1]), (None, rows[7][1]), (400, None), (401, ""), (402, "ab" * 200), (403, "ab" * 300), (404, "a" * 49), (405, "a" * 50), (406, "a" * 200)]
     monkeypatch.setattr(suffix_dedup, "blocked", lambda d, i, t: blocks.blocked(d, i, t, 3000))
     monkeypatch.setattr(suffix_dedup, "PIECE", 777)
     monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "GATHER", 100)
     got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == brute_repeats(rows)
     assert all(hashlib.sha256(bytes(r["kept_text"])).hexdigest() == r["kept_sha256"] for r in got)
