@@ -4,10 +4,14 @@ verification share it, and it keeps the order and the number format of the file.
 from __future__ import annotations
 
 import json
+import re
 import string
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from paperlode.config import FieldMap
 
 
@@ -82,21 +86,33 @@ def field_value(record, path: str):
     return record
 
 
-def _leaves(node, steps: tuple[str, ...]) -> Iterator:
-    if not steps:
-        yield node
-        return
-    key, many = steps[0].removesuffix("[]"), steps[0].endswith("[]")
-    if isinstance(node, dict) and key in node:
-        found = node[key]
-        for item in found if many and isinstance(found, list) else (found,):
-            yield from _leaves(item, steps[1:])
+def _is_scalar(value) -> bool:
+    return isinstance(value, (str, int, float))
+
+
+def walk(value, path: tuple = ()) -> Iterator[tuple[tuple, object]]:
+    """(path, leaf) of all that is in a value, in order: scalars and whole lists of scalars; nulls are left
+    out. A path has the keys of objects and the places in lists."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from walk(v, (*path, str(k)))
+    elif isinstance(value, list) and not (value and all(map(_is_scalar, value))):
+        for i, v in enumerate(value):
+            yield from walk(v, (*path, i))
+    elif value is not None:
+        yield path, value
 
 
 def array_values(record, path: str) -> list:
     """Distinct scalars at a path that crosses arrays (a[].b[].c), in order."""
-    scalars = (v for v in _leaves(record, tuple(path.split("."))) if isinstance(v, (str, int, float)))
-    return list(dict.fromkeys(scalars))
+    said = lambda key: key.replace("/", "//").replace("#", "/h")
+    steps = [re.escape(said(s.removesuffix("[]"))) + ("(/#)?" if s.endswith("[]") else "") for s in path.split(".")]
+    wanted, found = re.compile("/".join(steps)), {}
+    for at, leaf in walk(record):
+        for place, scalar in [((*at, i), v) for i, v in enumerate(leaf)] if isinstance(leaf, list) else [(at, leaf)]:
+            if wanted.fullmatch("/".join("#" if isinstance(p, int) else said(p) for p in place)):
+                found.setdefault(scalar)
+    return list(found)
 
 
 def field_spec(spec: str) -> tuple[str, str]:
@@ -109,20 +125,11 @@ def shown(value) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def _is_scalar(value) -> bool:
-    return isinstance(value, (str, int, float))
-
-
 def lines(value, name: str) -> Iterator[str]:
-    """"name: value" of every scalar below value, in order; lists of scalars on one line, nulls left out."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from lines(v, f"{name}.{k}" if name else str(k))
-    elif isinstance(value, list) and not (value and all(map(_is_scalar, value))):
-        for i, v in enumerate(value):
-            yield from lines(v, f"{name}[{i}]")
-    elif value is not None:
-        yield f"{name}: {'; '.join(map(shown, value)) if isinstance(value, list) else shown(value)}"
+    """"name: value" of every leaf below value, in order; lists of scalars on one line."""
+    for path, leaf in walk(value):
+        said = name + "".join(f"[{p}]" if isinstance(p, int) else f".{p}" for p in path)
+        yield f"{said if name else said.removeprefix('.')}: {'; '.join(map(shown, leaf)) if isinstance(leaf, list) else shown(leaf)}"
 
 
 def render(record, fields: FieldMap) -> str:
@@ -174,3 +181,23 @@ def title(record, locator: str, text: str, fields: FieldMap, kind: str, stem: st
         return f"{stem}#{locator}" if fields.record_path else stem
     first = text.strip().splitlines()[0] if text.strip() else ""
     return first[:120] or locator
+
+
+def rendered(json_text, fields: FieldMap):
+    """A column of JSON records as the text render() makes of them."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else render(json.loads(t), fields))
+
+    return run(json_text)
+
+
+def entities_of(json_text, entity_fields: tuple[str, ...]):
+    """A column of JSON records as the names they declare: array<struct<type, name>>."""
+
+    @F.pandas_udf("array<struct<type:string,name:string>>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: [] if t is None else declared_entities(json.loads(t), entity_fields))
+
+    return run(json_text)
