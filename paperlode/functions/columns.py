@@ -20,7 +20,12 @@ def _c(x) -> Column:
 
 def file_id(content) -> Column:
     """Id of a source file by its bytes: the same content has the same id wherever it lies."""
-    return F.concat(F.lit("f"), F.substring(F.sha2(_c(content), 256), 1, 10))
+    return id_of_digest(F.sha2(_c(content), 256))
+
+
+def id_of_digest(sha256) -> Column:
+    """The short id of a file for tokens and joins of its documents; whether a file is known its whole digest decides."""
+    return F.concat(F.lit("f"), F.substring(_c(sha256), 1, 10))
 
 
 def entity_id(kind, key) -> Column:

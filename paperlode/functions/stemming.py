@@ -71,9 +71,12 @@ def stem(word: str) -> str:
     return w.lower() if first else w
 
 
-def stem_column(words) -> Column:
-    @F.pandas_udf("array<string>")
+def stem_column(word) -> Column:
+    """Stems of a column of words; each different word of a batch is stemmed once."""
+
+    @F.pandas_udf("string")
     def stems(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ws: [stem(w) for w in ws])
+        number, words = pd.factorize(batch)
+        return pd.Series(pd.Series([*(stem(w) for w in words), None], dtype=object).to_numpy()[number])
 
-    return stems(words)
+    return stems(word)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.functions.columns import fold_change, name_key, number
 from paperlode.operators.aggregate import check_field
+from paperlode.storage import numbered
 
 THRESHOLDS = {"robust_z": 3.5, "iqr": 1.5}
 #: Scale of the median and of the mean absolute deviation to a standard deviation (fixed values).
@@ -40,7 +43,8 @@ def peer_outliers(df: DataFrame, by: str, measure: str, segment: str | None = No
 
     Gives doc_id, grp, segment, value, group_median, group_n, ratio, score, direction, method, low_confidence.
     digits: to which median, ratio and score are rounded.
-    Two window passes over one partitioning, by group and segment; cap keeps each group's first rows.
+    Medians and quartiles are aggregates, counted up where the rows are, and joined back, so no group is
+    gathered; cap keeps the first rows of each group among those that stand out.
     """
     if method not in THRESHOLDS:
         raise ValueError(f"method must be one of {tuple(THRESHOLDS)}")
@@ -50,18 +54,23 @@ def peer_outliers(df: DataFrame, by: str, measure: str, segment: str | None = No
         rows = rows.filter("value > 0")
     peers = Window.partitionBy("grp", "segment")
     y: Column = F.ln("value") if log else F.col("value")
-    rows = rows.withColumn("y", y).withColumns({"group_n": F.count(F.lit(1)).over(peers), "group_median": F.median("value").over(peers)}).filter(F.col("group_n") >= min_peers)
+    rows = rows.withColumn("y", y)
+
+    def with_peers(rows: DataFrame, *found: Column) -> DataFrame:
+        """rows with aggregates over their group and segment."""
+        own = rows.groupBy(F.col("grp").alias("peer_grp"), F.col("segment").alias("peer_segment")).agg(*found)
+        return rows.join(own, F.col("grp").eqNullSafe(F.col("peer_grp")) & F.col("segment").eqNullSafe(F.col("peer_segment"))).drop("peer_grp", "peer_segment")
+
+    rows = with_peers(rows, F.count(F.lit(1)).alias("group_n"), F.median("value").alias("group_median"), F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).filter(F.col("group_n") >= min_peers)
     if method == "iqr":
-        rows = rows.withColumn("q", F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).over(peers))
-        q1, q3 = F.col("q")[0], F.col("q")[1]
+        q1, q3 = F.col("q")[0], F.col("q")[2]
         iqr = q3 - q1
         over, under = F.col("y") - (q3 + F.lit(limit) * iqr), (q1 - F.lit(limit) * iqr) - F.col("y")
         rows = rows.filter(iqr > 0).withColumn("score", F.greatest(over, under) / iqr).filter("score > 0")
         rows = rows.withColumn("direction", F.when(F.col("y") > q3, "high").otherwise("low")).withColumn("how", F.lit("iqr"))
     else:
-        rows = rows.withColumn("mid", F.median("y").over(peers))
-        rows = rows.withColumn("off", F.abs(F.col("y") - F.col("mid")))
-        rows = rows.withColumns({"mad": F.median("off").over(peers), "mean_ad": F.avg("off").over(peers)})
+        rows = rows.withColumn("mid", F.col("q")[1]).withColumn("off", F.abs(F.col("y") - F.col("mid")))
+        rows = with_peers(rows, F.median("off").alias("mad"), F.avg("off").alias("mean_ad"))
         scale = F.when(F.col("mad") > 0, F.lit(MAD_SCALE) * F.col("mad")).when(F.col("mean_ad") > 0, F.lit(MEAN_AD_SCALE) * F.col("mean_ad"))
         rows = rows.withColumn("score", (F.col("y") - F.col("mid")) / scale).filter(F.abs("score") >= F.lit(limit))
         rows = rows.withColumn("direction", F.when(F.col("score") > 0, "high").otherwise("low"))
@@ -81,16 +90,18 @@ def peer_outliers(df: DataFrame, by: str, measure: str, segment: str | None = No
 def rare_groups(df: DataFrame, by: str, measure: str, max_count: int = 1, pct: float = 95.0, k: int | None = 50, canon: DataFrame | None = None, kind: str = "auto") -> DataFrame:
     """Rows of groups with few records whose sum is among the largest: doc_id, grp, value, group_n, group_sum, rank_pct.
 
-    The groups' sums are ranked by counts of equal sums, so no window spans all groups but that of their distinct sums' counts.
+    Groups are numbered in the order of their sums by sorted partitions (storage.numbered); the percentile is
+    read off two places and a rank is the first place of equal sums, so no task has all groups.
     """
     rows = _rows(df, by, measure, None, canon, kind)
     groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("group_n"), F.sum("value").alias("group_sum"))
-    bounds = groups.agg(F.percentile("group_sum", F.lit(pct / 100)).alias("least"), F.count(F.lit(1)).alias("n_groups"))  # one row
-    flagged = groups.join(F.broadcast(bounds)).filter((F.col("group_n") <= max_count) & (F.col("group_sum") >= F.col("least")))
-    # rank: groups with a smaller sum; flagged groups are few, the others only counted
-    above = groups.join(F.broadcast(bounds)).filter(F.col("group_sum") >= F.col("least")).select("grp", "group_sum", "n_groups")
-    above = above.withColumns({"r": F.rank().over(Window.orderBy("group_sum")), "n_above": F.count(F.lit(1)).over(Window.partitionBy())})
-    rank = F.round(100 * (F.col("n_groups") - F.col("n_above") + F.col("r") - 1) / F.col("n_groups"), 1)
-    ranked = flagged.join(above.select("grp", rank.alias("rank_pct")), "grp").select("grp", "group_n", "group_sum", "rank_pct")
+    groups = numbered(groups, ["group_sum", "grp"], "group-sums")
+    n = groups.count()
+    spot = pct / 100 * max(0, n - 1)
+    ends = {r["place"]: r["group_sum"] for r in groups.filter(F.col("place").isin(math.floor(spot), math.ceil(spot))).select("place", "group_sum").collect()}  # two rows
+    low, high = ends.get(math.floor(spot), 0.0), ends.get(math.ceil(spot), 0.0)
+    flagged = groups.filter((F.col("group_n") <= max_count) & (F.col("group_sum") >= F.lit(low + (high - low) * (spot - math.floor(spot)))))
+    first = groups.groupBy("group_sum").agg(F.min("place").alias("smaller"))  # groups with a smaller sum
+    ranked = flagged.join(first, "group_sum").select("grp", "group_n", "group_sum", F.round(100 * F.col("smaller") / F.lit(max(1, n)), 1).alias("rank_pct"))
     out = rows.join(ranked, "grp").select("doc_id", "grp", "value", "group_n", F.round("group_sum", 2).alias("group_sum"), "rank_pct")
     return out if k is None else out.orderBy(F.desc("group_sum"), "grp", "doc_id").limit(k)

@@ -2,54 +2,76 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlode.storage import shared_dir
+
 PRIOR = 0.1
 #: (label, m, u) of the comparison levels (fixed values): names weigh most, other fields corroborate.
 NAME_LEVELS = {"exact": (0.55, 0.0001), "jw90": (0.30, 0.005), "jw80": (0.12, 0.05), "else": (0.03, 0.945)}
 WEAK_LEVELS = {"exact": (0.5, 0.2), "jw80": (0.3, 0.3), "else": (0.2, 0.5)}
 
 
-def jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(0, max(len(a), len(b)) // 2 - 1)
-    taken, mine = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                mine.append(c)
-                break
-    if not mine:
-        return 0.0
-    theirs = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
-    m = len(mine)
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+#: Letters up to which names are compared as matrices, many pairs at a time; longer ones go alone.
+WIDE = 64
+
+
+def _letters(words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words (a row each, 0 past the end) and how many there are."""
+    raw = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return raw.reshape(len(words), width), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler similarity of a[i] and b[i], all pairs at once: Jaro similarity, raised (from 0.7) by a
+    tenth of what lacks for each of the first four letters in common."""
+    if not a:
+        return np.zeros(0)
+    width = max(1, *map(len, a), *map(len, b))
+    (x, nx), (y, ny) = _letters(a, width), _letters(b, width)
+    reach = np.maximum(0, np.maximum(nx, ny) // 2 - 1)
+    mine, theirs = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    widest = int(reach.max())
+    for i in range(width):  # each letter of a takes the first free one of b within reach
+        free = i < nx
+        for j in range(max(0, i - widest), min(width, i + widest + 1)):
+            took = free & (j < ny) & (abs(i - j) <= reach) & ~theirs[:, j] & (x[:, i] == y[:, j])
+            theirs[:, j] |= took
+            free &= ~took
+            mine[:, i] |= took
+    m = mine.sum(axis=1)
+    in_order = lambda letters, kept: np.take_along_axis(letters, np.argsort(~kept, axis=1, kind="stable"), axis=1)
+    differ = (in_order(x, mine) != in_order(y, theirs)) & (np.arange(width) < m[:, None])
+    swaps = differ.sum(axis=1) // 2  # pairs of letters out of order; an odd one doesn't count
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(m > 0, (m / nx + m / ny + (m - swaps) / m) / 3, 0.0)
+    same = np.cumprod((x[:, :4] == y[:, :4]) & (np.arange(min(4, width)) < np.minimum(nx, ny)[:, None]), axis=1).sum(axis=1)
+    out = np.where(out > 0.7, out + same * 0.1 * (1 - out), out)
+    return np.where((nx == 0) & (ny == 0), 1.0, out)
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """Jaro similarity, raised by a tenth of what lacks for each of the first four letters in common (from 0.7)."""
-    j = jaro(a, b)
-    if j <= 0.7:
-        return j
-    same = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        same += 1
-    return j + same * 0.1 * (1 - j)
+    return float(jaro_winkler_pairs([a], [b])[0])
 
 
 def jaro_winkler_column(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+        pairs = pd.DataFrame({"x": x.to_numpy(), "y": y.to_numpy()})
+        known = (pairs["x"].notna() & pairs["y"].notna()).to_numpy()
+        number = pairs[known].groupby(["x", "y"], sort=False).ngroup().to_numpy(np.int64)
+        first = pairs[known].drop_duplicates()  # each pair of values once, in the same order
+        wide = (first["x"].str.len() > WIDE) | (first["y"].str.len() > WIDE)
+        scores = np.zeros(len(first))
+        short = first[~wide]
+        scores[(~wide).to_numpy()] = jaro_winkler_pairs(short["x"].tolist(), short["y"].tolist())
+        scores[wide.to_numpy()] = [jaro_winkler(p, q) for p, q in first[wide].itertuples(index=False)]
+        out = np.full(len(pairs), np.nan)
+        out[known] = scores[number]
+        return pd.Series(out).where(known, None).astype("float64")
 
     return run(a, b)
 
@@ -115,14 +137,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, cluster_id (smallest id that edges(src, dst) lead to) for every node. Each round hangs the larger
     neighbours of a node on the smallest one around, then the smaller ones too (large star, small star),
     until every node hangs on one that hangs on none; lineage is cut by checkpoints."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="paperlode-")
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_dir(nodes.sparkSession)  # where checkpoints go
     links = edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct().checkpoint()
     while True:
         both = links.union(links.select("v", "u"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("lead", "hypothesis", "question", "note", "dead_end", "connection")
@@ -11,12 +11,13 @@ OPEN_KINDS = ("lead", "hypothesis", "question")
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
-    return log.withColumn("_n", place).filter("_n = 1").drop("_n")
+    """The newest row of each key: one aggregate, so rows of a key meet after they are thinned out."""
+    whole = F.struct(*(F.col(c) for c in log.columns))
+    newest = log.groupBy(*keys).agg(F.max_by(whole, F.struct(*order)).alias("newest"))
+    return newest.select("newest.*")
 
 
-def list_observations(observations: DataFrame, status: str | None = None, kind: str | None = None, entity: str | None = None, k: int = 50) -> DataFrame:
+def list_observations(observations: DataFrame, status: str | None = None, kind: str | None = None, entity: str | None = None, k: int | None = 50) -> DataFrame:
     """Newest first; entity is looked for in the row's entity ids."""
     rows = observations
     if status:
@@ -25,7 +26,8 @@ def list_observations(observations: DataFrame, status: str | None = None, kind:
         rows = rows.filter(F.col("kind") == kind)
     if entity:
         rows = rows.filter(F.exists("entity_ids", lambda e: e.contains(entity)))
-    return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(k)
+    rows = rows.orderBy(F.desc("updated_at"), F.desc("id"))
+    return rows if k is None else rows.limit(k)
 
 
 def open_threads(observations: DataFrame, k: int = 10) -> DataFrame:

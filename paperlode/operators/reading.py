@@ -34,12 +34,16 @@ def read_documents(documents: DataFrame, doc_ids: list[str], budget: int = 16_00
     return out.select("doc_id", "place", F.col("est").alias("approx_tokens"), "status", F.when(kept, F.col("text")).alias("text"), F.when(kept, F.col("citation_token")).alias("citation_token")).orderBy("place")
 
 
-def sample_ids(documents: DataFrame, n: int = 200, order: str = "random", seed: int | None = None, where=None) -> list[str]:
-    """Ids of a random or first draw (n rows reach the driver)."""
+def sample(documents: DataFrame, n: int = 200, order: str = "random", seed: int | None = None, where=None) -> DataFrame:
+    """doc_id of a random or first draw."""
     rows = documents if where is None else documents.filter(where)
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"))
-    key = F.rand(seed) if order == "random" else F.col("doc_id")
-    return [r["doc_id"] for r in rows.orderBy(key).limit(n).collect()]
+    return rows.orderBy(F.rand(seed) if order == "random" else F.col("doc_id")).limit(n)
+
+
+def sample_ids(documents: DataFrame, n: int = 200, order: str = "random", seed: int | None = None, where=None) -> list[str]:
+    """The ids of sample(), n of which reach the driver."""
+    return [r["doc_id"] for r in sample(documents, n, order, seed, where).collect()]
 
 
 def spread_sample(documents: DataFrame, n: int = 300, id_col: str = "doc_id") -> DataFrame:
