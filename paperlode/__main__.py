@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paperlode.api import Index
 from paperlode.config import Settings
 
-VERBS = ("ingest", "extract", "index", "build", "reset", "search", "grep", "doc", "read", "sample", "fields", "aggregate", "sql", "anomalies", "peek", "entities", "entity", "reconcile", "cluster", "cite", "verify", "add_finding", "findings", "audit", "review", "note", "notes", "update_note", "recall", "trace", "coverage", "status")
+VERBS = ("ingest", "extract", "index", "build", "reset", "search", "grep", "doc", "read", "sample", "fields", "aggregate", "sql", "anomalies", "peek", "entities", "entity", "reconcile", "cluster", "cite", "verify", "add_finding", "findings", "audit", "review", "note", "notes", "update_note", "recall", "trace", "coverage", "status", "init", "render", "ocr", "transcribe_status", "transcribe_import", "reconcile_show")
 LISTS = {"ingest", "extract", "build", "read"}
 
 

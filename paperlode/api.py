@@ -1,8 +1,8 @@
 """An index of a corpus and the questions it answers: one verb a method, DataFrames out.
 
-Tables lie as Parquet below the index folder; authored memory (observations, findings, reviews, trace) is
-append-only and read by its latest rows. Writing verbs replace whole tables by a new version folder, so
-a reader or a failed job never sees half of one.
+Tables lie in a store below the index folder; authored memory (observations, findings, reviews, trace) is
+append-only and read by its latest rows. Writing verbs replace whole tables by a new version, so a reader
+or a failed job never sees half of one.
 """
 
 from __future__ import annotations
@@ -11,18 +11,22 @@ import functools
 import json
 import time
 from datetime import UTC, datetime
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperlode.config import Settings
+from paperlode.config import DEFAULT_TOML, Settings
 from paperlode.functions.columns import citation_token, coverage, finding_id, json_field, token_parts
 from paperlode.operators import aggregate as agg
 from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, snippets, textindex, topics, vectors
-from paperlode.plans.sql_gate import run_sql
+from paperlode.plans.sql_gate import external_table, run_sql
 from paperlode.sources import files as src
+from paperlode.sources import transcripts
+from paperlode.stores import open_store
 
-DERIVED = ("manifest", "documents", "chunks", "vectors", "mentions", "entities", "edges", "clusters", "chunk_clusters", "link_records", "links", "meta")
+DERIVED = ("manifest", "documents", "chunks", "vectors", "mentions", "entities", "edges", "clusters", "chunk_clusters", "link_records", "links", "meta", "keyword", "postings")
 AUTHORED = ("observations", "findings", "reviews")
 _SCHEMAS = {
     "observations": "id bigint, text string, kind string, status string, entity_ids array<string>, doc_ids array<string>, tokens array<string>, updated_at string",
@@ -51,61 +55,60 @@ def _logged(method):
 class Index:
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings()
+        self.store = open_store(self.settings.store, spark, self.folder)
 
     # -- tables
 
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _versions(self, name: str) -> list[str]:
-        fs, path = self._fs()
-        at = path(f"{self.folder}/{name}")
-        if not fs.exists(at):
-            return []
-        found = [s.getPath() for s in fs.listStatus(at)]
-        return sorted(p.toString() for p in found if fs.exists(path(p.toString() + "/_SUCCESS")))
-
     def has(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self.store.versions(name))
 
     def table(self, name: str) -> DataFrame:
         """The newest version of a derived table, or all rows of an authored log."""
-        found = self._versions(name)
-        if not found:
+        if not self.has(name):
             if name in _SCHEMAS:
                 return self.spark.createDataFrame([], _SCHEMAS[name])
             raise LookupError(f"no {name} yet")
-        return self.spark.read.parquet(*(found if name in (*AUTHORED, "trace") else found[-1:]))
+        return self.store.log(name) if name in (*AUTHORED, "trace") else self.store.newest(name)
 
     def _save(self, name: str, df: DataFrame) -> DataFrame:
-        version = f"{self.folder}/{name}/v{time.time_ns():020d}"
-        df.write.parquet(version)
-        return self.spark.read.parquet(version)
+        return self.store.save(name, df)
 
     def _append(self, name: str, rows: list[tuple]) -> None:
-        self._save(name, self.spark.createDataFrame(rows, _SCHEMAS[name]).coalesce(1))
+        self.store.append(name, self.spark.createDataFrame(rows, _SCHEMAS[name]))
 
     def log(self, verb: str, **args) -> None:
         self._append("trace", [(f"{time.time_ns():020d}", _now(), verb, json.dumps(args, default=str))])
 
     # -- build
 
+    def init(self) -> str:
+        """The index's folder with settings to start from, unless it has some."""
+        at = Path(self.folder.removeprefix("file://"), "config.toml")
+        at.parent.mkdir(parents=True, exist_ok=True)
+        if not at.exists():
+            at.write_text(DEFAULT_TOML)
+        return str(at)
+
     def ingest(self, paths: list[str]) -> DataFrame:
         known = self.table("manifest") if self.has("manifest") else None
         found = src.ingest(src.scan(self.spark, paths), known)
-        new = found.filter(F.col("change").isin("added", "updated")).select("file_id", "path", "kind", "length")
+        new = found.filter(F.col("change").isin("added", "updated")).select("file_id", "path", "kind", "length", "sha256")
         rest = known.join(new.select("path"), "path", "left_anti").select(*new.columns) if known is not None else None
         self._save("manifest", new if rest is None else rest.unionByName(new))
         return found
 
     def extract(self, paths: list[str], kinds: tuple[str, ...] | None = None, only_new: bool = True, sidecars: DataFrame | None = None) -> DataFrame:
-        """Documents of the manifest's files; those already there are kept when only_new."""
+        """Documents of the manifest's files; those already there are kept when only_new. A transcript beside a
+        file (of its present content) goes before its parser, also for documents that are already there."""
+        if sidecars is None:
+            sidecars = transcripts.beside(self.spark, paths)
         files = src.scan(self.spark, paths).join(self.table("manifest").select("path"), "path", "left_semi")
         if kinds:
             files = files.filter(F.col("kind").isin(*kinds))
         old = self.table("documents").filter("error IS NULL") if only_new and self.has("documents") else None
         if old is not None:
+            if sidecars is not None:  # documents that were read before their transcript was made
+                old = old.join(sidecars.select("file_id", "sidecar"), "file_id", "left").filter("sidecar IS NULL").drop("sidecar")
             files = files.join(old.select("file_id").distinct(), "file_id", "left_anti")
         docs = src.map_files(files, self.settings, sidecars)
         docs = docs.withColumn("coverage", coverage("pages", "text"))
@@ -117,6 +120,9 @@ class Index:
         docs = self.table("documents").filter("error IS NULL")
         s = self.settings
         cut = self._save("chunks", chunks.chunk_documents(docs, chunks.ChunkSizes(s.size_tokens, s.overlap_tokens, s.token_factor)))
+        path = self.store.new_version("postings")
+        textindex.write_index(cut, path, stem=True)
+        self._save("keyword", self.spark.createDataFrame([(path,)], "path string"))
         if s.embed:
             self._save("vectors", vectors.embed_chunks(cut, s.embedder, s.contextual))
         declared = docs.select("doc_id", F.posexplode("entities").alias("pos", "e")).select(F.struct("doc_id", "pos").alias("place"), "e.type", "e.name")
@@ -143,9 +149,8 @@ class Index:
 
     def reset(self, hard: bool = False) -> None:
         """Deletes what is derived; with hard also what was authored. The trace stays."""
-        fs, path = self._fs()
         for name in (*DERIVED, *(AUTHORED if hard else ())):
-            fs.delete(path(f"{self.folder}/{name}"), True)
+            self.store.delete(name)
 
     # -- search
 
@@ -170,10 +175,18 @@ class Index:
         if mode == "auto":
             mode = "hybrid" if self.has("vectors") else "keyword"
         rows = self._chunks(**where)
-        pool = max(5 * k, 20)
+        pool, limited = max(5 * k, 20), any(v is not None for v in where.values())
+        if not query.strip():  # nothing is asked: the first chunks
+            hits = rows.orderBy("chunk_id").limit(k)
+            place = F.row_number().over(Window.orderBy("chunk_id"))
+            return hits.select(place.alias("rank"), "chunk_id", "doc_id", "title", "locator", "source_path", F.lit(0.0).alias("score"), F.lit("all").alias("match_mode"), "text_provenance", citation_token("doc_id", "char_start", "char_end", "text").alias("token"), F.substring("text", 1, snippets.WIDTH).alias("snippet"))
         lists = []
         if mode in ("keyword", "hybrid"):
-            lists.append(textindex.bm25(rows, query, pool, stem=True).select(F.col("chunk_id").alias("id"), "score"))
+            if self.has("keyword"):
+                found = textindex.indexed_bm25(self.spark, self.table("keyword").first()["path"], query, pool, among=rows if limited else None)
+            else:
+                found = textindex.bm25(rows, query, pool, stem=True)
+            lists.append(found.select(F.col("chunk_id").alias("id"), "score"))
         if mode in ("semantic", "hybrid") and self.has("vectors"):
             q = self.spark.createDataFrame([([float(x) for x in vectors.embedder(self.settings.embedder)([query])[0]],)], "q array<float>")
             near = self.table("vectors").join(rows.select("chunk_id"), "chunk_id", "left_semi")
@@ -187,7 +200,8 @@ class Index:
         if rerank:
             hits = vectors.rerank(hits.drop("rank"), query, self.settings.reranker or "overlap", k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
             mode += "+rerank"
-        hits = snippets.window_snippets(hits, self.table("chunks"), query)
+        embed = vectors.embedder(self.settings.embedder) if len(lists) > 1 or mode.startswith("semantic") else None
+        hits = snippets.window_snippets(hits, self.table("chunks"), query, embed=embed) if embed else snippets.keyword_snippets(hits, query)
         snippet = F.col("snippet")
         out = hits.select("rank", "chunk_id", "doc_id", "title", "locator", "source_path", F.round(1 / F.col("rank"), 4).alias("score"), F.lit(mode).alias("match_mode"), "text_provenance", citation_token("doc_id", "char_start", "char_end", "text").alias("token"), snippet.alias("snippet"))
         return out.orderBy("rank")
@@ -214,8 +228,17 @@ class Index:
     # -- fields, aggregates, outliers
 
     def fields(self) -> DataFrame:
+        """Fields by the source (the pattern of its map, or default), from an even sample of documents."""
         sampled = reading.spread_sample(self.table("documents").filter("raw IS NOT NULL"))
-        return profile.describe_fields(sampled, [*self.settings.default.text_fields, *self.settings.default.entity_fields] if self.settings.default.text_fields else None)
+        settings = self.settings
+
+        @F.pandas_udf("string")
+        def source(paths: pd.Series) -> pd.Series:
+            return paths.map(lambda p: settings.map_for(p).match or "default")
+
+        shown = [(m.match or "default", f) for m in (settings.default, *settings.sources) if m.text_fields for f in (*m.text_fields, *m.entity_fields)]
+        rendered = self.spark.createDataFrame(shown, "source string, field string")
+        return profile.describe_fields(sampled.withColumn("map_source", source("source_path")), rendered, "map_source")
 
     def _fields(self, *names: str) -> DataFrame:
         """doc_id and structured fields as columns; a field that is a list in any row is an array in all."""
@@ -234,7 +257,10 @@ class Index:
     def aggregate(self, by: str, how: str = "count", measure: str | None = None, k: int = 20, resolve: str | None = None) -> DataFrame:
         return agg.aggregate(self._fields(by, measure), by, how, measure, k, self._canon(resolve), resolve or "org")
 
-    def sql(self, statement: str, limit: int = 20) -> DataFrame:
+    def sql(self, statement: str, limit: int = 20, files: dict[str, str] | None = None) -> DataFrame:
+        """A read-only query over the index's tables and external files: {name: path of CSV, JSON or Parquet}."""
+        for name, path in (files or {}).items():
+            external_table(self.spark, name, path)
         for name in (*DERIVED, *AUTHORED):
             if self.has(name):
                 self.table(name).createOrReplaceTempView(name)
@@ -259,7 +285,7 @@ class Index:
         rows = src.map_files(src.scan(self.spark, [path]).filter(F.col("kind").isin("json", "jsonl", "xml")), settings).filter("raw IS NOT NULL")
         found = profile.peek_fields(rows, "raw", sample)
         sources = profile.peek_folder(rows.select(F.col("source_path").alias("path"), "raw"))
-        return {"sources": sources, "fields": found, "suggested": profile.suggest_map([r.asDict() for r in found.collect()])}
+        return {"sources": sources, "fields": found, "suggested": profile.suggest_map(found)}
 
     # -- entities, linkage, topics
 
@@ -293,16 +319,24 @@ class Index:
 
     # -- citations and memory
 
+    def reconcile_show(self, run: str | None = None) -> DataFrame:
+        """Clusters of several records of a linkage run, the newest by default."""
+        rows = self.table("link_records")
+        if run is not None and rows.filter(F.col("run_id") == run).isEmpty():
+            raise KeyError(f"no run {run!r}")
+        rows = rows if run is None else rows.filter(F.col("run_id") == run)
+        name = next(c for c in rows.columns if c not in ("record_id", "source", "cluster_id", "run_id"))
+        return linkage.merged(rows, name)
+
     def _sources(self, cited: DataFrame) -> DataFrame | None:
-        """Texts of cited(token) derived again from the source files, by path and locator; files that are
-        gone have none. As many paths reach the driver as files are cited."""
-        wanted = cited.select(token_parts("token")["doc_id"].alias("doc_id")).distinct().join(self.table("documents").select("doc_id", "source_path", "locator"), "doc_id")
-        _, path = self._fs()
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        there = [p for (p,) in wanted.select("source_path").distinct().collect() if path(p).getFileSystem(conf).exists(path(p))]
-        if not there:
-            return None
-        again = src.map_files(src.scan(self.spark, there), self.settings).filter("error IS NULL")
+        """Texts of cited(token) derived again from the source files, by path and locator, with the parser
+        and the transcript each was read by; files that are gone have none. Files are opened where the
+        rows are, so no list of them reaches the driver."""
+        docs = self.table("documents")
+        docs = docs if "parser" in docs.columns else docs.withColumn("parser", F.lit(None).cast("string"))
+        wanted = cited.select(token_parts("token")["doc_id"].alias("doc_id")).distinct().join(docs.select("doc_id", "source_path", "locator", "parser", "text_provenance"), "doc_id")
+        transcribed = wanted.groupBy("source_path").agg(F.max("parser").alias("parser"), F.bool_or(F.col("text_provenance") != "native").alias("transcribed"))
+        again = src.read_again(transcribed, self.settings).filter("error IS NULL")
         return wanted.join(again.select("source_path", "locator", "text"), ["source_path", "locator"]).select("doc_id", "text")
 
     def cite(self, token: str) -> DataFrame:
@@ -339,7 +373,7 @@ class Index:
         self._append("observations", [(ident, text, kind, status, list(entity_ids), list(doc_ids), list(tokens), _now())])
         return ident
 
-    def notes(self, status: str | None = None, kind: str | None = None, entity: str | None = None, k: int = 50) -> DataFrame:
+    def notes(self, status: str | None = None, kind: str | None = None, entity: str | None = None, k: int | None = 50) -> DataFrame:
         return memory.list_observations(memory.latest(self.table("observations"), ["id"], ["updated_at"]), status, kind, entity, k)
 
     def update_note(self, ident: int, status: str | None = None, text: str | None = None) -> None:
@@ -351,15 +385,45 @@ class Index:
         row = held.asDict() | {"status": status or held["status"], "text": text or held["text"], "updated_at": _now()}
         self._append("observations", [tuple(row[c.split()[0]] for c in _SCHEMAS["observations"].split(", "))])
 
-    def recall(self, query: str, k: int = 8, mode: str = "keyword") -> DataFrame:
-        seen = self.notes(k=1_000_000).select(F.col("id").cast("string").alias("id"), F.lit("observation").alias("source"), "text")
-        known = self.findings().select(F.col("finding_id").alias("id"), F.lit("finding").alias("source"), F.concat_ws(" ", "claim", "quote").alias("text"))
-        both = seen.unionByName(known)
+    def recall(self, query: str, k: int = 8, mode: str = "keyword", status: str | None = None, kind: str | None = None, entity: str | None = None) -> DataFrame:
+        """Observations (of a status, kind or entity) and findings that answer to a query; findings have none
+        of the three, so they are left out where one is asked for."""
+        both = self.notes(status, kind, entity, k=None).select(F.col("id").cast("string").alias("id"), F.lit("observation").alias("source"), "text")
+        if not (status or kind or entity):
+            known = self.findings().select(F.col("finding_id").alias("id"), F.lit("finding").alias("source"), F.concat_ws(" ", "claim", "quote").alias("text"))
+            both = both.unionByName(known)
         return memory.recall(both, query, k) if mode == "keyword" else memory.recall_vectors(both, query, k, self.settings.embedder)
 
+    # -- scanned files
+
+    def _scanned(self, path: str | None) -> list[str]:
+        """The PDF files in question: one, or all of the manifest (their paths reach the driver, as pages of
+        each are rendered there by hand or by a model)."""
+        if path:
+            return [path]
+        rows = self.table("manifest").filter("kind = 'pdf'").select("path").orderBy("path")
+        return [r["path"].removeprefix("file:") for r in rows.toLocalIterator()]
+
+    def render(self, path: str | None = None, dpi: int = 150, pages: str | None = None, force: bool = False) -> list[dict]:
+        """Writes the pages of PDF files as images beside the index's tables; those there stay unless forced."""
+        return [{"path": p, "images": transcripts.write_images(p, f"{self.folder.removeprefix('file://')}/images", dpi, pages, force)} for p in self._scanned(path)]
+
+    def ocr(self, path: str | None = None, dpi: int = 300, lang: str = "eng", pages: str | None = None, force: bool = False) -> list[str]:
+        """Reads the pages of scanned files into transcripts; extract takes them from there."""
+        return [str(transcripts.ocr_file(p, dpi, lang, pages=pages, force=force)) for p in self._scanned(path)]
+
+    def transcribe_status(self, path: str | None = None) -> list[dict]:
+        """Which files have a transcript, whether it is stale, and pages with an image but no transcript."""
+        return [transcripts.state(p, f"{self.folder.removeprefix('file://')}/images") for p in self._scanned(path)]
+
+    def transcribe_import(self, path: str, drafts: dict, model: str) -> str:
+        """A model's reading of pages (number: text); each must have been rendered."""
+        images = transcripts.images_of(path, f"{self.folder.removeprefix('file://')}/images")
+        return str(transcripts.import_vision(path, {int(n): t for n, t in drafts.items()}, images, model))
+
     @staticmethod
     def verbs() -> tuple[str, ...]:
-        return ("ingest", "extract", "build", "reset", "search", "grep", "doc", "read", "sample", "fields", "aggregate", "sql", "anomalies", "peek", "entity", "reconcile", "cluster", "cite", "verify", "add_finding", "review", "note", "update_note", "recall", "coverage", "status")
+        return ("ingest", "extract", "build", "reset", "search", "grep", "doc", "read", "sample", "fields", "aggregate", "sql", "anomalies", "peek", "entity", "reconcile", "cluster", "cite", "verify", "add_finding", "review", "note", "update_note", "recall", "coverage", "status", "init", "render", "ocr", "transcribe_status", "transcribe_import", "reconcile_show")
 
     def trace(self, n: int = 20) -> DataFrame:
         return memory.tail(self.table("trace"), n)

@@ -10,6 +10,26 @@ from dataclasses import asdict, dataclass, field, fields
 from fnmatch import translate
 
 
+#: What a new index begins with; every value is the one that holds without it.
+DEFAULT_TOML = """[mapper.fields]
+text_fields = []
+structured_fields = []
+entity_fields = []
+
+[chunk]
+size_tokens = 320
+overlap_tokens = 64
+
+[embedder]
+enabled = true
+name = "hashing"
+
+[entities]
+min_name_len = 3
+single_word_match = "exact-case"
+"""
+
+
 @dataclass(frozen=True)
 class FieldMap:
     """How a record becomes a document; what is empty is found out."""
@@ -44,6 +64,7 @@ class Settings:
     min_name_len: int = 3
     single_word_match: str = "exact-case"
     extra_org_suffixes: tuple[str, ...] = ()
+    store: str = "parquet"
 
     @classmethod
     def load(cls, text: str) -> Settings:
@@ -55,7 +76,7 @@ class Settings:
             size_tokens=chunk.get("size_tokens", 320), overlap_tokens=chunk.get("overlap_tokens", 64), token_factor=chunk.get("token_estimate_factor", 0.75),
             embedder=embed.get("name", "hashing"), embed=embed.get("enabled", True), contextual=embed.get("contextual", False),
             parsers=cls().parsers | raw.get("parser", {}), reranker=rerank.get("name", "cross-encoder") if rerank.get("enabled") else None, clusters=cluster.get("k", "auto"),
-            min_name_len=ent.get("min_name_len", 3), single_word_match=ent.get("single_word_match", "exact-case"), extra_org_suffixes=tuple(ent.get("extra_org_suffixes", ())),
+            min_name_len=ent.get("min_name_len", 3), single_word_match=ent.get("single_word_match", "exact-case"), extra_org_suffixes=tuple(ent.get("extra_org_suffixes", ())), store=raw.get("store", {}).get("name", "parquet"),
         )
 
     def map_for(self, path: str) -> FieldMap:

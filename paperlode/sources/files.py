@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.config import Settings
-from paperlode.functions.columns import file_id
+from paperlode.functions.columns import id_of_digest
 from paperlode.sources import records
 
 MAPPED = {".json": "json", ".jsonl": "jsonl", ".xml": "xml"}
@@ -19,7 +21,7 @@ PARSED = {".pdf": "pdf", ".docx": "docx", ".txt": "txt", ".md": "md", ".markdown
 #: Folder of our own tables below a corpus, which is never ingested.
 OWN_FOLDER = ".paperlode"
 PAGES = "array<struct<number:int,char_start:int,char_end:int,page_class:string,tier:string>>"
-DOCUMENT = f"doc_id string, file_id string, source_path string, doc_type string, locator string, title string, text string, structured string, raw string, entities array<struct<type:string,name:string>>, pages {PAGES}, text_provenance string, map_hash string, error string"
+DOCUMENT = f"doc_id string, file_id string, source_path string, doc_type string, locator string, title string, text string, structured string, raw string, entities array<struct<type:string,name:string>>, pages {PAGES}, text_provenance string, map_hash string, error string, parser string"
 
 
 def kind_of(path):
@@ -32,37 +34,41 @@ def kind_of(path):
 
 
 def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, kind, content, file_id of all files below paths, our own folder aside."""
+    """path, kind, content, length, sha256, file_id of all files below paths, our own folder aside. Content
+    is read (and hashed) only of files of a kind that is supported; others have none."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     found = found.filter(~F.col("path").contains(f"/{OWN_FOLDER}/")).withColumn("kind", kind_of("path"))
-    return found.select("path", "kind", "content", "length", file_id("content").alias("file_id"))
+    digest = F.when(F.col("kind") == "unsupported", F.sha2(F.col("path").cast("binary"), 256)).otherwise(F.sha2("content", 256))
+    return found.withColumn("sha256", digest).select("path", "kind", "content", "length", "sha256", id_of_digest("sha256").alias("file_id"))
 
 
 def ingest(files: DataFrame, manifest: DataFrame | None) -> DataFrame:
-    """Manifest rows (file_id, path, kind, length, change: added, updated, skipped or unsupported).
+    """Manifest rows (file_id, path, kind, length, sha256, change: added, updated, skipped or unsupported).
 
-    Content decides: a known file_id is skipped wherever it lies, another content at a known path updates
-    it, and of equal contents the first path counts."""
-    rows = files.select("path", "kind", "file_id", "length")
-    first = rows.groupBy("file_id").agg(F.min("path").alias("first_path"))
-    rows = rows.join(first, "file_id")
+    Content decides, by its whole SHA-256: a known content is skipped wherever it lies, another content at a
+    known path updates it, and of equal contents the first path counts."""
+    rows = files.select("path", "kind", "file_id", "length", "sha256")
+    first = rows.groupBy("sha256").agg(F.min("path").alias("first_path"))
+    rows = rows.join(first, "sha256")
     if manifest is not None:
-        known = manifest.select("file_id", F.lit(True).alias("known")).distinct()
+        known = manifest.select("sha256", F.lit(True).alias("known")).distinct()
         paths = manifest.select("path", F.lit(True).alias("seen")).distinct()
-        rows = rows.join(known, "file_id", "left").join(paths, "path", "left")
+        rows = rows.join(known, "sha256", "left").join(paths, "path", "left")
     else:
         rows = rows.withColumns({"known": F.lit(None).cast("boolean"), "seen": F.lit(None).cast("boolean")})
     change = F.when(F.col("kind") == "unsupported", "unsupported").when(F.col("known"), "skipped").when(F.col("path") != F.col("first_path"), "skipped").when(F.col("seen"), "updated").otherwise("added")
-    return rows.select("file_id", "path", "kind", "length", change.alias("change"))
+    return rows.select("file_id", "path", "kind", "length", "sha256", change.alias("change"))
 
 
 def _document(fid: str, i: int, path: str, kind: str, locator: str, title: str, text: str, map_hash: str, **more) -> dict:
-    base = {"doc_id": f"{fid}.{i}", "file_id": fid, "source_path": path, "doc_type": "json" if kind == "jsonl" else kind, "locator": locator, "title": title, "text": text, "structured": None, "raw": None, "entities": [], "pages": None, "text_provenance": "native", "map_hash": map_hash, "error": None}
+    base = {"doc_id": f"{fid}.{i}", "file_id": fid, "source_path": path, "doc_type": "json" if kind == "jsonl" else kind, "locator": locator, "title": title, "text": text, "structured": None, "raw": None, "entities": [], "pages": None, "text_provenance": "native", "map_hash": map_hash, "error": None, "parser": None}
     return base | more
 
 
-def documents_of(content: bytes, kind: str, fid: str, path: str, settings: Settings, sidecar: str | None = None) -> list[dict]:
-    """The documents of one file; a file that can't be read whole gives one row with its error and no text."""
+def documents_of(content: bytes, kind: str, fid: str, path: str, settings: Settings, sidecar: str | None = None, parser: str | None = None) -> list[dict]:
+    """The documents of one file; a file that can't be read whole gives one row with its error and no text.
+
+    parser: the one that read the file before, so that it is read in the same way again."""
     try:
         if sidecar is not None and kind in ("pdf", "docx", "md", "txt"):
             return [_from_sidecar(json.loads(sidecar), fid, path, kind)]
@@ -74,8 +80,9 @@ def documents_of(content: bytes, kind: str, fid: str, path: str, settings: Setti
         if kind in ("pdf", "docx"):
             from paperlode.sources.adapters import parse
 
-            text, pages, name = parse(kind, settings.parsers.get(kind, kind), content)
-            return [_document(fid, 0, path, kind, "", name or PurePosixPath(path).stem, text, "", pages=pages)]
+            parser = parser or settings.parsers.get(kind, kind)
+            text, pages, name = parse(kind, parser, content)
+            return [_document(fid, 0, path, kind, "", name or PurePosixPath(path).stem, text, "", pages=pages, parser=parser)]
         fields, out = settings.map_for(path), []
         for i, (locator, rec) in enumerate(records.file_records(content, kind, fields)):
             text = records.render(rec, fields)
@@ -106,17 +113,53 @@ def _from_sidecar(data: dict, fid: str, path: str, kind: str) -> dict:
 
 
 def map_files(files: DataFrame, settings: Settings, sidecars: DataFrame | None = None) -> DataFrame:
-    """Documents of files(path, kind, content, file_id). sidecars(file_id, sidecar): transcripts, which win."""
+    """Documents of files(path, kind, content, file_id[, parser]). sidecars(file_id, sidecar): transcripts, which
+    win over parsers. parser: what a file was read by before."""
     rows = files.filter("kind <> 'unsupported'")
     rows = rows.join(sidecars, "file_id", "left") if sidecars is not None else rows.withColumn("sidecar", F.lit(None).cast("string"))
+    rows = rows if "parser" in files.columns else rows.withColumn("parser", F.lit(None).cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = list(_document("", 0, "", "", "", "", "", ""))
         for f in frames:
             for r in f.itertuples(index=False):
-                yield pd.DataFrame(documents_of(r.content, r.kind, r.file_id, r.path.removeprefix("file:"), settings, r.sidecar), columns=names)
+                yield pd.DataFrame(documents_of(r.content, r.kind, r.file_id, r.path.removeprefix("file:"), settings, r.sidecar, r.parser), columns=names)
+
+    return rows.select("path", "kind", "content", "file_id", "sidecar", "parser").mapInPandas(run, DOCUMENT)
+
+
+def read_again(files: DataFrame, settings: Settings) -> DataFrame:
+    """Documents of files(source_path, parser, transcribed) as they lie now; what is gone gives none.
+
+    A file is opened by the task that has its row, through pyarrow's file systems. transcribed: the document
+    came of the transcript beside the file, which is read again, unless the file has changed since."""
+    kinds = MAPPED | PARSED
 
-    return rows.select("path", "kind", "content", "file_id", "sidecar").mapInPandas(run, DOCUMENT)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from paperlode.sources.transcripts import SUFFIX
+
+        names = list(_document("", 0, "", "", "", "", "", ""))
+        for f in frames:
+            for path, parser, transcribed in f.itertuples(index=False):
+                content = _bytes_of(path)
+                if content is None:
+                    continue
+                digest = hashlib.sha256(content).hexdigest()
+                sidecar = _bytes_of(path + SUFFIX) if transcribed else None
+                if sidecar is not None and json.loads(sidecar).get("source_sha256") != digest:
+                    sidecar = None
+                kind = kinds.get(PurePosixPath(path).suffix.lower(), "unsupported")
+                yield pd.DataFrame(documents_of(content, kind, f"f{digest[:10]}", path, settings, None if sidecar is None else sidecar.decode("utf-8"), parser), columns=names)
+
+    return files.select("source_path", "parser", "transcribed").mapInPandas(run, DOCUMENT)
+
+
+def _bytes_of(path: str) -> bytes | None:
+    store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    if store.get_file_info(at).type != fs.FileType.File:
+        return None
+    with store.open_input_stream(at) as f:
+        return f.read()
 
 
 def link_dataset(spark: SparkSession, path: str, on: str, compare: list[str]) -> DataFrame:

@@ -84,8 +84,52 @@ def ocr_file(source: str, dpi: int = 300, lang: str = "eng", mode: int = 3, page
 
 def transcripts(spark, folder: str):
     """file_id, sidecar of the transcripts below a folder, by the hash of the file each was made of."""
+    return _sidecars(spark, [folder])
+
+
+def beside(spark, paths: list[str]):
+    """As transcripts(), below several paths; None where there is none."""
+    found = _sidecars(spark, paths)
+    return None if found is None or found.isEmpty() else found
+
+
+def _sidecars(spark, paths: list[str]):
     from pyspark.sql import functions as F
 
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SUFFIX}").text(folder, wholetext=True)
-    sha = F.get_json_object("value", "$.source_sha256")
-    return rows.select(F.concat(F.lit("f"), F.substring(sha, 1, 10)).alias("file_id"), F.col("value").alias("sidecar")).filter("file_id IS NOT NULL")
+    from paperlode.functions.columns import id_of_digest
+
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SUFFIX}").text(paths, wholetext=True)
+    found = rows.select(id_of_digest(F.get_json_object("value", "$.source_sha256")).alias("file_id"), F.col("value").alias("sidecar"))
+    return found.filter("file_id IS NOT NULL").groupBy("file_id").agg(F.max("sidecar").alias("sidecar"))
+
+
+def image_path(source: str, folder: str, page: int) -> Path:
+    """Where the image of a page lies: by the content of its file, so an edited one has images of its own."""
+    return Path(folder, sha256_of(source)[:16], f"page-{page:05d}.png")
+
+
+def images_of(source: str, folder: str) -> dict[int, str]:
+    at = image_path(source, folder, 0).parent
+    return {int(p.stem.split("-")[1]): str(p) for p in sorted(at.glob("page-*.png"))}
+
+
+def write_images(source: str, folder: str, dpi: int = 150, pages: str | None = None, force: bool = False) -> list[str]:
+    """Writes the pages of a file as images and gives their paths; those there stay unless forced."""
+    from paperlode.sources.adapters import render_pages
+
+    images = render_pages(Path(source).read_bytes(), dpi)
+    out = []
+    for n in page_numbers(pages, len(images)) if pages else range(1, len(images) + 1):
+        at = image_path(source, folder, n)
+        if force or not at.exists():
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_bytes(images[n - 1])
+        out.append(str(at))
+    return out
+
+
+def state(source: str, folder: str) -> dict:
+    """path, transcribed, stale, waiting: pages with an image that no transcript has."""
+    images = images_of(source, folder)
+    left = remaining_pages(source, max(images, default=0))
+    return {"path": source, "transcribed": transcript_path(source).exists(), "stale": is_stale(source), "waiting": [n for n in left if n in images]}
