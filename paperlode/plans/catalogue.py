@@ -7,16 +7,20 @@ its whole tables; the only limits are top-k reports.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperlode.config import FieldMap
 from paperlode.functions import columns as C
 from paperlode.operators import aggregate as A
 from paperlode.operators import anomalies, chunks, citations, entities, linkage, memory, profile, reading, snippets, textindex, topics, vectors
 from paperlode.plans.sql_gate import run_sql
-from paperlode.sources.files import kind_of
+from paperlode.sources import records
+from paperlode.sources.files import ingest, kind_of
+from paperlode.storage import shared_dir
 
 FLAGSHIP = "hybrid_rrf"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,10 +102,10 @@ _GATED = {
     "sql_left_join": ("SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey", None),
     "sql_full_join": ("SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) b ON a.k = b.k", None),
     "sql_semi_join": ("SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
-    "sql_anti_join": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
+    "sql_anti_join": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", None),
     "sql_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "sql_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", None),
-    "sql_except": ("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25", None),
+    "sql_except": ("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49", None),
     "sql_cube": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", None),
     "sql_rollup": ("SELECT o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", None),
     "sql_grouping_sets": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", None),
@@ -193,16 +197,16 @@ def page_class(documents):
     return documents.select("doc_id", C.page_class("text").alias("page_class"))
 
 
-@query("""WITH p AS (SELECT page_id AS doc_id, length(html) AS n FROM pages), c AS (SELECT doc_id, n, (CASE WHEN n // 3 >= 20 THEN 1 ELSE 0 END + CASE WHEN n - n // 3 >= 20 THEN 1 ELSE 0 END + 0) / 3.0 AS coverage FROM p)
-SELECT doc_id, round(coverage, 3) AS coverage, CASE WHEN coverage >= 0.7 THEN 'native' WHEN coverage >= 0.1 THEN 'sparse' ELSE 'image_only' END AS verdict,
-  CASE WHEN coverage >= 0.7 THEN 'none' WHEN coverage >= 0.1 THEN 'review' ELSE 'ocr' END AS recommend, 3 AS pages FROM c""", "pages")
-def coverage_report(pages):
-    n = F.length("html")
-    third = F.floor(n / 3).cast("int")
-    part = lambda i, s, e: F.struct(F.lit(i).alias("number"), s.cast("int").alias("char_start"), e.cast("int").alias("char_end"))
-    rows = pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source_path"), F.lit("native").alias("text_provenance"), F.col("html").alias("text"), F.array(part(1, F.lit(0), third), part(2, third, n), part(3, n, n)).alias("pages"))
+@query("""WITH c AS (SELECT conv_id AS doc_id, count(*) AS pages, count(*) FILTER (length(text) >= 20) AS pages_with_text FROM conversations GROUP BY 1), s AS (SELECT *, pages_with_text / pages AS share FROM c)
+SELECT doc_id, pages, pages_with_text, round(share, 3) AS coverage, CASE WHEN share >= 0.7 THEN 'native' WHEN share >= 0.1 THEN 'sparse' ELSE 'image_only' END AS verdict,
+  CASE WHEN share >= 0.7 THEN 'none' WHEN share >= 0.1 THEN 'review' ELSE 'ocr' END AS recommend FROM s""", "conversations")
+def coverage_report(conversations):
+    """Conversations stand for documents, their turns for pages."""
+    turns = conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    spans = "aggregate(t, named_struct('at', 0, 'pages', cast(array() as array<struct<number:int,char_start:int,char_end:int>>)), (a, x) -> named_struct('at', a.at + length(x.text) + 2, 'pages', concat(a.pages, array(named_struct('number', cast(x.turn as int), 'char_start', a.at, 'char_end', a.at + length(x.text))))), a -> a.pages)"
+    rows = turns.select("doc_id", F.col("doc_id").cast("string").alias("source_path"), F.lit("native").alias("text_provenance"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"), F.expr(spans).alias("pages"))
     rows = rows.withColumn("coverage", C.coverage("pages", "text"))
-    return profile.coverage_report(rows).select("doc_id", "coverage", "verdict", "recommend", "pages")
+    return profile.coverage_report(rows).select("doc_id", "pages", "pages_with_text", "coverage", "verdict", "recommend")
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
@@ -218,8 +222,39 @@ def _texts(documents):
     return documents.select(F.col("doc_id").cast("string").alias("chunk_id"), "text", "lang", "source")
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def _keyword_index(documents: DataFrame, stem: bool) -> str:
+    """The path of the documents' keyword index, which is written once a session and table, as an index is."""
+    spark = documents.sparkSession
+    key = (spark.sparkContext.applicationId, tuple(sorted(documents.inputFiles())), stem)
+    if key not in _INDEXES:
+        path = f"{shared_dir(spark)}/keyword-{uuid.uuid4().hex}"
+        textindex.write_index(_texts(documents), path, stem)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term FROM t)
+SELECT (SELECT count(*) FROM t) AS n, (SELECT round(avg(len(w)), 6) FROM t) AS avgdl, count(DISTINCT term) AS terms, count(DISTINCT (doc_id, term)) AS postings, count(*) AS words FROM p""", "documents")
+def keyword_index(documents):
+    """Writes the keyword index anew and reads it back whole."""
+    spark, path = documents.sparkSession, f"{shared_dir(documents.sparkSession)}/keyword-{uuid.uuid4().hex}"
+    textindex.write_index(_texts(documents), path, stem=False)
+    held = spark.read.parquet(f"{path}/postings").agg(F.countDistinct("term").alias("terms"), F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("words"))
+    return spark.read.parquet(f"{path}/corpus").select("n", F.round("avgdl", 6).alias("avgdl")).join(F.broadcast(held))  # one row each
+
+
 @query(_BM25.replace("{where}", "") + "SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20", "documents")
 def bm25_search(documents):
+    found = textindex.indexed_bm25(documents.sparkSession, _keyword_index(documents, False), "thin eron", 20, stem=False)
+    return found.select(F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query(_BM25.replace("{where}", "") + "SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20", "documents")
+def bm25_scan(documents):
+    """The same without an index, in one pass over the texts."""
     return textindex.bm25(_texts(documents), "thin eron", 20).select(F.col("chunk_id").alias("id"), F.round("score", 6).alias("score"))
 
 
@@ -231,7 +266,7 @@ def bm25_filtered(documents):
 
 @query(None, "documents")
 def bm25_stemmed(documents):
-    return textindex.bm25(_texts(documents), "things thins", 20, stem=True)
+    return textindex.indexed_bm25(documents.sparkSession, _keyword_index(documents, True), "things thins", 20)
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id::VARCHAR AS chunk_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM t)
@@ -241,17 +276,19 @@ def postings(documents):
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"), F.min(F.col("positions")[0]).cast("bigint").alias("first_pos"))
 
 
-_GREP = "SELECT doc_id::VARCHAR AS doc_id, 0 AS char_start, regexp_extract(text, '{p}', 0, 'i') AS match, (SELECT count(*) FROM documents WHERE regexp_matches(text, '{p}', 'i')) AS total FROM documents WHERE regexp_matches(text, '{p}', 'i')"
+_GREP = """WITH h AS (SELECT doc_id::VARCHAR AS doc_id, text, regexp_extract(text, '{p}', 0, 'i') AS match, (SELECT count(*) FROM documents WHERE regexp_matches(text, '{p}', 'i')) AS total FROM documents WHERE regexp_matches(text, '{p}', 'i')),
+s AS (SELECT *, strpos(lower(text), lower(match)) - 1 AS spot FROM h), w AS (SELECT *, greatest(spot - 110, 0) AS low, least(spot + length(match) + 110, length(text)) AS high FROM s)
+SELECT doc_id, 0 AS char_start, match, total, CASE WHEN low > 0 THEN '…' ELSE '' END || trim(substr(text, low + 1, high - low)) || CASE WHEN high < length(text) THEN '…' ELSE '' END AS snippet FROM w"""
 
 
 @query(_GREP.format(p="thin[a-z]+ed"), "documents")
 def grep_regex(documents):
-    return textindex.grep(documents, "thin[a-z]+ed", k=None).drop("snippet")
+    return textindex.grep(documents, "thin[a-z]+ed", k=None)
 
 
-@query(_GREP.format(p="of\\s+the") + " ORDER BY doc_id::VARCHAR LIMIT 15", "documents")
+@query(_GREP.format(p="of\\s+the") + " ORDER BY doc_id LIMIT 15", "documents")
 def grep_total(documents):
-    return textindex.grep(documents, "of the", k=15).drop("snippet")
+    return textindex.grep(documents, "of the", k=15)
 
 
 @query("""WITH q AS (SELECT unnest(['thin', 'eron', 'then', 'nosuchword']) AS word), t AS (SELECT """ + _WORDS + """ AS w FROM documents)
@@ -305,15 +342,15 @@ def nearest_centroid(embeddings):
     return vectors.nearest_centroid(embeddings, c, "vec_id").withColumn("score", F.round("score", 6))
 
 
-@query(_BM25.replace("{where}", "") + """, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM r QUALIFY p < 30),
-b AS (SELECT doc_id::VARCHAR AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id::VARCHAR) - 1 AS p FROM documents QUALIFY p < 30),
+@query(_BM25.replace("{where}", "") + f""", a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM r QUALIFY p < 30),
+b AS (SELECT id::VARCHAR AS id, row_number() OVER (ORDER BY s DESC, id::VARCHAR) - 1 AS p FROM ({_NEAR}) QUALIFY p < 30),
 u AS (SELECT id, 1.0::DOUBLE / (60 + p) AS part, p AS seen FROM a UNION ALL SELECT id, 1.0::DOUBLE / (60 + p), 1000000 + p FROM b)
-SELECT id, round(sum(part), 9) AS score FROM u GROUP BY id ORDER BY round(sum(part), 12) DESC, min(seen), id LIMIT 20""", "documents")
-def hybrid_rrf(documents):
-    """Keyword ranks fused with a second ranking (by length, which stands for the vector ranking of a corpus)."""
-    keyword = textindex.bm25(_texts(documents), "thin eron", 30).select(F.col("chunk_id").alias("id"), "score")
-    second = documents.select(F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(30)
-    return textindex.rank_fusion(keyword, second, k=20).withColumn("score", F.round("score", 9))
+SELECT id, round(sum(part), 9) AS score FROM u GROUP BY id ORDER BY round(sum(part), 12) DESC, min(seen), id LIMIT 20""", "documents", "embeddings")
+def hybrid_rrf(documents, embeddings):
+    """Keyword ranks of the index fused with the ranks of the vectors nearest to one (vec_id stands for doc_id)."""
+    found = textindex.indexed_bm25(documents.sparkSession, _keyword_index(documents, False), "thin eron", 30, stem=False)
+    near = vectors.nearest(embeddings.withColumn("id", F.col("vec_id").cast("string")), _first(embeddings), 30, id_col="id")
+    return textindex.rank_fusion(found.select(F.col("chunk_id").alias("id"), "score"), near, k=20).withColumn("score", F.round("score", 9))
 
 
 @query(None, "documents")
@@ -328,7 +365,14 @@ def kmeans_clusters(embeddings):
     return topics.cluster_vectors(embeddings, 10, id_col="vec_id").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query(None, "documents")
+_STOP = ", ".join(f"'{w}'" for w in topics.STOP_WORDS)
+
+
+@query(f"""WITH t AS (SELECT lang AS cluster, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT list_contains([{_STOP}], w)) AS w FROM documents),
+e AS (SELECT cluster, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t), c AS (SELECT cluster, term, count(*) AS tf FROM e GROUP BY 1, 2),
+v AS (SELECT term, sum(tf) AS all_tf, count(*) AS df FROM c GROUP BY 1 ORDER BY all_tf DESC, term LIMIT 2000), n AS (SELECT count(DISTINCT lang) AS n FROM documents),
+x AS (SELECT cluster, c.term, tf * (ln((1 + n) / (1 + df)) + 1) AS raw FROM c JOIN v USING (term), n), y AS (SELECT cluster, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY cluster)) AS weight FROM x),
+z AS (SELECT cluster, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, term) AS place FROM y) SELECT * FROM z WHERE place <= 5""", "documents")
 def cluster_labels(documents):
     return topics.cluster_terms(documents.select(F.col("lang").alias("cluster"), "text")).withColumn("weight", F.round("weight", 6))
 
@@ -341,25 +385,26 @@ def chunk_documents(documents):
     return chunks.chunk_documents(documents.withColumn("title", F.col("source"))).select("chunk_id", "doc_id", "char_start", "char_end", "token_count", F.sha2("text", 256).alias("text_sha256"))
 
 
-_TOKEN = "doc_id::VARCHAR || '@0-' || e || '#' || substr(sha256('0' || chr(31) || e || chr(31) || substr(text, 1, e)), 1, 8)"
+_TOKEN = "doc_id::VARCHAR || '@0-' || length(text) || '#' || substr(sha256('0' || chr(31) || length(text) || chr(31) || text), 1, 8)"
 
 
-@query(f"WITH d AS (SELECT doc_id, text, least(80, length(text)) AS e FROM documents) SELECT doc_id, {_TOKEN} AS token FROM d", "documents")
+@query(f"SELECT doc_id, {_TOKEN} AS token FROM documents", "documents")
 def citation_tokens(documents):
-    end = F.least(F.lit(80), F.length("text"))
-    return documents.select("doc_id", C.citation_token("doc_id", F.lit(0), end, F.substring(F.col("text"), F.lit(1), end)).alias("token"))
+    return documents.select("doc_id", C.citation_token("doc_id", F.lit(0), F.length("text"), F.col("text")).alias("token"))
 
 
 def _claims(documents):
-    """For each document a quote that stands there, one that doesn't, or a token of another text."""
-    end = F.least(F.lit(80), F.length("text"))
-    piece = F.substring(F.col("text"), F.lit(1), end)
+    """For each document a quote out of its middle, one that stands nowhere, or a token of another text. The
+    tokens are of the text's second half."""
+    start, end = F.floor(F.length("text") / 2).cast("int"), F.length("text")
+    piece = C.span("text", start, end)
     case = F.col("doc_id") % 3
-    token = C.citation_token("doc_id", F.lit(0), end, F.when(case == 2, F.concat(piece, F.lit("x"))).otherwise(piece))
-    return documents.select(F.concat(F.lit("claim "), F.col("doc_id")).alias("claim"), F.when(case == 1, F.lit("this was never said")).otherwise(F.substring("text", 1, 20)).alias("quote"), token.alias("token"))
+    token = C.citation_token("doc_id", start, end, F.when(case == 2, F.concat(piece, F.lit("x"))).otherwise(piece))
+    quote = F.substring(piece, F.floor(F.length(piece) / 2).cast("int") + 1, F.lit(20))
+    return documents.select(F.concat(F.lit("claim "), F.col("doc_id")).alias("claim"), F.when(case == 1, F.lit("this was never said")).otherwise(quote).alias("quote"), token.alias("token"))
 
 
-@query("SELECT 'claim ' || doc_id AS claim, doc_id % 3 <> 2 AS token_valid, doc_id % 3 = 0 AS verified FROM documents", "documents")
+@query("SELECT 'claim ' || doc_id AS claim, doc_id % 3 <> 2 AS token_valid, doc_id % 3 = 0 AND length(text) > 0 AS verified FROM documents", "documents")
 def verify_quotes(documents):
     return citations.verify(_claims(documents), documents.select("doc_id", "text")).select("claim", "token_valid", "verified")
 
@@ -405,13 +450,22 @@ def _gazetteer(documents):
     return documents.sparkSession.createDataFrame([(n, k, s) for k, n, s in names], "name string, type string, spelled string")
 
 
-@query(None, "documents")
+#: Marks beside words are doubled, so that each of two names side by side has its own.
+_MENTIONS = """WITH t AS (SELECT doc_id::VARCHAR AS doc_id, regexp_replace(coalesce(text, ''), '([^\\p{L}\\p{N}_])', '\\1\\1', 'g') AS text FROM documents),
+m AS (SELECT doc_id, replace(unnest(regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_])((?i:of  the)|(?i:the  thin)|thin|pour)(?:$|[^\\p{L}\\p{N}_])', 1)), '  ', ' ') AS raw_text FROM t),
+k AS (SELECT *, CASE lower(raw_text) WHEN 'thin' THEN 'en' WHEN 'pour' THEN 'fr' ELSE 'org' END AS type, CASE lower(raw_text) WHEN 'of the' THEN 'of' WHEN 'the thin' THEN 'thin' ELSE lower(raw_text) END AS norm_key FROM m),
+f AS (SELECT *, 'e_' || substr(sha1(type || '|' || norm_key), 1, 12) AS entity_id FROM k)"""
+
+
+@query(_MENTIONS + " SELECT raw_text, type, entity_id, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM f GROUP BY ALL", "documents")
 def gazetteer_mentions(documents):
     found = entities.resolve_mentions(entities.find_mentions(documents, _gazetteer(documents)))
     return found.groupBy("raw_text", "type", "entity_id").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query(None, "documents")
+@query(_MENTIONS + """, b AS (SELECT entity_id, raw_text, row_number() OVER (PARTITION BY entity_id ORDER BY count(*) DESC, length(raw_text), raw_text) AS r FROM f GROUP BY 1, 2)
+SELECT f.entity_id, any_value(b.raw_text) AS canonical_name, any_value(type) AS entity_type, any_value(norm_key) AS norm_key, count(*) AS mention_count, count(DISTINCT doc_id) AS doc_count, count(DISTINCT f.raw_text) AS n_aliases
+FROM f JOIN b ON f.entity_id = b.entity_id AND r = 1 GROUP BY 1 ORDER BY mention_count DESC, 1 LIMIT 50""", "documents")
 def entity_list(documents):
     found = entities.resolve_mentions(entities.find_mentions(documents, _gazetteer(documents)))
     return entities.list_entities(entities.entities(found))
@@ -456,7 +510,8 @@ def linkage_pairs(supplier):
     return linkage.link_pairs(_suppliers(supplier), "s_name", ["s_nationkey"]).withColumn("match_probability", F.round("match_probability", 6))
 
 
-@query(None, "supplier")
+@query(_PAIRS.replace("WITH p", "WITH RECURSIVE p") + """, l AS (SELECT x::VARCHAR AS x, y::VARCHAR AS y FROM w WHERE odds / (1 + odds) >= 0.99), u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c(id, other) AS (SELECT s_suppkey::VARCHAR, s_suppkey::VARCHAR FROM supplier UNION SELECT c.id, u.y FROM c JOIN u ON c.other = u.x) SELECT id AS record_id, min(other) AS cluster_id FROM c GROUP BY id""", "supplier")
 def linkage_clusters(supplier):
     rows = _suppliers(supplier)
     return linkage.clusters(rows, linkage.link_pairs(rows, "s_name", ["s_nationkey"]), 0.99).select("record_id", "cluster_id")
@@ -466,36 +521,51 @@ def linkage_clusters(supplier):
 
 
 @query("""WITH k AS (SELECT unnest(json_keys(props)) AS name, props FROM events)
-SELECT name, 100 AS present_pct, min(json_extract_string(props, '$.' || name)) AS example FROM k GROUP BY name""", "events")
+SELECT name, 'int' AS types, 100 AS present_pct, min(json_extract_string(props, '$.' || name)) AS example FROM k GROUP BY name""", "events")
 def peek_fields(events):
-    return profile.peek_fields(events, "props", sample=None).select("name", "present_pct", "example")
+    return profile.peek_fields(events, "props", sample=None).select("name", F.array_join("types", ",").alias("types"), "present_pct", "example")
 
 
-@query(None, "events")
+@query("""WITH k AS (SELECT unnest(json_keys(props)) AS name, props FROM events)
+SELECT name, false AS aggregatable, name = 'k' AS searchable, 'int' AS types, min(json_extract_string(props, '$.' || name)) AS example FROM k GROUP BY name
+UNION ALL SELECT 'event_type', true, false, NULL, NULL""", "events")
 def describe_fields(events):
     rows = events.select(F.col("props").alias("raw"), F.to_json(F.struct("event_type")).alias("structured"))
-    return profile.describe_fields(rows, ["k"])
+    return profile.describe_fields(rows, ["k"]).withColumn("types", F.array_join("types", ","))
 
 
-@query(None, "documents")
+@query("""WITH RECURSIVE a AS (SELECT i::INT AS place, CASE WHEN i < 40 THEN i::VARCHAR ELSE 'nosuchdoc' END AS doc_id FROM range(0, 41) AS t(i)),
+e AS (SELECT a.place, a.doc_id, CASE WHEN d.doc_id IS NOT NULL THEN greatest(1, floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 0.75))::INT END AS est FROM a LEFT JOIN documents d ON d.doc_id::VARCHAR = a.doc_id),
+r(place, used, took, status) AS (SELECT -1, 0, false, '' UNION ALL SELECT e.place, r.used + CASE WHEN est IS NOT NULL AND NOT (took AND used + est > 6000) THEN est ELSE 0 END, took OR est IS NOT NULL,
+  CASE WHEN est IS NULL THEN 'unknown' WHEN took AND used + est > 6000 THEN 'token_budget' ELSE 'read' END FROM r JOIN e ON e.place = r.place + 1)
+SELECT doc_id, e.place, est AS approx_tokens, status FROM e JOIN r USING (place)""", "documents")
 def token_budget_read(documents):
     return reading.read_documents(documents, [str(i) for i in range(0, 40)] + ["nosuchdoc"], 6000).select("doc_id", "place", "approx_tokens", "status")
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id FROM documents ORDER BY doc_id::VARCHAR LIMIT 20", "documents")
 def sample_first(documents):
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id")).orderBy("doc_id").limit(20)
+    return reading.sample(documents, 20, "first")
+
+
+def _files(documents):
+    """Documents as text files named by their ids."""
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return documents.select(F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.octet_length("text").cast("bigint").alias("length"), sha.alias("sha256")).select("path", kind_of("path").alias("kind"), "length", "sha256", C.id_of_digest("sha256").alias("file_id"))
 
 
-@query("SELECT 'f' || substr(sha256(text), 1, 10) AS file_id, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1", "documents")
+@query("""WITH f AS (SELECT 'd/' || doc_id || '.txt' AS path, octet_length(encode(text)) AS length, sha256(text) AS h FROM documents)
+SELECT 'f' || substr(h, 1, 10) AS file_id, path, 'txt' AS kind, length, CASE WHEN path = min(path) OVER (PARTITION BY h) THEN 'added' ELSE 'skipped' END AS change FROM f""", "documents")
 def manifest_dedup(documents):
-    return documents.select(C.file_id(F.col("text").cast("binary")).alias("file_id"), "doc_id").groupBy("file_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    return ingest(_files(documents), None).drop("sha256")
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)", "documents")
+@query("""WITH f AS (SELECT 'd/' || doc_id || '.txt' AS path, sha256(text) AS h, lang FROM documents), k AS (SELECT DISTINCT h FROM f WHERE lang = 'en')
+SELECT path, CASE WHEN h IN (SELECT h FROM k) OR path <> min(path) OVER (PARTITION BY h) THEN 'skipped' ELSE 'added' END AS change FROM f""", "documents")
 def ingest_delta(documents):
-    rows = documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    return rows.join(rows.filter("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
+    """All files against a manifest that holds those of one language, as an ingest before left it."""
+    manifest = ingest(_files(documents.filter("lang = 'en'")), None).filter("change = 'added'").drop("change")
+    return ingest(_files(documents), manifest).select("path", "change")
 
 
 @query("""SELECT page_id, CASE WHEN url ILIKE '%.json' THEN 'json' WHEN url ILIKE '%.jsonl' THEN 'jsonl' WHEN url ILIKE '%.xml' THEN 'xml' WHEN url ILIKE '%.pdf' THEN 'pdf' WHEN url ILIKE '%.docx' THEN 'docx'
@@ -507,19 +577,18 @@ def file_kinds(pages):
 @query("SELECT o_orderkey, 'status: ' || o_orderstatus || chr(10) || 'priority: ' || o_orderpriority || chr(10) || 'segment: ' || c_mktsegment AS text FROM orders JOIN customer ON o_custkey = c_custkey", "orders", "customer")
 def render_record_text(orders, customer):
     rows = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    line = lambda k, c: F.concat(F.lit(f"{k}: "), F.col(c))
-    return rows.select("o_orderkey", F.concat_ws("\n", line("status", "o_orderstatus"), line("priority", "o_orderpriority"), line("segment", "c_mktsegment")).alias("text"))
+    record = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("c_mktsegment").alias("segment")))
+    return rows.select("o_orderkey", records.rendered(record, FieldMap()).alias("text"))
 
 
 @query("""SELECT c_mktsegment AS name, 'org' AS type, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT n_name, 'place', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""", "customer", "nation")
 def explode_declared_entities(customer, nation):
     rows = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    one = lambda c, t: F.struct(F.col(c).alias("name"), F.lit(t).alias("type"))
-    return rows.select(F.explode(F.array(one("c_mktsegment", "org"), one("n_name", "place"))).alias("e")).groupBy("e.name", "e.type").agg(F.count(F.lit(1)).alias("n"))
+    record = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.struct(F.col("n_name").alias("name")).alias("nation")))
+    declared = rows.select(F.explode(records.entities_of(record, ("segment:org", "nation.name:place"))).alias("e"))
+    return declared.groupBy("e.name", "e.type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT user_id, max(ts) AS last_ts, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id", "events")
+@query("SELECT user_id, ts AS last_ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1", "events")
 def latest_per_key(events):
-    last = Window.partitionBy("user_id")
-    rows = events.withColumns({"last_ts": F.max("ts").over(last), "n": F.count(F.lit(1)).over(last), "total": F.round(F.sum("value").over(last), 4)})
-    return rows.select("user_id", "last_ts", "n", "total").distinct()
+    return memory.latest(events, ["user_id"], ["ts", "event_id"]).select("user_id", F.col("ts").alias("last_ts"), "event_id", "event_type")

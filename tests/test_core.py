@@ -102,7 +102,7 @@ def test_rare_whale(spark):
 def test_matcher():
     names = {"acme group": ("org", "Acme Group"), "clear": ("org", "Clear"), "&pizza": ("org", "&pizza"), "ab": ("org", "Ab")}
     text = "acme GROUP met Clear and clear at &pizza; Ab acmegroup."
-    find = lambda **k: [text[s:e] for s, e, _ in entities.NameMatcher(names, **k).spans(text)]
+    find = lambda **k: [text[s:e] for s, e, _ in entities.NameTree([(n, *v) for n, v in names.items()], **k).spans(text)]
     assert find() == ["acme GROUP", "Clear", "&pizza"]
     assert find(single_word="any-case") == ["acme GROUP", "Clear", "clear", "&pizza"]
     assert find(single_word="off") == ["acme GROUP"]
