@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import ranked, table, written
+from paperlode.llm.common import join_by_key, ranked, table, written
 
 
 def _uniform(h):
@@ -38,12 +38,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: str = "shard-1", id
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     alike = ["id", "text_crc32", "size", "row"]
     placed = ranked(rows, ["src", "h", *alike], "shard-ranks").withColumnRenamed("place", "src_place")
-    sources = placed.groupBy("src").agg(F.min("src_place").alias("src_first"), F.count(F.lit(1)).alias("src_rows"))
+    total = rows.count()
+    sources = written(placed.groupBy("src").agg(F.min("src_place").alias("src_first"), F.count(F.lit(1)).alias("src_rows")), "shard-sources")
     offset = _uniform(F.md5(F.concat_ws(":", F.lit(seed), F.lit("source"), F.col("src"))))
     frac = (F.col("src_place") - F.col("src_first") + offset) / F.col("src_rows")
-    placed = placed.join(sources, "src").select("id", "src", "size", "text_crc32", "h", "row", frac.alias("frac_rank"))
+    placed = join_by_key(placed, sources, ["src"], "src_rows", total).select("id", "src", "size", "text_crc32", "h", "row", frac.alias("frac_rank"))
     placed = ranked(placed, ["frac_rank", "src", "h", *alike], "shard-places").withColumnRenamed("place", "position")
-    total = rows.count()
     shard = F.expr(f"cast((position * {shards}) div {max(1, total)} as int)")
     first = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard).select("id", F.expr("if(src = 'n', null, substring(src, 2))").alias("source"), "size", "text_crc32", "frac_rank", "position", "shard", (F.col("position") - first).cast("bigint").alias("slot"))
