@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import WHITESPACE, join_by_key, table, utf8, written
+from paperlode.llm.common import SLICE_BYTES, WHITESPACE, join_by_key, slices, table, utf8, written
 
 NO_ID = np.iinfo(np.int64).max
 FIELDS = ("n_chars", "ids", "rows", "counts")
@@ -107,18 +107,25 @@ def _manifest(digest_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            view, n, digests = raw.tobytes(), [], []
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                text = view[s:e]
-                n.append(len(text.decode("utf-8", "replace")))
-                digests.append(_digest(normal_form(text), digest_bytes))
+            n, digests = [], []
+            for part in slices(batch, "text"):
+                for text in _texts(part):
+                    n.append(len(text.decode("utf-8", "replace")))
+                    digests.append(_digest(normal_form(text), digest_bytes))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(np.arange(row, row + len(n)))], ["id", "n_chars", "digest", "row"])
             row += len(n)
 
     return run
 
 
+def _texts(part: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts (column 1) of a slice as UTF-8, null as empty."""
+    raw, offsets = utf8(part.column(1))
+    view = raw.tobytes()
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield view[s:e]
+
+
 def _digest(text: bytes, digest_bytes: int) -> bytes:
     return hashlib.sha256(text).digest()[:digest_bytes].ljust(32, b"\0")
 
@@ -184,21 +191,30 @@ def _hit_filter(index: DataFrame) -> np.ndarray:
 
 
 def _candidates(filter_words: np.ndarray, digest_bytes: int):
-    """Normal forms of documents that may be hits; equal ones of a batch become one row with all their ids."""
+    """Normal forms of documents that may be hits; equal ones of a batch become one row with all their ids.
+    Texts are read, and forms handed on, about SLICE_BYTES at a time; only distinct forms are held for a batch."""
+
+    def rows(found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.binary()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["digest", "form", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = len(filter_words) * 64
         for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            view, found = raw.tobytes(), {}
-            for at, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                form = normal_form(view[s:e])
-                digest = _digest(form, digest_bytes)
-                place = int.from_bytes(digest[:7], "big") % bits
-                if int(filter_words[place // 64]) >> (place % 64) & 1:
-                    found.setdefault((digest, form), []).append(at)
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.binary()), pa.array([k[1] for k in found], pa.binary()), pa.array([[ids[i] for i in v] for v in found.values()], pa.list_(pa.int64()))], ["digest", "form", "ids"])
+            found = {}
+            for part in slices(batch, "text"):
+                for ident, text in zip(part.column(0).to_pylist(), _texts(part), strict=True):
+                    form = normal_form(text)
+                    digest = _digest(form, digest_bytes)
+                    place = int.from_bytes(digest[:7], "big") % bits
+                    if int(filter_words[place // 64]) >> (place % 64) & 1:
+                        found.setdefault((digest, form), []).append(ident)
+            while found:
+                some, size = {}, 0
+                while found and size < SLICE_BYTES:
+                    key, ids = found.popitem()
+                    some[key] = ids
+                    size += len(key[1])
+                yield rows(some)
 
     return run
 
