@@ -35,6 +35,8 @@ BUCKETS, ORDERS = 1 << 12, (1, 2, 3)
 MOST_PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 500, 10_000, 1000
 #: Ambiguous: the second codeword has at least this share of the likelihood of the two nearest.
 AMBIGUOUS_SHARE = 0.4
+#: Numbers that an array of features or losses has at most, if for one text it has fewer.
+FLOATS = 1 << 21
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -77,14 +79,19 @@ class CodeModel:
     bias: np.ndarray
     trust: np.ndarray
 
+    def _loss(self, texts: list[str]) -> np.ndarray:
+        """Trust-weighted loss of every text against every codeword."""
+        margins = features(texts) @ self.weights + self.bias
+        loss = np.log1p(np.exp(-np.clip(self.code[None] * margins[:, None, :], -30, 30)))
+        return (loss * self.trust[None]).sum(axis=2)
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         if not texts:
             return []
         if not self.languages:
             return [("und", 0.0, False)] * len(texts)
-        margins = features(texts) @ self.weights + self.bias
-        loss = np.log1p(np.exp(-np.clip(self.code[None] * margins[:, None, :], -30, 30)))
-        loss = (loss * self.trust[None]).sum(axis=2)
+        step = max(1, FLOATS // max(BUCKETS, self.code.size))
+        loss = np.concatenate([self._loss(texts[i : i + step]) for i in range(0, len(texts), step)])
         nearness = np.exp(loss.min(axis=1, keepdims=True) - loss)  # 1 for the nearest, so the sum is never 0
         share = nearness / nearness.sum(axis=1, keepdims=True)
         order = np.argsort(-share, axis=1, kind="stable")
@@ -142,8 +149,10 @@ def train_language_model(docs: DataFrame, most: int = MOST_PER_LANGUAGE, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = features(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["lang", "h", "x"])
+                for i in range(0, part.num_rows, FLOATS // BUCKETS):
+                    some = part.slice(i, FLOATS // BUCKETS)
+                    x = features(some.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["lang", "h", "x"])
 
     from pyspark.sql import Window
 

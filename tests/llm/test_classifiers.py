@@ -71,6 +71,19 @@ def test_language_row_by_row(spark):
     assert again.languages == model.languages and np.abs(again.weights - model.weights).max() < 1e-3
 
 
+def test_language_blocks(monkeypatch):
+    """Texts that are scored a few at a time get what they get alone, also where a block has one text."""
+    texts = ["the cat sat", "le chat est là", "der hund ist da", "el gato es", "", "12 34", None, "the hund est"] * 5
+    model = language_id.fit_codes(language_id.features(texts[:4] * 3), ["en", "fr", "de", "es"] * 3)
+    texts = [t or "" for t in texts]
+    alone = [model.predict([t])[0] for t in texts]
+    for floats in (1, language_id.BUCKETS * 3, 1 << 21):
+        monkeypatch.setattr(language_id, "FLOATS", floats)
+        found = model.predict(texts)
+        assert [(f[0], f[2]) for f in found] == [(a[0], a[2]) for a in alone]
+        assert np.allclose([f[1] for f in found], [a[1] for a in alone], atol=1e-5)
+
+
 def test_language_losses_never_vanish():
     model = language_id.CodeModel(["a", "b", "c"], language_id.codewords(3), np.zeros((language_id.BUCKETS, 3), np.float32), np.full(3, -30, np.float32), np.full((3, 3), 500, np.float32))
     (name, score, _), = model.predict(["some words"])
