@@ -17,14 +17,12 @@ def auto_k(n: int) -> int:
 
 
 def cluster_vectors(vectors: DataFrame, k: int | str = "auto", seed: int = 0, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
-    """id, cluster. A number of clusters is used as given, also as text."""
+    """id, cluster. A number of clusters is used as given, also as text; no vectors give no rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.select(F.col(id_col).alias("id"), array_to_vector(F.transform(F.col(vector_col), lambda x: x.cast("double"))).alias("features"))
     n = rows.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "id string, cluster int")
     kk = auto_k(n) if str(k) == "auto" else max(1, min(int(k), n))
     if kk == 1:
         return rows.select("id", F.lit(0).alias("cluster"))

@@ -446,3 +446,19 @@ def test_gate_lets_queries_through(spark, tmp_path):
     assert sql_gate.run_sql(spark, "SELECT sum(a) AS s FROM lines").first()["s"] == 3
     with pytest.raises(ValueError):
         sql_gate.external_table(spark, "lines", "x.exe")
+
+
+@pytest.mark.parametrize("k", [3, "3"])
+def test_kmeans_against_nearest_mean(spark, k):
+    """Well parted heaps of points are the clusters, and every point lies nearest to its own cluster's mean."""
+    rng = np.random.default_rng(5)
+    heaps = np.array([[0.0, 0.0], [20.0, 0.0], [0.0, 20.0]])
+    points = [(i, (heaps[i % 3] + rng.normal(size=2)).tolist()) for i in range(90)]
+    rows = spark.createDataFrame(points, "chunk_id bigint, embedding array<float>")
+    found = {r["id"]: r["cluster"] for r in topics.cluster_vectors(rows, k).collect()}
+    assert sorted(found) == list(range(90))
+    assert len({(i % 3, c) for i, c in found.items()}) == 3
+    means = {c: np.mean([v for i, v in points if found[i] == c], axis=0) for c in set(found.values())}
+    assert all(min(means, key=lambda c: np.linalg.norm(means[c] - v)) == found[i] for i, v in points)
+    none = topics.cluster_vectors(rows.limit(0), k)
+    assert none.dtypes == [("id", "bigint"), ("cluster", "int")] and none.isEmpty()
