@@ -1,6 +1,7 @@
 """Registered queries against their SQL on tables made here."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from paperlode.plans import catalogue
@@ -23,3 +24,14 @@ def test_linear_peers_leave_out_zeros(spark, tmp_path):
     events = pd.DataFrame({"event_id": range(10), "user_id": 1, "event_type": "view", "value": values})
     got, want = _both(spark, tmp_path, "anomaly_peer_linear", events=events)
     assert got == want and len(want) == 1
+
+
+def test_quantised_search_among_many_alike(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=64)
+    near = q + rng.normal(size=(600, 64)) * 0.003  # many share their codes, and the codes' order isn't theirs
+    far = rng.normal(size=(400, 64))
+    held = np.vstack([q, near, far]).astype(np.float32)
+    embeddings = pd.DataFrame({"vec_id": range(len(held)), "embedding": list(held), "label": 0})
+    got, want = _both(spark, tmp_path, "vector_quantised_topk", embeddings=embeddings)
+    assert got == want and len(want) == 10
