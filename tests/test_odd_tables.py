@@ -3,7 +3,9 @@
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from paperlode.operators import linkage
 from paperlode.plans import catalogue
 
 
@@ -35,3 +37,33 @@ def test_quantised_search_among_many_alike(spark, tmp_path):
     embeddings = pd.DataFrame({"vec_id": range(len(held)), "embedding": list(held), "label": 0})
     got, want = _both(spark, tmp_path, "vector_quantised_topk", embeddings=embeddings)
     assert got == want and len(want) == 10
+
+
+def _names(rng, n: int) -> list:
+    """Names alike and unlike, some short, long, blank or missing."""
+    return [[None, "", " ", "ab", "Supp", "Supplier#1", "Łódź & Co", "x" * 90][k] if k < 8 else f"{['Supplier', 'Supply', 'Other'][k % 3]}#{rng.integers(40):04d}" for k in rng.integers(0, 40, n)]
+
+
+def test_link_pairs_over_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linkage, "SIZE", 16)
+    rng = np.random.default_rng(8)
+    supplier = pd.DataFrame({"s_suppkey": range(90), "s_name": _names(rng, 90), "s_nationkey": pd.array(rng.integers(1, 13, 90), "Int32")})
+    supplier = supplier[supplier["s_name"].fillna("").str.strip() != ""]
+    for name in ("linkage_pairs", "linkage_clusters"):
+        got, want = _both(spark, tmp_path, name, supplier=supplier)
+        assert got == want and len(want) > 60
+
+
+def test_jaro_winkler_of_all_with_all():
+    rng = np.random.default_rng(2)
+    for head, letters in (("", "ab"), ("x", "abcdé "), ("Suppl", "abc")):
+        a, b = ([head + "".join(rng.choice(list(letters), rng.integers(0, 14 if k else 80))) for k in range(n)] for n in (40, 30))
+        grid, pairs = linkage.jaro_winkler_grid(a, b), linkage.jaro_winkler_pairs([x for x in a for _ in b], [y for _ in a for y in b])
+        assert np.array_equal(grid.ravel(), pairs) and np.array_equal(grid, linkage.jaro_winkler_grid(b, a).T)
+
+
+def test_hot_blocks_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "SIZE", 32)
+    rows = spark.range(1000).selectExpr("string(id) AS record_id", "'s' AS source", "concat('Firm ', id) AS firm")
+    sizes = [r["n"] for r in linkage.link_pairs(rows, "firm").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 1000 * 999 // 2 and max(sizes) < sum(sizes) / 4
