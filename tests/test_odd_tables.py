@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from paperlode.operators import linkage
@@ -62,6 +63,25 @@ def test_jaro_winkler_of_all_with_all():
         assert np.array_equal(grid.ravel(), pairs) and np.array_equal(grid, linkage.jaro_winkler_grid(b, a).T)
 
 
+@pytest.mark.parametrize(("threshold", "compare"), [(0.99, ["zip"]), (0.9, ["zip", "street"]), (0.995, ["zip", "street"]), (0.2, ["zip"]), (0.999, []), (0.9999, ["zip"])])
+def test_link_clusters_like_clusters_of_pairs(spark, threshold, compare):
+    rng = np.random.default_rng(5)
+    some = lambda n: [None if k == 0 else str(k) for k in rng.integers(0, n, 70).tolist()]
+    df = spark.createDataFrame(list(zip(map(str, range(70)), _names(rng, 70), some(30), some(40), strict=True)), "id string, firm string, zip string, street string")
+    rows = linkage.records(df, "firm", compare, "id", "corpus").cache()
+    want = linkage.clusters(rows, linkage.link_pairs(rows, "firm", compare), threshold)
+    got = linkage.link_clusters(rows, "firm", compare, threshold=threshold)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_link_clusters_makes_no_pairs_where_names_decide(spark, monkeypatch):
+    """5,000 records of one block are 12 million pairs; where only equal names can reach the threshold, none is made."""
+    monkeypatch.setattr(linkage, "link_pairs", None)
+    rows = spark.range(5000).selectExpr("string(id) AS record_id", "'s' AS source", "concat('Firm ', id % 1700) AS firm", "string(id % 7) AS zip")
+    got = linkage.link_clusters(rows, "firm", ["zip"], threshold=0.99)
+    assert got.count() == 5000 and got.select("cluster_id").distinct().count() == 1700
+
+
 def test_hot_blocks_are_dealt_evenly(spark, monkeypatch):
     monkeypatch.setattr(linkage, "SIZE", 32)
     rows = spark.range(1000).selectExpr("string(id) AS record_id", "'s' AS source", "concat('Firm ', id) AS firm")
